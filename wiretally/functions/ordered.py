@@ -20,8 +20,7 @@ def number_rows(df: DataFrame, keys: list[str], segment: str, order: list, index
     ``segment`` must grow with the order. Rows are numbered inside (document,
     segment); the rows of earlier segments are added from a per-segment count.
     """
-    parted = df.repartition(*keys, segment)
-    counts = parted.groupBy(*keys, segment).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*keys, segment).agg(F.count(F.lit(1)).alias("_n"))
     doc = W.partitionBy(*keys)
     before = counts.select(
         *keys,
@@ -33,7 +32,7 @@ def number_rows(df: DataFrame, keys: list[str], segment: str, order: list, index
     )
     here = W.partitionBy(*keys, segment).orderBy(*order)
     return (
-        parted.withColumn("_here", F.row_number().over(here).cast("bigint") - 1)
+        df.withColumn("_here", F.row_number().over(here).cast("bigint") - 1)
         .join(before, [*keys, segment])
         .withColumn(index, F.col("_before") + F.col("_here"))
         .drop("_before", "_here")
