@@ -145,3 +145,143 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wiretally.operators.captions import parse_captions
 
     return parse_captions(caption_responses(spark, sf_dir)).drop("response")
+
+
+# --------------------------------------------------------------------------- registry and questions
+
+
+def _text(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device registry rows as written by hand: many fields absent."""
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    n, r, s = F.col("n_nationkey"), F.col("n_regionkey"), F.col("s_suppkey")
+    null = F.lit(None).cast("string")
+    regions = table(spark, sf_dir, "region").select(
+        _text("r", F.col("r_regionkey")).alias("name"), F.lit("router").alias("type"),
+        F.lit("Telnet").alias("protocol"), _text("10.", F.col("r_regionkey"), ".0.254").alias("mgmt_ip"),
+        F.lit("GigabitEthernet0/0/0").alias("mgmt_interface"), F.lit(None).cast("int").alias("port"),
+        null.alias("parent_device"), null.alias("parent_interface"), null.alias("link_mode"),
+        F.col("r_name").alias("description"), F.col("r_regionkey").alias("ordinal"),
+    )
+    nations = nation.select(
+        _text("S", n).alias("name"), F.lit("switch").alias("type"), null.alias("protocol"),
+        _text("10.", r, ".", n, ".1").alias("mgmt_ip"), null.alias("mgmt_interface"),
+        F.when(n % 4 == 0, 2222).alias("port"), _text("R", r).alias("parent_device"),
+        _text("GE0/0/", n).alias("parent_interface"), F.lit("trunk").alias("link_mode"),
+        F.when(n % 3 == 0, F.col("n_name")).alias("description"), (n + 100).alias("ordinal"),
+    )
+    suppliers = supplier.join(nation, F.col("s_nationkey") == n).select(
+        _text("S", s + 1000).alias("name"), F.when(s % 2 == 0, "Switch").alias("type"),
+        F.when(s % 3 == 0, "telnet").alias("protocol"), _text("10.", r, ".", n, ".", s % 250 + 2).alias("mgmt_ip"),
+        F.when(s % 5 == 0, "Vlanif99").alias("mgmt_interface"), F.when(s % 6 == 0, 2023).alias("port"),
+        F.when(s % 17 == 0, "LOST").otherwise(_text("s", n)).alias("parent_device"),
+        F.when(s % 2 == 0, _text("GE0/0/", s % 48)).alias("parent_interface"),
+        F.when(s % 4 == 0, "access").alias("link_mode"), F.when(s % 7 == 0, "edge").alias("description"),
+        (s + 1000).alias("ordinal"),
+    )
+    return regions.unionByName(nations).unionByName(suppliers)
+
+
+REGISTRY = """registry AS (
+  SELECT 'r' || r_regionkey AS name, 'router' AS type, 'Telnet' AS protocol, '10.' || r_regionkey || '.0.254' AS mgmt_ip,
+    'GigabitEthernet0/0/0' AS mgmt_interface, NULL::INT AS port, NULL::VARCHAR AS parent_device,
+    NULL::VARCHAR AS parent_interface, NULL::VARCHAR AS link_mode, r_name AS description, r_regionkey AS ordinal FROM region
+  UNION ALL SELECT 'S' || n_nationkey, 'switch', NULL, '10.' || n_regionkey || '.' || n_nationkey || '.1', NULL,
+    CASE WHEN n_nationkey % 4 = 0 THEN 2222 END, 'R' || n_regionkey, 'GE0/0/' || n_nationkey, 'trunk',
+    CASE WHEN n_nationkey % 3 = 0 THEN n_name END, n_nationkey + 100 FROM nation
+  UNION ALL SELECT 'S' || (s_suppkey + 1000), CASE WHEN s_suppkey % 2 = 0 THEN 'Switch' END,
+    CASE WHEN s_suppkey % 3 = 0 THEN 'telnet' END,
+    '10.' || n_regionkey || '.' || n_nationkey || '.' || (s_suppkey % 250 + 2),
+    CASE WHEN s_suppkey % 5 = 0 THEN 'Vlanif99' END, CASE WHEN s_suppkey % 6 = 0 THEN 2023 END,
+    CASE WHEN s_suppkey % 17 = 0 THEN 'LOST' ELSE 's' || n_nationkey END,
+    CASE WHEN s_suppkey % 2 = 0 THEN 'GE0/0/' || (s_suppkey % 48) END, CASE WHEN s_suppkey % 4 = 0 THEN 'access' END,
+    CASE WHEN s_suppkey % 7 = 0 THEN 'edge' END, s_suppkey + 1000
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+# Question templates: {p} protocol, {d} device, {v} VLAN number, {k} customer.
+TEMPLATES = (
+    "Pourquoi {p} est down sur {d} ?",
+    "Audit des VLAN {v} et VLAN {v} puis vlan{k} sur {d}",
+    "Comment configurer {p} sur {d} interface GE 0/0/{v}",
+    "état des interfaces de {d}",
+    "Expliquer {p} et la topologie",
+    "rapport de santé de {d}",
+    "How to setup VLAN{v} on GigabitEthernet0/0/{v} according to doc_{k}.pdf",
+    "ping perte latence réseau entre {d} et R1",
+    "Ajouter un nouveau switch {d}",
+    "différence entre {p} et RSTP",
+    "optimisation des performances dhcp mac arp",
+    "Panne {p} VLAN {v} Vlanif{v} route sur {d} et S1",
+)
+
+
+def question_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question per customer from the templates, and the user turns as noise."""
+    from wiretally.functions import fixed as K
+
+    k, v = F.col("c_custkey"), F.col("c_nationkey")
+    protocol = F.element_at(F.array(*[F.lit(p) for p in K.PROTOCOLS]), (v % len(K.PROTOCOLS) + 1).cast("int"))
+    fields = {"{p}": protocol, "{d}": _text("S", k + 1000), "{v}": v.cast("string"), "{k}": k.cast("string")}
+    chosen = F.element_at(F.array(*[F.lit(t) for t in TEMPLATES]), (k % len(TEMPLATES) + 1).cast("int"))
+    for mark, value in fields.items():
+        chosen = F.replace(chosen, F.lit(mark), value)
+    asked = table(spark, sf_dir, "customer").select(k.alias("question_id"), chosen.alias("question"))
+    spoken = table(spark, sf_dir, "conversations").filter("role = 'user'").select(
+        (F.col("conv_id") * 1000 + F.col("turn") + 1_000_000_000_000).alias("question_id"), F.col("text").alias("question"))
+    return asked.unionByName(spoken)
+
+
+def _list_sql(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _question_sql() -> str:
+    from wiretally.functions import fixed as K
+
+    body = f"({_list_sql(TEMPLATES)})[c_custkey % {len(TEMPLATES)} + 1]"
+    for mark, value in (
+        ("{p}", f"({_list_sql(K.PROTOCOLS)})[c_nationkey % {len(K.PROTOCOLS)} + 1]"),
+        ("{d}", "'S' || (c_custkey + 1000)"), ("{v}", "c_nationkey::VARCHAR"), ("{k}", "c_custkey::VARCHAR"),
+    ):
+        body = f"replace({body}, '{mark}', {value})"
+    return f"""asked AS (
+  SELECT c_custkey AS question_id, {body} AS question FROM customer
+  UNION ALL SELECT conv_id * 1000 + turn + 1000000000000, text FROM conversations WHERE role = 'user')"""
+
+
+QUESTIONS = _question_sql()
+
+
+def retrieval_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that search for a benchmark passage and name a registered device."""
+    i = F.col("item_id")
+    opening = F.element_at(
+        F.array(*[F.lit(t) for t in ("Pourquoi OSPF est down sur ", "Audit des VLAN 10 sur ",
+                                     "configure BGP interface sur ", "état de ")]), (i % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "benchmark").select(
+        i.alias("question_id"), F.concat(opening, _text("S", i % 10 + 1000), F.lit(" ? "), F.col("text")).alias("question"))
+
+
+RETRIEVAL_QUESTIONS = """asked AS (
+  SELECT item_id AS question_id, (['Pourquoi OSPF est down sur ', 'Audit des VLAN 10 sur ',
+    'configure BGP interface sur ', 'état de '])[item_id % 4 + 1] || 'S' || (item_id % 10 + 1000) || ' ? ' || text AS question
+  FROM benchmark)"""
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One manifest row per document."""
+    i = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        F.md5(_text("file_", i).cast("binary")).alias("file_id"), _text("doc_", i, ".pdf").alias("filename"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + (i * 7919) % 100_000).alias("ingested_at"),
+        F.floor(F.col("n_chars") / 800).alias("chunks_indexed"),
+    )
+
+
+MANIFEST = """manifest AS (
+  SELECT md5('file_' || doc_id) AS file_id, 'doc_' || doc_id || '.pdf' AS filename,
+    TIMESTAMP '2024-01-01' + to_seconds((doc_id * 7919) % 100000) AS ingested_at, n_chars // 800 AS chunks_indexed
+  FROM documents)"""
