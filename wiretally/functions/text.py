@@ -63,6 +63,24 @@ def contains_any(c: Column, words) -> Column:
     return test
 
 
+def let(value: Column, body) -> Column:
+    """Bind an expression to a name inside one row.
+
+    The optimizer copies an expression into every place that refers to it once;
+    inside a lambda that would evaluate it per element. A bound value is
+    evaluated once per row.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def lookup(table: dict, key: Column) -> Column:
+    """Constant map of string arrays; an empty array for unknown keys."""
+    pairs = []
+    for k, values in table.items():
+        pairs += [F.lit(k), F.array(*[F.lit(v) for v in values])]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.array().cast("array<string>"))
+
+
 def term_counts(tok: Column) -> Column:
     """Array of (term, tf) for one array of tokens.
 

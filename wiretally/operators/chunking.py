@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wiretally.functions import fixed as K
 from wiretally.functions.ordered import number_rows, own_rows, with_halo
-from wiretally.functions.text import chars, lines_of, strip
+from wiretally.functions.text import chars, let, lines_of, strip
 from wiretally.operators.prepare import order_blocks, prepare_blocks
 
 CHUNKS_PER_SEGMENT = 512
@@ -83,9 +83,12 @@ def split_windows(text: Column, settings: ChunkSettings = DEFAULTS) -> Column:
     next start, and each step moves on by a fixed least amount, which bounds the
     number of steps.
     """
+    return let(F.struct(text.alias("t"), F.length(text).alias("n")), lambda x: _fold_windows(x["t"], x["n"], settings))
+
+
+def _fold_windows(text: Column, total: Column, settings: ChunkSettings) -> Column:
     size, zone = settings.max_chars, settings.cut_zone
     least = size - zone - settings.overlap
-    total = F.length(text)
 
     def step(acc: Column, _: Column) -> Column:
         start = acc["next"]

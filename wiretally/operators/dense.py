@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from wiretally.functions.ranking import top_k
-from wiretally.functions.text import term_counts, tokens
+from wiretally.functions.text import tokens
 
 #: Queries up to this number of rows are shipped to every task; more are blocked.
 BROADCAST_QUERIES = 4096
@@ -20,31 +20,23 @@ SLICE_ROWS = 512
 def hash_embed(df: DataFrame, text_col: str, out: str = "embedding", dim: int = 64) -> DataFrame:
     """Append the default embedding: feature hashing of the terms.
 
-    Term frequencies are added up per hash bucket and the vector scaled to
-    length 1; a text without terms gets a zero vector.
+    Terms are hashed to buckets on the JVM; one Arrow batch at a time the bucket
+    counts are added up and scaled to length 1. A text without terms gets zeros.
     """
-    counted = F.transform(
-        term_counts(tokens(F.col(text_col))),
-        lambda x: F.struct(
-            (F.conv(F.substring(F.md5(x["term"].cast("binary")), 1, 8), 16, 10).cast("bigint") % dim).alias("b"),
-            x["tf"].cast("double").alias("tf"),
-        ),
-    )
-    summed = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.aggregate(
-            F.filter(F.col("_pairs"), lambda p: p["b"] == i), F.lit(0.0), lambda s, p: s + p["tf"]
-        ),
-    )
-    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x * x))
-    return (
-        df.withColumn("_pairs", counted)
-        .withColumn("_raw", summed)
-        .withColumn("_norm", norm)
-        .withColumn(out, F.when(F.col("_norm") > 0, F.transform("_raw", lambda x: x / F.col("_norm")))
-                    .otherwise(F.col("_raw")))
-        .drop("_pairs", "_raw", "_norm")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def count(buckets: pd.Series) -> pd.Series:
+        sizes = buckets.map(len).to_numpy()
+        rows = np.repeat(np.arange(len(buckets)), sizes)
+        flat = np.concatenate(buckets.to_list()) if sizes.sum() else np.zeros(0, dtype="int64")
+        raw = np.bincount(rows * dim + flat.astype("int64"), minlength=len(buckets) * dim).reshape(-1, dim)
+        norm = np.sqrt((raw.astype("float64") ** 2).sum(axis=1, keepdims=True))
+        return pd.Series(np.divide(raw, norm, out=np.zeros(raw.shape), where=norm > 0).tolist())
+
+    buckets = F.transform(
+        tokens(F.col(text_col)),
+        lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim).cast("int"),
     )
+    return df.withColumn(out, count(buckets))
 
 
 def embed_with(df: DataFrame, text_col: str, make_model: Callable[[], Callable], out: str = "embedding",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wiretally.functions import fixed as K
-from wiretally.functions.text import all_matches, contains_any, strip
+from wiretally.functions.text import all_matches, contains_any, let, lookup, strip
 
 
 def lit_array(values) -> Column:
@@ -38,21 +38,20 @@ def health_override(question: Column, found: Column, strategy: Column, live: Col
 def word_spans(text: Column) -> Column:
     """Upper-cased parts of the text that start and end at a word border and
     hold no blank: every place a whole-word name could stand."""
-    def spans(run: Column) -> Column:
-        pieces = all_matches(run, r"(?U)\w+|[^\w]+")
-        n = F.size(pieces)
+    def spans(pieces: Column) -> Column:
         word = lambda i: F.regexp_like(F.get(pieces, i - 1), F.lit(r"(?U)^\w"))
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), word)
-        return F.flatten(
-            F.transform(
-                starts,
-                lambda i: F.transform(
-                    F.filter(starts, lambda j: j >= i), lambda j: F.array_join(F.slice(pieces, i, j - i + 1), "")
-                ),
-            )
-        )
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1))), word)
+        return let(starts, lambda at: F.flatten(F.transform(
+            at,
+            lambda i: F.transform(
+                F.filter(at, lambda j: j >= i), lambda j: F.array_join(F.slice(pieces, i, j - i + 1), "")
+            ),
+        )))
 
-    return F.array_distinct(F.flatten(F.transform(all_matches(F.upper(text), r"(?U)[\w.\-]+"), spans)))
+    return F.array_distinct(F.flatten(F.transform(
+        all_matches(F.upper(text), r"(?U)[\w.\-]+"),
+        lambda run: let(all_matches(run, r"(?U)\w+|[^\w]+"), spans),
+    )))
 
 
 def known_devices(questions: DataFrame, registry: DataFrame, key: str, text: str) -> DataFrame:
@@ -143,11 +142,9 @@ def strategy(found: Column, has_devices: Column) -> Column:
 
 
 def chunk_types(question: Column, found: Column) -> Column:
-    chain = lit_array(K.CHUNK_TYPES["unknown"])
-    for name, types in K.CHUNK_TYPES.items():
-        chain = F.when(found == name, lit_array(types)).otherwise(chain)
-    wanted = contains_any(F.lower(question), K.SCHEMA_WORDS) & ~F.array_contains(chain, "image_desc")
-    return F.when(wanted, F.concat(chain, lit_array(["image_desc"]))).otherwise(chain)
+    types = lookup(K.CHUNK_TYPES, found)
+    wanted = contains_any(F.lower(question), K.SCHEMA_WORDS) & ~F.array_contains(types, "image_desc")
+    return F.when(wanted, F.concat(types, lit_array(["image_desc"]))).otherwise(types)
 
 
 def complexity(question: Column) -> Column:
@@ -164,39 +161,27 @@ def enrich(question: Column) -> Column:
     )
 
 
-def _by_intent(found: Column, table: dict) -> Column:
-    chain = F.array().cast("array<string>")
-    for name, texts in table.items():
-        chain = F.when(found == name, lit_array(texts)).otherwise(chain)
-    return chain
+PROTOCOL_TABLE = {f"{p} {i}": texts for p, by in K.PROTOCOL_QUERIES.items() for i, texts in by.items()}
 
 
 def sub_queries(question: Column, found: Column, protos: Column, vlans: Column, ifaces: Column) -> Column:
     """Ordered, distinct search texts for a question, six at most."""
     none = F.array().cast("array<string>")
-
-    def for_protocol(p: Column) -> Column:
-        chain = none
-        for name, table in K.PROTOCOL_QUERIES.items():
-            chain = F.when(p == name, _by_intent(found, table)).otherwise(chain)
-        return chain
-
     for_vlans = F.when(
         found == "configuration",
         F.transform(vlans, lambda v: F.concat(F.lit("Huawei "), v, F.lit(" configuration"))),
-    ).otherwise(F.when(F.size(vlans) > 0, _by_intent(found, K.VLAN_QUERIES)).otherwise(none))
+    ).otherwise(F.when(F.size(vlans) > 0, lookup(K.VLAN_QUERIES, found)).otherwise(none))
     q = F.lower(question)
     context = [F.when(q.contains(w), lit_array(texts)).otherwise(none) for w, texts in K.CONTEXT_QUERIES]
     gathered = F.array_distinct(F.concat(
-        F.flatten(F.transform(protos, for_protocol)),
+        F.flatten(F.transform(protos, lambda p: lookup(PROTOCOL_TABLE, F.concat_ws(" ", p, found)))),
         for_vlans,
-        F.when(F.size(ifaces) > 0, _by_intent(found, K.INTERFACE_QUERIES)).otherwise(none),
+        F.when(F.size(ifaces) > 0, lookup(K.INTERFACE_QUERIES, found)).otherwise(none),
         *context,
-        _by_intent(found, K.INTENT_QUERIES),
+        lookup(K.INTENT_QUERIES, found),
     ))
-    return F.slice(
-        F.when(F.size(gathered) > 0, gathered).otherwise(lit_array(K.DEFAULT_QUERIES)), 1, K.MAX_SUB_QUERIES
-    )
+    return let(gathered, lambda g: F.slice(
+        F.when(F.size(g) > 0, g).otherwise(lit_array(K.DEFAULT_QUERIES)), 1, K.MAX_SUB_QUERIES))
 
 
 def audit_queries(targets: Column, protos: Column, live: Column) -> Column:

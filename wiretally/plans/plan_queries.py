@@ -42,7 +42,6 @@ STRATEGY_SQL = """CASE WHEN intent IN ('diagnostic', 'optimization', 'health_rep
   WHEN intent = 'status_check' AND n_dev > 0 THEN 'device_only' WHEN intent = 'status_check' THEN 'hybrid'
   WHEN intent IN ('configuration', 'comparison') AND n_dev > 0 THEN 'hybrid' WHEN intent = 'audit' THEN 'comparison'
   ELSE 'rag_only' END"""
-BORDER = r"[^\p{L}\p{N}_]"
 LIVE_SQL = "intent IN ('diagnostic', 'optimization', 'health_report', 'status_check')"
 SCHEMA_SQL = _any_sql("lower(question)", K.SCHEMA_WORDS)
 
@@ -57,8 +56,8 @@ loose AS (SELECT DISTINCT question_id, w AS device FROM word WHERE regexp_full_m
   AND question_id NOT IN (SELECT question_id FROM known)),
 device AS (SELECT *, true AS registered FROM known UNION ALL SELECT *, false FROM loose),
 dev AS (SELECT question_id, count(*) AS n_dev FROM device GROUP BY ALL),
-proto AS (SELECT question_id, ord, p FROM asked JOIN {_values([(i, p) for i, p in enumerate(K.PROTOCOLS)])} v(ord, p)
-  ON regexp_matches(question, '(?i)(^|{BORDER})' || p || '($|{BORDER})')),
+proto AS (SELECT question_id, ord, p FROM word JOIN {_values([(i, p) for i, p in enumerate(K.PROTOCOLS)])} v(ord, p)
+  ON w = p),
 vl AS (SELECT question_id, 'VLAN' || unnest(regexp_extract_all(question, '(?i)VLAN\\s*(\\d+)', 1)) AS v,
   unnest(range(len(regexp_extract_all(question, '(?i)VLAN\\s*(\\d+)', 1)))) AS pos FROM asked),
 vlan AS (SELECT question_id, v, min(pos) AS pos FROM vl GROUP BY ALL),
