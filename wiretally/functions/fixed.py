@@ -178,7 +178,7 @@ OSPF_STATE = r"(?i)State:\s*([\w\-]+)"
 OSPF_BRIEF = (
     r"(?i)([\d.]+)\s+\d+\s+(Full|Init|2-Way|ExStart|Exchange|Loading|Down)[/\w]*\s+\d+\s+([\d.]+)\s+([\w/.\-]+)"
 )
-BGP_ROW = r"(?md)^([\d.]+)\s+\d+\s+(\d+)\s+\d+\s+\d+\s+\d+\s+([\w:]+)\s+(\w+)\s*(\d*)"
+BGP_ROW = r"(?md)^([\d.]+)\s+\d+\s+(\d+)\s+\d+\s+\d+\s+\d+\s+([\w:]+)\s+(\w+)[ \t]*(\d*)"
 VRRP_BLOCK = r"(?<!\S)(?=\S+\s*\|\s*Virtual Router)"
 STP_ROW = r"(?i)^(\d+)\s+(\S+)\s+(\S+)\s+(FORWARDING|DISCARDING|LEARNING|DISCARD)\s*(\S+)?"
 LLDP_ROW = r"(?md)^(\S+)\s+(\S+)\s+(\S+)\s+(\d+s)"

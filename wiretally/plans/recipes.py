@@ -285,3 +285,126 @@ MANIFEST = """manifest AS (
   SELECT md5('file_' || doc_id) AS file_id, 'doc_' || doc_id || '.pdf' AS filename,
     TIMESTAMP '2024-01-01' + to_seconds((doc_id * 7919) % 100000) AS ingested_at, n_chars // 800 AS chunks_indexed
   FROM documents)"""
+
+
+# --------------------------------------------------------------------------- device captures
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One exported session per document: its lines become the rows of each command.
+
+    Line j of length h gives one interface, VLAN, route and so on. The CPU
+    command appears twice, the first time with a stale value.
+    """
+    def rows(head: str, line: str) -> str:
+        return f"concat('{head}', array_join(transform(ls, (h, j) -> {line}), ''))"
+
+    port = "concat('GigabitEthernet0/', j div 48, '/', j % 48)"
+    phy = "CASE WHEN h % 4 = 0 THEN 'down' WHEN h % 7 = 1 THEN '*down' ELSE 'up' END"
+    pro = "CASE WHEN h % 4 = 0 OR h % 7 = 1 OR h % 5 = 0 THEN 'down' ELSE 'up' END"
+    state = "element_at(array('Full', 'Init', '2-Way', 'Full'), h % 4 + 1)"
+    parts = {
+        "display version": "concat('VRP (R) software, Version 5.', doc_id % 9, '\\nHuawei AR', doc_id % 40, ' ', "
+                           "CASE WHEN doc_id % 3 = 0 THEN 'Router' ELSE 'Switch' END, ' uptime is ', size(ls), ' days\\n',"
+                           "CASE WHEN doc_id % 2 = 0 THEN 'Last reboot reason : power off\\n' ELSE '' END)",
+        "display interface brief": rows("Interface                   PHY   Protocol\\n",
+                                        f"concat({port}, '   ', {phy}, '    ', {pro}, '\\n')"),
+        "display current-configuration": "concat('sysname ', name, CASE WHEN doc_id % 4 = 1 THEN '-OLD' ELSE '-CORE' END,"
+            " '\\n#\\n', CASE WHEN doc_id % 2 = 0 THEN 'ospf 1\\n#\\n' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN "
+            "'bgp 65001\\n#\\n' ELSE '' END, CASE WHEN doc_id % 7 = 0 THEN 'dhcp enable\\n' ELSE '' END, "
+            f"array_join(transform(ls, (h, j) -> concat('interface ', {port}, '\\n', CASE WHEN h % 3 = 0 THEN "
+            "concat(' ip address 10.', h % 256, '.', j, '.1 255.255.255.0\\n') ELSE ' description link\\n' END, '#\\n')), ''))",
+        "display vlan": rows("VID  Type    Ports\\n1    common  UT:GE0/0/1(U)\\n",
+                             "concat(2 + h % 4000, '    ', element_at(array('common', 'super', 'sub'), j % 3 + 1), "
+                             "'  UT:GE0/0/', j % 48, '(U)\\n')"),
+        "display ip routing-table": rows("Destination/Mask Proto Pre Cost Flags NextHop Interface\\n",
+            "concat('10.', h % 256, '.', j, '.0/24  ', element_at(array('Direct', 'Static', 'OSPF', 'RIP', 'BGP', 'ISIS'), "
+            f"j % 6 + 1), '  60  0  RD  10.0.0.', j % 250, '  ', {port}, '\\n')"),
+        "display ospf peer": "CASE WHEN doc_id % 5 = 0 THEN " + rows("Router-Id Pri State Up Address Interface\\n",
+            f"concat('10.1.', j, '.', h % 250, ' 1 ', {state}, '/DR 30 10.0.', j, '.2 ', {port}, '\\n')")
+            + " ELSE " + rows(" OSPF Process 1 with Router ID 10.9.9.9\\n",
+            "concat(CASE WHEN j % 3 = 0 THEN concat(' Area 0.0.0.0 interface 10.0.', j, '.1(', " + port + ", ')', chr(39), "
+            "'s neighbors\\n') ELSE '' END, ' Router ID: 10.1.', j, '.', h % 250, '   Address: 10.0.', j, '.2\\n', "
+            "CASE WHEN h % 6 = 5 THEN '' ELSE concat('   State: ', " + state + ", '  Mode:Nbr is Master\\n') END)") + " END",
+        "display bgp peer": rows("Peer V AS MsgRcvd MsgSent OutQ Up/Down State PfxRcd\\n",
+            "concat('192.168.', j, '.', h % 250, '  4 ', 65000 + j, '  10  10  0 00:05:23 ', "
+            "CASE WHEN h % 3 = 0 THEN 'Idle' ELSE 'Established' END, CASE WHEN h % 2 = 0 THEN concat('  ', h % 100) ELSE '' END,"
+            " '\\n')"),
+        "display vrrp": rows("", "concat('Vlanif', 2 + h % 4000, ' | Virtual Router ', j + 1, '\\n', "
+            "CASE WHEN h % 4 = 3 THEN '' ELSE concat(' State : ', CASE WHEN j % 2 = 0 THEN 'Master' ELSE 'Backup' END, '\\n') END,"
+            " ' Virtual IP : 10.', h % 256, '.', j, '.254\\n', "
+            "CASE WHEN j % 3 = 2 THEN '' ELSE concat(' Priority : ', 100 + j, '\\n') END)"),
+        "display stp brief": rows(" MSTID  Port                        Role  STP State     Protection\\n",
+            f"concat('   0    ', {port}, '  ', CASE WHEN j = 0 THEN 'ROOT' ELSE 'DESI' END, '  ', "
+            "CASE WHEN h % 3 = 0 THEN 'discarding' ELSE 'FORWARDING' END, CASE WHEN h % 2 = 0 THEN '  BPDU' ELSE '' END, '\\n')"),
+        "display lldp neighbor brief": rows("Local Intf     Neighbor Dev       Neighbor Intf     Exptime\\n",
+            f"concat({port}, '  S', h, '  GE0/0/', j % 48, '  ', 60 + j, 's\\n')"),
+        "display cpu-usage": "concat('CPU Usage : ', size(ls) % 100, '.5% Max: 99%\\n')",
+        "display memory-usage": "CASE WHEN doc_id % 6 = 5 THEN 'No data\\n' WHEN doc_id % 6 = 4 THEN concat(n_chars % 100, '% of memory\\n') "
+                                "ELSE concat('Memory Using Rate: ', n_chars % 100, '%\\n') END",
+    }
+    stale = "concat('[', name, ']display cpu-usage\\nCPU Usage : 1%\\n')"
+    text = f"concat('# export of ', name, '\\n', {stale}, " + ", ".join(
+        f"'[', name, ']{command}\\n', {body}" for command, body in parts.items()) + ", '[', name, ']\\n')"
+    return (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", "n_chars", F.transform(F.split("text", "\n", -1), F.length).alias("ls"))
+        .withColumn("name", F.expr("concat(CASE WHEN doc_id % 3 = 0 THEN 'R' ELSE 'S' END, doc_id)"))
+        .select(F.col("name").alias("device_name"), F.lit("2024-01-01T00:00:00").alias("collected_at"),
+                F.expr("CASE WHEN doc_id % 3 = 0 THEN 'ssh' ELSE 'file' END").alias("access_mode"),
+                F.expr(text).alias("session_text"))
+    )
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wiretally.operators.telemetry import outputs_map
+
+    return outputs_map(sessions(spark, sf_dir))
+
+
+def capture_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry of the captured devices; every eleventh is missing from it."""
+    i = F.col("doc_id")
+    return table(spark, sf_dir, "documents").filter(i % 11 != 10).select(
+        F.concat(F.when(i % 3 == 0, "R").otherwise("S"), i.cast("string")).alias("name"),
+        F.when(i % 3 == 0, "router").otherwise("switch").alias("type"),
+        F.when(i % 4 == 0, "telnet").otherwise("ssh").alias("protocol"),
+        _text("10.7.", F.floor(i / 250) % 250, ".", i % 250).alias("mgmt_ip"))
+
+
+# Rows the parsers must find, straight from the line lengths.
+CAPTURE = LINES + """,
+dv AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 3 = 0 THEN 'R' ELSE 'S' END || doc_id AS device_name,
+  len(string_split(text, chr(10))) AS n_lines, CASE WHEN doc_id % 3 = 0 THEN 'router' ELSE 'switch' END AS device_type,
+  '10.7.' || ((doc_id // 250) % 250) || '.' || (doc_id % 250) AS mgmt_ip,
+  CASE WHEN doc_id % 3 = 0 THEN 'ssh' ELSE 'file' END AS access_mode FROM documents),
+jl AS (SELECT device_name, lh.doc_id, p AS j, h, 'GigabitEthernet0/' || (p // 48) || '/' || (p % 48) AS port,
+  CASE WHEN h % 4 = 0 THEN 'down' WHEN h % 7 = 1 THEN '*down' ELSE 'up' END AS phy,
+  CASE WHEN h % 4 = 0 OR h % 7 = 1 OR h % 5 = 0 THEN 'down' ELSE 'up' END AS pro,
+  (['Full', 'Init', '2-Way', 'Full'])[h % 4 + 1] AS nbr FROM lh JOIN dv USING (doc_id)),
+itf AS (SELECT device_name, doc_id, j, port AS name, phy AS phy_state, pro AS pro_state, phy || '/' || pro AS state,
+  CASE WHEN h % 3 = 0 THEN '10.' || (h % 256) || '.' || j || '.1/255.255.255.0' ELSE '' END AS ip FROM jl),
+vla AS (SELECT device_name, doc_id, -1 AS j, '1' AS id, 'common' AS type, 'UT:GE0/0/1(U)' AS ports FROM dv
+  UNION ALL SELECT device_name, doc_id, j, (2 + h % 4000)::VARCHAR, (['common', 'super', 'sub'])[j % 3 + 1],
+  'UT:GE0/0/' || (j % 48) || '(U)' FROM jl),
+rou AS (SELECT device_name, doc_id, j, '10.' || (h % 256) || '.' || j || '.0/24' AS destination,
+  (['Direct', 'Static', 'OSPF', 'RIP', 'BGP', 'ISIS'])[j % 6 + 1] AS protocol, '10.0.0.' || (j % 250) AS nexthop,
+  port AS interface FROM jl),
+osp AS (SELECT device_name, doc_id, j, '10.1.' || j || '.' || (h % 250) AS router_id, '10.0.' || j || '.2' AS address,
+  CASE WHEN doc_id % 5 = 0 THEN port ELSE 'GigabitEthernet0/' || ((j - j % 3) // 48) || '/' || ((j - j % 3) % 48) END
+    AS interface,
+  CASE WHEN doc_id % 5 <> 0 AND h % 6 = 5 THEN '' ELSE nbr END AS state FROM jl),
+bgp AS (SELECT device_name, doc_id, j, '192.168.' || j || '.' || (h % 250) AS peer_ip, (65000 + j)::VARCHAR AS "as",
+  '00:05:23' AS up_down, CASE WHEN h % 3 = 0 THEN 'Idle' ELSE 'Established' END AS state,
+  CASE WHEN h % 2 = 0 THEN (h % 100)::VARCHAR ELSE '0' END AS prefixes FROM jl),
+vrr AS (SELECT device_name, doc_id, j, 'Vlanif' || (2 + h % 4000) AS interface, (j + 1)::VARCHAR AS vrid,
+  CASE WHEN h % 4 = 3 THEN 'unknown' WHEN j % 2 = 0 THEN 'Master' ELSE 'Backup' END AS state,
+  '10.' || (h % 256) || '.' || j || '.254' AS virtual_ip,
+  CASE WHEN j % 3 = 2 THEN '' ELSE (100 + j)::VARCHAR END AS priority FROM jl),
+stp AS (SELECT device_name, doc_id, j, '0' AS mstid, port, CASE WHEN j = 0 THEN 'ROOT' ELSE 'DESI' END AS role,
+  CASE WHEN h % 3 = 0 THEN 'DISCARDING' ELSE 'FORWARDING' END AS state,
+  CASE WHEN h % 2 = 0 THEN 'BPDU' ELSE 'NONE' END AS protection FROM jl),
+lld AS (SELECT device_name, doc_id, j, port AS local_interface, 'S' || h AS neighbor_device,
+  'GE0/0/' || (j % 48) AS neighbor_interface, (60 + j) || 's' AS expire FROM jl),
+met AS (SELECT device_name, doc_id, n_lines % 100 + 0.5::DOUBLE AS cpu,
+  CASE WHEN doc_id % 6 = 5 THEN NULL ELSE (n_chars % 100)::DOUBLE END AS memory FROM dv)"""
