@@ -45,7 +45,8 @@ def with_halo(df: DataFrame, keys: list[str], position: str, size: int, before:
     Returns the rows with ``_seg`` and ``_own`` (false for border copies) and
     the window to use. A frame of at most ``before`` rows back and ``after``
     rows ahead sees the same rows as it would in the undivided document; drop
-    the rows with ``_own = false`` after it. ``position`` must be dense.
+    the rows with ``_own = false`` after it. For row frames ``position`` must be
+    dense; for range frames rows may be missing.
     """
     if max(before, after) > size:
         raise ValueError("segments must be longer than the frame")
@@ -68,6 +69,27 @@ def with_halo(df: DataFrame, keys: list[str], position: str, size: int, before:
     return spread, W.partitionBy(*keys, "_seg").orderBy(position)
 
 
+def carry_last(df: DataFrame, keys: list[str], position: str, value: str, size: int, out: str) -> DataFrame:
+    """Last non-null ``value`` at or before each row, however far back.
+
+    Looked up inside the segment first; one row per segment carries the value
+    over to the segments behind it.
+    """
+    parted = df.withColumn("_seg", segment_of(F.col(position), size))
+    inside = W.partitionBy(*keys, "_seg").orderBy(position).rowsBetween(W.unboundedPreceding, 0)
+    ends = parted.groupBy(*keys, "_seg").agg(
+        F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(position).alias("p"), F.col(value).alias("v")))).alias("_e")
+    )
+    earlier = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_seg", F.last(F.col("_e.v"), ignorenulls=True).over(earlier).alias("_carried"))
+    return (
+        parted.withColumn("_inside", F.last(value, ignorenulls=True).over(inside))
+        .join(carried, [*keys, "_seg"])
+        .withColumn(out, F.coalesce("_inside", "_carried"))
+        .drop("_seg", "_inside", "_carried")
+    )
+
+
 def own_rows(df: DataFrame) -> DataFrame:
     return df.filter("_own").drop("_own", "_seg")
 

@@ -408,3 +408,72 @@ lld AS (SELECT device_name, doc_id, j, port AS local_interface, 'S' || h AS neig
   'GE0/0/' || (j % 48) AS neighbor_interface, (60 + j) || 's' AS expire FROM jl),
 met AS (SELECT device_name, doc_id, n_lines % 100 + 0.5::DOUBLE AS cpu,
   CASE WHEN doc_id % 6 = 5 THEN NULL ELSE (n_chars % 100)::DOUBLE END AS memory FROM dv)"""
+
+
+# --------------------------------------------------------------------------- manuals
+
+
+def manual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manual line table: requirement lines per document line, by its position.
+
+    Some requirements differ from the captured device (shifted, left out, added),
+    and long manuals have stretches without any device name.
+    """
+    parts = """flatten(transform(ls, (h, j) -> filter(array(
+      CASE WHEN j % 23 = 0 THEN concat('Equipement ', name, '-CORE-SWITCH',
+        CASE WHEN doc_id % 4 = 1 THEN concat(' et S', doc_id + 1) ELSE '' END, ' :') END,
+      CASE WHEN j % 6 <> 5 THEN concat('  VLAN ', 2 + h % 4000 + CASE WHEN j % 9 = 8 THEN 100 ELSE 0 END) END,
+      CASE WHEN j % 8 = 6 THEN concat('vlan batch ', 2 + h % 4000, ' ', 2 + (h + 1) % 4000) END,
+      CASE WHEN j % 4 = 1 THEN concat('ip route-static 10.', (h + CASE WHEN j % 12 = 5 THEN 1 ELSE 0 END) % 256, '.', j,
+        '.0 255.255.255.0 10.0.0.', j % 250) END,
+      CASE WHEN j % 5 = 0 THEN concat('Uplink GE 0/', j div 48, '/', j % 48, ' actif') END,
+      CASE WHEN j % 7 = 3 THEN '  ' END,
+      CASE WHEN j % 10 = 4 THEN concat('sysname ', name, '-CORE') END,
+      CASE WHEN j % 13 = 6 THEN 'ospf area 0 network' END,
+      CASE WHEN j % 9 = 2 THEN concat('port GigabitEthernet0/', j div 48, '/', j % 48, ' access') END
+    ), x -> x IS NOT NULL)))"""
+    return (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", F.transform(F.split("text", "\n", -1), F.length).alias("ls"))
+        .withColumn("name", F.expr("concat(CASE WHEN doc_id % 3 = 0 THEN 'R' ELSE 'S' END, doc_id)"))
+        .select(_text("doc_", F.col("doc_id"), ".pdf").alias("source_file"), F.posexplode(F.expr(parts)).alias("line_no", "line"))
+        .withColumn("line_no", F.col("line_no").cast("bigint"))
+    )
+
+
+MANUAL = CAPTURE + """,
+man0 AS (
+  SELECT doc_id, device_name, j, h, 0 AS slot, 'dev' AS kind, 'Equipement ' || device_name || '-CORE-SWITCH'
+    || CASE WHEN doc_id % 4 = 1 THEN ' et S' || (doc_id + 1) ELSE '' END || ' :' AS line FROM jl WHERE j % 23 = 0
+  UNION ALL SELECT doc_id, device_name, j, h, 1, 'vlan', '  VLAN ' || (2 + h % 4000 + CASE WHEN j % 9 = 8 THEN 100 ELSE 0 END)
+    FROM jl WHERE j % 6 <> 5
+  UNION ALL SELECT doc_id, device_name, j, h, 2, 'batch', 'vlan batch ' || (2 + h % 4000) || ' ' || (2 + (h + 1) % 4000)
+    FROM jl WHERE j % 8 = 6
+  UNION ALL SELECT doc_id, device_name, j, h, 3, 'route', 'ip route-static 10.' || ((h + CASE WHEN j % 12 = 5 THEN 1 ELSE 0 END)
+    % 256) || '.' || j || '.0 255.255.255.0 10.0.0.' || (j % 250) FROM jl WHERE j % 4 = 1
+  UNION ALL SELECT doc_id, device_name, j, h, 4, 'ge', 'Uplink GE 0/' || (j // 48) || '/' || (j % 48) || ' actif' FROM jl
+    WHERE j % 5 = 0
+  UNION ALL SELECT doc_id, device_name, j, h, 5, 'blank', '  ' FROM jl WHERE j % 7 = 3
+  UNION ALL SELECT doc_id, device_name, j, h, 6, 'sys', 'sysname ' || device_name || '-CORE' FROM jl WHERE j % 10 = 4
+  UNION ALL SELECT doc_id, device_name, j, h, 7, 'ospf', 'ospf area 0 network' FROM jl WHERE j % 13 = 6
+  UNION ALL SELECT doc_id, device_name, j, h, 8, 'port', 'port GigabitEthernet0/' || (j // 48) || '/' || (j % 48) || ' access'
+    FROM jl WHERE j % 9 = 2),
+man AS (SELECT *, 'doc_' || doc_id || '.pdf' AS source_file,
+  row_number() OVER (PARTITION BY doc_id ORDER BY j, slot) - 1 AS line_no FROM man0),
+named AS (SELECT doc_id, line_no, device_name AS device FROM man WHERE kind IN ('dev', 'sys')
+  UNION ALL SELECT doc_id, line_no, 'S' || (doc_id + 1) FROM man WHERE kind = 'dev' AND doc_id % 4 = 1),
+lastd AS (SELECT *, max(CASE WHEN kind IN ('dev', 'sys') THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no)
+  AS dev_line FROM man),
+near AS (SELECT l.*, n.device, l.line_no - l.dev_line AS dist FROM lastd l JOIN named n
+  ON n.doc_id = l.doc_id AND n.line_no = l.dev_line),
+evl AS (SELECT DISTINCT source_file, device, vlan FROM (
+    SELECT source_file, device, dist, 2 + h % 4000 + CASE WHEN j % 9 = 8 THEN 100 ELSE 0 END AS vlan FROM near WHERE kind = 'vlan'
+    UNION ALL SELECT source_file, device, dist, 2 + h % 4000 FROM near WHERE kind = 'batch'
+    UNION ALL SELECT source_file, device, dist, 2 + (h + 1) % 4000 FROM near WHERE kind = 'batch')
+  WHERE dist <= 10 AND device NOT LIKE 'R%' AND vlan BETWEEN 2 AND 4094),
+ert AS (SELECT source_file, line_no, device, '10.' || ((h + CASE WHEN j % 12 = 5 THEN 1 ELSE 0 END) % 256) || '.' || j || '.0'
+  AS network, '255.255.255.0' AS mask, '10.0.0.' || (j % 250) AS next_hop FROM near WHERE kind = 'route' AND dist <= 10),
+eif AS (SELECT DISTINCT source_file, device, 'GigabitEthernet0/' || (j // 48) || '/' || (j % 48) AS interface FROM near
+  WHERE kind IN ('ge', 'port') AND dist <= 3),
+ehn AS (SELECT DISTINCT source_file, device_name AS device, device_name || '-CORE' AS host_name FROM man WHERE kind = 'sys'),
+dsrc AS (SELECT *, 'doc_' || doc_id || '.pdf' AS source_file FROM dv)"""
