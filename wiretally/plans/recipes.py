@@ -16,8 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, p (line position from 0), line, h (line length)."""
+    return lines_from(table(spark, sf_dir, "documents"))
+
+
+def lines_from(documents: DataFrame) -> DataFrame:
     return (
-        table(spark, sf_dir, "documents")
+        documents
         .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
         .withColumn("h", F.length("line"))
     )
@@ -32,6 +36,10 @@ lh AS (SELECT *, length(line) AS h FROM ln)"""
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks_from(table(spark, sf_dir, "documents"))
+
+
+def blocks_from(documents: DataFrame) -> DataFrame:
     """Positioned page blocks. Each document line is a text block; by its position
     a heading, a command-line block, a table or an image stands beside it."""
     p, h = F.col("p"), F.col("h").cast("string")
@@ -58,7 +66,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    (300 + (F.col("h") * 13) % 500).cast("int"))),
     )
     return (
-        document_lines(spark, sf_dir)
+        lines_from(documents)
         .select("doc_id", "p", "line", "h", F.explode(F.filter(slots, lambda s: s.isNotNull())).alias("s"))
         .select(
             F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_file"),
@@ -291,6 +299,10 @@ MANIFEST = """manifest AS (
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions_from(table(spark, sf_dir, "documents"))
+
+
+def sessions_from(documents: DataFrame) -> DataFrame:
     """One exported session per document: its lines become the rows of each command.
 
     Line j of length h gives one interface, VLAN, route and so on. The CPU
@@ -347,7 +359,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = f"concat('# export of ', name, '\\n', {stale}, " + ", ".join(
         f"'[', name, ']{command}\\n', {body}" for command, body in parts.items()) + ", '[', name, ']\\n')"
     return (
-        table(spark, sf_dir, "documents")
+        documents
         .select("doc_id", "n_chars", F.transform(F.split("text", "\n", -1), F.length).alias("ls"))
         .withColumn("name", F.expr("concat(CASE WHEN doc_id % 3 = 0 THEN 'R' ELSE 'S' END, doc_id)"))
         .select(F.col("name").alias("device_name"), F.lit("2024-01-01T00:00:00").alias("collected_at"),
@@ -477,3 +489,38 @@ eif AS (SELECT DISTINCT source_file, device, 'GigabitEthernet0/' || (j // 48) ||
   WHERE kind IN ('ge', 'port') AND dist <= 3),
 ehn AS (SELECT DISTINCT source_file, device_name AS device, device_name || '-CORE' AS host_name FROM man WHERE kind = 'sys'),
 dsrc AS (SELECT *, 'doc_' || doc_id || '.pdf' AS source_file FROM dv)"""
+
+
+# --------------------------------------------------------------------------- history and reachability
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turn t with assistant turn t + 1 as one history entry."""
+    talk = table(spark, sf_dir, "conversations")
+    c = F.col("conv_id")
+    asked = talk.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    answered = talk.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return asked.join(answered, ["conv_id", "turn"], "left").select(
+        _text(c, "-", F.col("turn")).alias("id"), F.floor(c / 10).alias("user_key"), "question",
+        F.coalesce("answer", F.lit("")).alias("answer"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + c * 3600 + F.col("turn") * 60).alias("created_at"),
+        F.when(c % 5 == 0, "pending").otherwise("done").alias("status"), (c % 5 == 1).alias("is_error"),
+        (c % 3 == 0).alias("health_report_requested"))
+
+
+HISTORY = """history AS (
+  SELECT u.conv_id || '-' || u.turn AS id, u.conv_id // 10 AS user_key, u.conv_id, u.text AS question,
+    coalesce(a.text, '') AS answer, TIMESTAMP '2024-01-01' + to_seconds(u.conv_id * 3600 + u.turn * 60) AS created_at,
+    CASE WHEN u.conv_id % 5 = 0 THEN 'pending' ELSE 'done' END AS status, u.conv_id % 5 = 1 AS is_error,
+    u.conv_id % 3 = 0 AS health_report_requested
+  FROM (SELECT * FROM conversations WHERE role = 'user') u
+  LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant') a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1)"""
+
+
+def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reachability of the registered devices; some are unknown."""
+    return registry(spark, sf_dir).filter("ordinal % 5 <> 4").select("name", (F.col("ordinal") % 5 < 3).alias("reachable"))
+
+
+REACHABILITY = REGISTRY + """,
+reach AS (SELECT name, ordinal % 5 < 3 AS reachable FROM registry WHERE ordinal % 5 <> 4)"""
