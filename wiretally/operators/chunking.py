@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wiretally.functions import fixed as K
 from wiretally.functions.ordered import number_rows, own_rows, with_halo
+from wiretally.functions.rows import unfold
 from wiretally.functions.text import chars, let, lines_of, strip
 from wiretally.operators.prepare import order_blocks, prepare_blocks
 
@@ -64,15 +65,15 @@ def merge_short(blocks: DataFrame, settings: ChunkSettings = DEFAULTS) -> DataFr
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(_joined(F.element_at(done, -1), b))),
         ).otherwise(F.concat(done, F.array(b))),
     )
-    return (
+    runs = (
         blocks.withColumn("content", F.coalesce(F.col("content"), F.lit("")))
         .withColumn("_starts", starts)
         .withColumn("_run", F.sum("_starts").over(page.rowsBetween(W.unboundedPreceding, 0)))
         .groupBy("source_file", "page_segment", "page_number", "_run")
         .agg(F.sort_array(F.collect_list(row)).alias("rows"))
-        .select("source_file", "page_segment", "page_number", F.explode(folded).alias("b"))
-        .select("source_file", "page_segment", "page_number", "b.*")
     )
+    page_keys = ["source_file", "page_segment", "page_number"]
+    return unfold(runs, page_keys, folded, "b").select(*page_keys, "b.*")
 
 
 def split_windows(text: Column, settings: ChunkSettings = DEFAULTS) -> Column:
@@ -90,23 +91,26 @@ def _fold_windows(text: Column, total: Column, settings: ChunkSettings) -> Colum
     size, zone = settings.max_chars, settings.cut_zone
     least = size - zone - settings.overlap
 
-    def step(acc: Column, _: Column) -> Column:
-        start = acc["next"]
-        tail = F.substring(text, start + (size - zone + 1), F.lit(zone))
-        back = F.instr(F.reverse(tail), "\n")
-        cut = F.when((start + size < total) & (back > 0), start + size - back).otherwise(start + size)
-        piece = F.substring(text, start + 1, cut - start)
-        keep = (start < total) & (F.length(strip(piece)) > 0)
+    def advance(acc: Column, start: Column, cut: Column, piece: Column) -> Column:
+        keep = (start < total) & (F.length(piece) > 0)
         if settings.drop_contained_tails:
             keep = keep & ((start == 0) | (start + settings.overlap < total))
-        window = F.struct(
-            start.alias("split_start"), F.least(cut, total).alias("split_end"), strip(piece).alias("piece")
-        )
+        window = F.struct(start.alias("split_start"), F.least(cut, total).alias("split_end"), piece.alias("piece"))
         return F.struct(
             F.when(start < total, cut - settings.overlap).otherwise(start).alias("next"),
             F.when(keep, F.concat(acc["done"], F.array(window))).otherwise(acc["done"]).alias("done"),
         )
 
+    def step(acc: Column, _: Column) -> Column:
+        start = acc["next"]
+        raw = F.substring(text, start + 1, F.lit(size))
+        return F.when(start >= total, acc).otherwise(let(raw, lambda w: let(
+            F.when(start + size < total, F.instr(F.reverse(F.substring(w, F.lit(size - zone + 1), F.lit(zone))), "\n"))
+            .otherwise(0),
+            lambda back: advance(acc, start, start + size - back,
+                                 strip(F.when(back > 0, F.substring(w, F.lit(1), size - back)).otherwise(w))),
+        )))
+
     first = F.struct(
         F.lit(0).alias("next"),
         F.array().cast("array<struct<split_start:int,split_end:int,piece:string>>").alias("done"),
@@ -126,16 +130,18 @@ def split_long(pieces: DataFrame, settings: ChunkSettings = DEFAULTS) -> DataFra
         )
     )
     part = F.when(F.col("_w.split_start").isNotNull(), F.col("_part").cast("bigint"))
+    cut = F.when(long_text, split_windows(F.col("content"), settings)).otherwise(whole)
+    counted = let(cut, lambda w: F.transform(w, lambda x: F.struct(
+        x["split_start"].alias("split_start"), x["split_end"].alias("split_end"), x["piece"].alias("piece"),
+        F.size(w).cast("bigint").alias("n"))))
     return (
-        pieces.withColumn("_windows", F.when(long_text, split_windows(F.col("content"), settings)).otherwise(whole))
-        .withColumn("_count", F.size("_windows").cast("bigint"))
-        .select("*", F.posexplode("_windows").alias("_part", "_w"))
+        unfold(pieces, list(pieces.columns), counted, "_w", "_part")
         .withColumn("content", strip(F.col("_w.piece")))
         .withColumn("split_part", part)
-        .withColumn("split_total", F.when(part.isNotNull(), F.col("_count")))
+        .withColumn("split_total", F.when(part.isNotNull(), F.col("_w.n")))
         .withColumn("split_start", F.col("_w.split_start").cast("bigint"))
         .withColumn("split_end", F.col("_w.split_end").cast("bigint"))
-        .drop("_windows", "_count", "_w", "_part")
+        .drop("_w", "_part")
     )
 
 

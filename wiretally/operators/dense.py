@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from wiretally.functions.ranking import top_k
+from wiretally.functions.rows import unfold
 from wiretally.functions.text import tokens
 
 #: Queries up to this number of rows are shipped to every task; more are blocked.
@@ -205,8 +206,7 @@ def approximate_top_k(
         from pyspark.ml.functions import vector_to_array
 
         return (
-            model.transform(df)
-            .select("i", "v", F.posexplode("h").alias("table", "_h"))
+            unfold(model.transform(df), ["i", "v"], "h", "_h", "table")
             .select("i", "v", "table", vector_to_array("_h")[0].cast("bigint").alias("bucket"))
         )
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wiretally.functions import fixed as K
 from wiretally.functions.ordered import carry_last, own_rows, text_parts, with_halo
+from wiretally.functions.rows import unfold
 from wiretally.functions.text import all_matches, strip
 
 LINES_PER_SEGMENT = 4096
@@ -116,8 +117,7 @@ def expected_host_names(manual: DataFrame) -> DataFrame:
 
     hits = F.flatten(F.array(*[named(n, p) for n, p in enumerate(K.HOST_NAME_PATTERNS)]))
     return (
-        own_rows(spread.withColumn("_phrase", phrase))
-        .select("source_file", F.explode(hits).alias("_h"))
+        unfold(own_rows(spread.withColumn("_phrase", phrase)), ["source_file"], hits, "_h")
         .withColumn("device", normal_name(F.col("_h.name")))
         .filter(F.regexp_like("device", F.lit(r"^[SR]\d+$")))
         .groupBy("source_file", "device")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wiretally.functions import fixed as K
+from wiretally.functions.rows import unfold
 from wiretally.functions.text import all_matches, contains_any, let, lookup, strip
 
 
@@ -58,7 +59,7 @@ def known_devices(questions: DataFrame, registry: DataFrame, key: str, text: str
     """(key, known): registry names that occur as whole words, in name order."""
     names = registry.select(F.upper("name").alias("_name")).distinct()
     return (
-        questions.select(key, F.explode(word_spans(F.col(text))).alias("_name"))
+        unfold(questions, [key], word_spans(F.col(text)), "_name")
         .join(names, "_name")
         .groupBy(key)
         .agg(F.array_sort(F.collect_set("_name")).alias("known"))
@@ -97,7 +98,7 @@ def validate_entities(proposals: DataFrame, registry: DataFrame, key: str = "que
     names = registry.select(F.upper("name").alias("_name")).distinct()
     cited = word_spans(F.col("question"))
     valid = (
-        proposals.select(key, F.posexplode("proposed_devices").alias("_pos", "_raw"), cited.alias("_cited"))
+        unfold(proposals, [key, cited.alias("_cited")], F.col("proposed_devices"), "_raw", "_pos")
         .withColumn("_name", F.upper("_raw"))
         .filter(F.array_contains("_cited", F.col("_name")))
         .join(names, "_name", "left_semi")
@@ -106,7 +107,7 @@ def validate_entities(proposals: DataFrame, registry: DataFrame, key: str = "que
         .select(key, F.array_distinct(F.transform("_v", lambda x: x["_name"])).alias("mentioned_devices"))
     )
     foreign = (
-        proposals.select(key, F.explode(F.array_except(word_spans(F.col("enriched_query")), cited)).alias("_name"))
+        unfold(proposals, [key], F.array_except(word_spans(F.col("enriched_query")), cited), "_name")
         .join(names, "_name", "left_semi")
         .groupBy(key)
         .agg(F.array_sort(F.collect_set("_name")).alias("_foreign"))
@@ -230,7 +231,7 @@ def plan_questions(questions: DataFrame, registry: DataFrame, key: str = "questi
 def query_variants(plans: DataFrame, key: str = "question_id") -> DataFrame:
     """(key, ordinal, variant_text): enriched text, three sub-queries, expansions."""
     texts = F.concat(F.array("enriched_query"), F.slice("sub_queries", 1, 3), F.col("audit_queries"))
-    return plans.select(key, F.posexplode(texts).alias("ordinal", "variant_text")).withColumn(
+    return unfold(plans, [key], texts, "variant_text", "ordinal").withColumn(
         "ordinal", F.col("ordinal").cast("bigint"))
 
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from wiretally.functions.ranking import top_k
+from wiretally.functions.rows import unfold
 from wiretally.functions.text import term_counts, tokens
 
 
@@ -23,10 +24,11 @@ def postings(corpus: DataFrame, id_col: str, text_col: str, keep=()) -> DataFram
 
     Counting happens in the row that holds the text, so no shuffle is needed.
     """
+    counted = corpus.select(id_col, *keep, term_counts(tokens(F.col(text_col))).alias("_tc"))
+    length = F.aggregate("_tc", F.lit(0).cast("bigint"), lambda n, t: n + t["tf"])
     return (
-        corpus.select(id_col, *keep, tokens(F.col(text_col)).alias("_tok"))
-        .select(id_col, *keep, F.size("_tok").cast("bigint").alias("chunk_len"), term_counts(F.col("_tok")).alias("_tc"))
-        .select(id_col, *keep, "chunk_len", F.explode("_tc").alias("_t"))
+        unfold(counted.select(id_col, *keep, F.struct("_tc", length.alias("n")).alias("_c")),
+               [id_col, *keep, F.col("_c.n").alias("chunk_len")], F.col("_c._tc"), "_t")
         .select(id_col, *keep, "chunk_len", F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"))
     )
 
@@ -53,7 +55,7 @@ def term_statistics(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def query_terms(queries: DataFrame, query_id: str, text_col: str) -> DataFrame:
-    return queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
+    return unfold(queries, [query_id], F.array_distinct(tokens(F.col(text_col))), "term")
 
 
 def sparse_scores(

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wiretally.functions import fixed as K
+from wiretally.functions.rows import unfold
 from wiretally.operators import planning as P
 from wiretally.plans import recipes as R
 
@@ -217,14 +218,14 @@ def query_enrichment(spark, d):
 
 @register("sub_queries", PLAN + " SELECT question_id, n, text AS sub_query FROM sub")
 def sub_queries(spark, d):
-    return plans(spark, d).select("question_id", F.posexplode("sub_queries").alias("n", "sub_query")).withColumn(
+    return unfold(plans(spark, d), ["question_id"], "sub_queries", "sub_query", "n").withColumn(
         "n", F.col("n").cast("bigint") + 1)
 
 
 @register("audit_expansion", PLAN + """
 SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY o) AS n, text AS audit_query FROM audit""")
 def audit_expansion(spark, d):
-    return plans(spark, d).select("question_id", F.posexplode("audit_queries").alias("n", "audit_query")).withColumn(
+    return unfold(plans(spark, d), ["question_id"], "audit_queries", "audit_query", "n").withColumn(
         "n", F.col("n").cast("bigint") + 1)
 
 

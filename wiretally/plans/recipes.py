@@ -9,9 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from wiretally.functions.rows import unfold
+from wiretally.sources.tables import spread_small
+
+
+#: Tables with per-row text or vector work.
+HEAVY = ("documents", "conversations", "customer", "benchmark", "embeddings")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(rows) if name in HEAVY else rows
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +29,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines_from(documents: DataFrame) -> DataFrame:
     return (
-        documents
-        .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
+        unfold(documents, ["doc_id"], F.split("text", "\n", -1), "line", "p")
         .withColumn("h", F.length("line"))
     )
 
@@ -66,8 +73,7 @@ def blocks_from(documents: DataFrame) -> DataFrame:
                                    (300 + (F.col("h") * 13) % 500).cast("int"))),
     )
     return (
-        lines_from(documents)
-        .select("doc_id", "p", "line", "h", F.explode(F.filter(slots, lambda s: s.isNotNull())).alias("s"))
+        unfold(lines_from(documents), ["doc_id", "p", "line", "h"], F.filter(slots, lambda s: s.isNotNull()), "s")
         .select(
             F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_file"),
             (F.floor(p / 5) + 1).cast("int").alias("page_number"),
@@ -444,13 +450,13 @@ def manual(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN j % 13 = 6 THEN 'ospf area 0 network' END,
       CASE WHEN j % 9 = 2 THEN concat('port GigabitEthernet0/', j div 48, '/', j % 48, ' access') END
     ), x -> x IS NOT NULL)))"""
-    return (
+    named = (
         table(spark, sf_dir, "documents")
         .select("doc_id", F.transform(F.split("text", "\n", -1), F.length).alias("ls"))
         .withColumn("name", F.expr("concat(CASE WHEN doc_id % 3 = 0 THEN 'R' ELSE 'S' END, doc_id)"))
-        .select(_text("doc_", F.col("doc_id"), ".pdf").alias("source_file"), F.posexplode(F.expr(parts)).alias("line_no", "line"))
-        .withColumn("line_no", F.col("line_no").cast("bigint"))
     )
+    return unfold(named, [_text("doc_", F.col("doc_id"), ".pdf").alias("source_file")], F.expr(parts), "line",
+                  "line_no").withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 MANUAL = CAPTURE + """,

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wiretally.functions import fixed as K
+from wiretally.functions.rows import unfold
 from wiretally.operators import chunking as CH, context as CX, dense as DE, fusion as FU, lookup as LK
 from wiretally.operators import planning as PL, sparse as SP
 from wiretally.plans import recipes as R
@@ -153,8 +154,7 @@ cosine AS (SELECT item_id, doc_id, round(coalesce(sum(q.x * v.x), 0.0), 6) AS sc
 SELECT doc_id, pos, coalesce(round(x, 6), 0.0) AS x FROM documents CROSS JOIN range(64) r(pos)
 LEFT JOIN (SELECT doc_id, b AS pos, x FROM dv_v) USING (doc_id, pos)""")
 def batch_embedding(spark, d):
-    return DE.hash_embed(R.table(spark, d, "documents"), "text").select(
-        "doc_id", F.posexplode("embedding").alias("pos", "x")).select(
+    return unfold(DE.hash_embed(R.table(spark, d, "documents"), "text"), ["doc_id"], "embedding", "x", "pos").select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
 
 
@@ -310,8 +310,7 @@ SELECT question_id, chunk_id, chunk_type AS type, page_number AS page, round(sco
 UNION ALL SELECT question_id, 'device_' || device, 'device_data', NULL, NULL, NULL, NULL, NULL, device,
   CASE WHEN CAST(substr(device, 2) AS INT) % 3 = 0 THEN 'ssh' ELSE 'file' END, '2024-01-01T00:00:00' FROM known""")
 def citation_list(spark, d):
-    named = retrieval_plans(spark, d).filter("target_scope = 'named'").select(
-        "question_id", F.explode("targets").alias("device_name"))
+    named = unfold(retrieval_plans(spark, d).filter("target_scope = 'named'"), ["question_id"], "targets", "device_name")
     devices = named.withColumn(
         "access_mode", F.when(F.substring("device_name", 2, 10).cast("int") % 3 == 0, "ssh").otherwise("file")
     ).withColumn("collected_at", F.lit("2024-01-01T00:00:00"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wiretally.functions import fixed as K
+from wiretally.functions.rows import unfold
 from wiretally.operators import telemetry as TM
 from wiretally.plans import recipes as R
 from wiretally.plans.plan_queries import _values
@@ -178,7 +179,7 @@ quick AS (SELECT device_name, 0 AS o, '⚠ CPU élevé : ' || printf('%.1f', cpu
 
 @register("quick_alerts", W + FLEET + " SELECT device_name, alert FROM quick")
 def quick_alerts(spark, d):
-    return data(spark, d).select("device_name", F.explode(TM.quick_alerts()).alias("alert"))
+    return unfold(data(spark, d), ["device_name"], TM.quick_alerts(), "alert")
 
 
 @register("fleet_summary", W + FLEET + """,

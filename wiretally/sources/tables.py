@@ -37,6 +37,22 @@ KINDS = ("text", "image", "table")
 INDEX_BUCKETS = 64
 
 
+#: An input below this many bytes per core is spread over all cores.
+SMALL_INPUT = 16 * 1024 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Use all cores for a small input that lies in one or two files.
+
+    A Parquet file with a single row group is read by one task, and row-wise text
+    work would stay in it. Only inputs that the planner estimates at less than
+    16 MB per core are redistributed; larger ones keep their scan partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if estimate < cores * SMALL_INPUT else df
+
+
 def read_blocks(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return accept_blocks(spark.read.schema(BLOCK_SCHEMA).format(fmt).load(path))
 
