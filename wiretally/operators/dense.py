@@ -114,25 +114,31 @@ def _broadcast_search(vectors, sample: pd.DataFrame, schema, vector_id, vector_c
     return rows.mapInPandas(run, schema)
 
 
-def _salted(df: DataFrame, cells: list[str], ident: str, salt: str, count: str, block: int) -> DataFrame:
-    """Spread the rows of each cell over as many salts as its size asks for."""
-    sizes = df.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(count))
-    return df.join(sizes, cells).withColumn(salt, F.pmod(F.xxhash64(ident), F.col(count)).cast("int"))
+def _block_counts(df: DataFrame, cells: list[str], count: str, block: int) -> DataFrame:
+    n = F.ceil(F.count(F.lit(1)) / block).cast("int").alias(count)
+    return df.groupBy(*cells).agg(n) if cells else df.agg(n)
+
+
+def _with_counts(df: DataFrame, counts: DataFrame, cells: list[str], count: str) -> DataFrame:
+    return df.join(counts, cells) if cells else df.withColumn(count, counts.scalar())
 
 
 def _blocked_search(queries, vectors, cells, schema, k, skip_same, floor, block) -> DataFrame:
     """Pair blocks of queries with blocks of vectors, cell by cell.
 
-    Inputs have columns i, v and the cell columns. A cell of any size becomes a
-    grid of blocks of about ``block`` rows; each task holds one pair of blocks
-    and returns k rows per query.
+    Inputs have columns i, v and the cell columns (none: one cell for all). A
+    cell of any size becomes a grid of blocks of about ``block`` rows; each task
+    holds one pair of blocks and returns k rows per query.
     """
-    q = _salted(queries, cells, "i", "qs", "nq", block)
-    v = _salted(vectors, cells, "i", "vs", "nv", block)
-    nq = q.groupBy(*cells).agg(F.first("nq").alias("nq"))
-    nv = v.groupBy(*cells).agg(F.first("nv").alias("nv"))
-    qr = q.drop("nq").join(nv, cells).withColumn("vs", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
-    vr = v.drop("nv").join(nq, cells).withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    nq, nv = _block_counts(queries, cells, "nq", block), _block_counts(vectors, cells, "nv", block)
+    own = lambda n: F.pmod(F.xxhash64("i"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return _with_counts(_with_counts(df, nq, cells, "nq"), nv, cells, "nv")
+
+    qr = placed(queries).withColumn("qs", own("nq")).withColumn("vs", every("nv"))
+    vr = placed(vectors).withColumn("vs", own("nv")).withColumn("qs", every("nq"))
     grid = [*cells, "qs", "vs"]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -165,11 +171,9 @@ def dense_top_k(
     if len(sample) <= broadcast_queries:
         found = _broadcast_search(vectors, sample, schema, vector_id, vector_col, k, skip_same, score_threshold)
     else:
-        one = F.lit(0).alias("cell")
         found = _blocked_search(
-            asked.select(F.col("q").alias("i"), "v", one),
-            vectors.select(F.col(vector_id).alias("i"), F.col(vector_col).alias("v"), one),
-            ["cell"], schema, k, skip_same, score_threshold, block,
+            asked.select(F.col("q").alias("i"), "v"), vectors.select(F.col(vector_id).alias("i"), F.col(vector_col).alias("v")),
+            [], schema, k, skip_same, score_threshold, block,
         )
     return top_k(found, ["query_id"], [F.desc("score"), F.asc("vector_id")], k)
 

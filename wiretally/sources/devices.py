@@ -15,7 +15,7 @@ TYPE, MGMT_INTERFACE = "switch", "Vlanif1"
 def read_export_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content): each export file as one value."""
     return (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+        spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
 

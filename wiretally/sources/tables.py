@@ -101,7 +101,7 @@ def _valid(chunks: DataFrame) -> DataFrame:
 
 def read_index(spark: SparkSession, path: str, source: str | None = None, buckets: int = INDEX_BUCKETS) -> DataFrame:
     """The index; for one source only its bucket folder is read."""
-    rows = spark.read.parquet(path)
+    rows = spark.read.parquet(path).filter(F.col("chunk_id").isNotNull())
     if source is not None:
         one = F.pmod(F.xxhash64(F.lit(source)), F.lit(buckets)).cast("int")
         rows = rows.filter((F.col("bucket") == one) & (F.col("source_file") == source))
@@ -114,17 +114,21 @@ def replace_sources(spark: SparkSession, path: str, chunks: DataFrame, sources:
 
     Only the touched buckets are rewritten. Their new content is first written
     beside the index in the shared folder, then moved in by a dynamic partition
-    overwrite; running the job again gives the same index.
+    overwrite; running the job again gives the same index. A marker row without
+    chunk id stands in every touched bucket, so that one left without chunks is
+    overwritten too; readers skip it.
     """
     named = with_bucket(sources.select("source_file").distinct(), buckets)
     touched = named.agg(F.collect_set("bucket")).first()[0]
     if not touched:
         return
-    old = spark.read.parquet(path).filter(F.col("bucket").isin(*touched))
+    old = spark.read.parquet(path).filter(F.col("bucket").isin(*touched) & F.col("chunk_id").isNotNull())
+    marker = spark.createDataFrame([(b,) for b in touched], "bucket int")
     kept = old.join(named.select("source_file"), "source_file", "left_anti")
     fresh = with_bucket(_valid(chunks), buckets)
     staged = scratch_path(spark, "index")
-    kept.select(*old.columns).unionByName(fresh.select(*old.columns)).write.parquet(staged)
+    kept.select(*old.columns).unionByName(fresh.select(*old.columns)).unionByName(
+        marker, allowMissingColumns=True).write.parquet(staged)
     spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "bucket").parquet(path)
 
