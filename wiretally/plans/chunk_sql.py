@@ -73,7 +73,7 @@ def split_sql(relation: str, keys: str) -> str:
 long AS (SELECT {keys}, content, length(content) AS n FROM {relation}
          WHERE block_type = 'text' AND length(content) > 800),
 cuts AS (
-  SELECT {keys}, 0 AS s,
+  SELECT {keys}, 0::BIGINT AS s,
     CASE WHEN 800 < n AND strpos(reverse(substring(content, 701, 100)), chr(10)) > 0
       THEN 800 - strpos(reverse(substring(content, 701, 100)), chr(10)) ELSE 800 END AS e, n, content
   FROM long

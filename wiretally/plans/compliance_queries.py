@@ -79,7 +79,7 @@ sm AS (SELECT source_file, line_no, CASE WHEN kind = 'dev' THEN 'S' || (line_no
   kind FROM man),
 blk AS (SELECT *, max(CASE WHEN kind = 'dev' THEN line_no END) OVER (PARTITION BY source_file ORDER BY line_no) AS block FROM sm),
 dev AS (SELECT source_file, 'S' || (block % 3) AS device, max(block) AS block FROM blk GROUP BY source_file, 'S' || (block % 3))
-SELECT source_file, device, 0 AS part_no, count(*) AS n_rows, string_agg(line, chr(10) ORDER BY line_no) AS text
+SELECT source_file, device, 0::BIGINT AS part_no, count(*) AS n_rows, string_agg(line, chr(10) ORDER BY line_no) AS text
 FROM blk JOIN dev USING (source_file, block) GROUP BY source_file, device""")
 def manual_device_blocks(spark, d):
     return EX.manual_blocks(switch_manual(spark, d))
@@ -165,7 +165,7 @@ ex AS (SELECT DISTINCT source_file, device FROM eif),
 dinfo AS (SELECT dl.*, ex.device IS NULL AND coalesce(has_ref, false) AS blind FROM dlist dl LEFT JOIN ex USING (source_file, device)
   LEFT JOIN flag USING (source_file)),
 alert AS (
-  SELECT source_file, met.device_name AS device, 1 AS ord, 'warning' AS severity, 'performance' AS category,
+  SELECT source_file, met.device_name AS device, 1::BIGINT AS ord, 'warning' AS severity, 'performance' AS category,
     'CPU élevé sur ' || met.device_name || ' : ' || printf('%.1f', cpu) || '%' AS message, '' AS detail
     FROM met JOIN dsrc USING (device_name) WHERE cpu > 70
   UNION ALL SELECT source_file, device, 2, 'critical', 'anomaly', 'Interface(s) DOWN sur ' || device
@@ -259,7 +259,7 @@ res AS (SELECT item_id AS question_id, doc_id, score FROM (SELECT * FROM cosine
 qst AS (SELECT item_id AS question_id, count(score) AS n, coalesce(avg(score), 0.0) AS mean FROM benchmark LEFT JOIN res
   ON question_id = item_id GROUP BY item_id),
 qual AS (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, mean * n / 3) END AS quality,
-  CASE WHEN n = 0 THEN 1 ELSE 0 END + CASE WHEN n = 1 THEN 1 ELSE 0 END + CASE WHEN n > 0 AND mean < 0.35 THEN 1 ELSE 0 END
+  CASE WHEN n = 0 THEN 1::BIGINT ELSE 0 END + CASE WHEN n = 1 THEN 1 ELSE 0 END + CASE WHEN n > 0 AND mean < 0.35 THEN 1 ELSE 0 END
     AS n_alerts, CASE WHEN n = 0 OR mean < 0.35 THEN 1 ELSE 0 END AS n_warn FROM qst)"""
 
 
@@ -311,7 +311,7 @@ def validation_rollup(spark, d):
 
 
 @register("recommendations", SUM + """
-SELECT question_id, 0 AS stage, device, 'Vérifier le câblage/config de ' || device || ' — interfaces DOWN détectées' AS advice
+SELECT question_id, 0::BIGINT AS stage, device, 'Vérifier le câblage/config de ' || device || ' — interfaces DOWN détectées' AS advice
   FROM con JOIN alert ON device = device_name WHERE severity = 'critical' AND contains(message, 'DOWN')
 UNION ALL SELECT question_id, 0, device, 'Corriger OSPF sur ' || device || ' — voisinage non établi'
   FROM con JOIN alert ON device = device_name WHERE severity = 'critical' AND contains(message, 'OSPF')
@@ -340,7 +340,7 @@ def corrective_commands(spark, d):
 
 
 @register("remediation_counts", GAPS + """
-SELECT count(*) FILTER (contains(discrepancy, 'Commande corrective')) AS pending, 0 AS applied FROM gap""")
+SELECT count(*) FILTER (contains(discrepancy, 'Commande corrective')) AS pending, 0::BIGINT AS applied FROM gap""")
 def remediation_counts(spark, d):
     return CO.remediation_counts(CO.corrective_commands(CO.all_discrepancies(*gaps(spark, d))))
 
@@ -361,7 +361,7 @@ def audit_report(spark, d):
 
 
 @register("final_answer", SUM + "," + FACTS[len(W) + 1:] + """
-SELECT item_id AS question_id, 0 AS section, '' AS device, 0 AS ord, 'RÉPONSE À : ' || text || chr(10) AS text FROM benchmark
+SELECT item_id AS question_id, 0::BIGINT AS section, '' AS device, 0::BIGINT AS ord, 'RÉPONSE À : ' || text || chr(10) AS text FROM benchmark
 UNION ALL SELECT question_id, 1, '', 0, n || ' documents' FROM qual
 UNION ALL SELECT question_id, 2, device, ord, CASE severity WHEN 'critical' THEN '🔴' WHEN 'warning' THEN '🟡' ELSE '🔵' END
   || ' [' || upper(severity) || '] ' || message || chr(10) || '   Équipement : ' || device

@@ -203,7 +203,7 @@ SELECT question_id, kinds || CASE WHEN {SCHEMA_SQL} AND NOT contains(kinds, 'ima
     AS chunk_types,
   {LIVE_SQL} AS needs_live, {SCHEMA_SQL} OR contains(kinds, 'image_desc') AS needs_images,
   CASE WHEN length(question) < 50 THEN 'low' WHEN length(question) > 150 THEN 'high' ELSE 'medium' END AS complexity,
-  CASE WHEN {LIVE_SQL} THEN 5 ELSE 3 END AS estimated_sources
+  CASE WHEN {LIVE_SQL} THEN 5::BIGINT ELSE 3 END AS estimated_sources
 FROM plan JOIN types USING (intent)""")
 def plan_attributes(spark, d):
     return plans(spark, d).select(

@@ -54,7 +54,7 @@ def chunk_json_round_trip(spark, d):
 
 # A third of the devices has a full export and stray files, a third per-command files, a third one plain file.
 @register("device_export_files", "WITH " + R.CAPTURE + """
-SELECT device_name, CASE doc_id % 3 WHEN 0 THEN 12 WHEN 1 THEN 2 ELSE 1 END AS n_commands,
+SELECT device_name, CASE doc_id % 3 WHEN 0 THEN 12::BIGINT WHEN 1 THEN 2 ELSE 1 END AS n_commands,
   CASE doc_id % 3 WHEN 0 THEN 'CPU Usage : ' || (n_lines % 100) || '.5% Max: 99%' WHEN 1 THEN 'CPU Usage : 7%' END AS cpu
 FROM dv""")
 def device_export_files(spark, d):
@@ -75,7 +75,7 @@ def device_export_files(spark, d):
 @register("registry_defaults", "WITH " + R.REGISTRY + """
 SELECT upper(name) AS name, lower(coalesce(type, 'switch')) AS type, mgmt_ip, coalesce(mgmt_interface, 'Vlanif1') AS mgmt_interface,
   'admin' AS username, 'huawei' AS password,
-  coalesce(port, CASE WHEN lower(coalesce(protocol, 'ssh')) = 'telnet' THEN 23 ELSE 22 END) AS port, 30 AS timeout,
+  coalesce(port, CASE WHEN lower(coalesce(protocol, 'ssh')) = 'telnet' THEN 23 ELSE 22 END)::BIGINT AS port, 30::BIGINT AS timeout,
   lower(coalesce(protocol, 'ssh')) AS protocol, coalesce(description, '') AS description FROM registry""")
 def registry_defaults(spark, d):
     return DV.complete_registry(R.registry(spark, d))
@@ -103,7 +103,7 @@ def index_replace(spark, d):
     return TB.read_index(spark, path).select("source_file", "chunk_index", "content")
 
 
-@register("index_counts", CHUNKS + " SELECT count(*) AS total, count(*) AS success, 0 AS error FROM chunks")
+@register("index_counts", CHUNKS + " SELECT count(*) AS total, count(*) AS success, 0::BIGINT AS error FROM chunks")
 def index_counts(spark, d):
     return TB.index_counts(chunks(spark, d))
 
@@ -139,7 +139,7 @@ node AS (SELECT upper(name) AS node, upper(parent_device) AS p, ordinal, CASE WH
 root AS (SELECT node FROM node WHERE kind = 'router' ORDER BY ordinal LIMIT 1),
 edge AS (SELECT n.node, n.kind, n.ordinal, CASE WHEN n.node = (SELECT node FROM root) THEN NULL
   ELSE coalesce((SELECT q.node FROM node q WHERE q.node = n.p), (SELECT node FROM root)) END AS parent FROM node n),
-tree AS (SELECT node, kind, parent, 0 AS depth, lpad(ordinal::VARCHAR, 12, '0') AS path FROM edge WHERE parent IS NULL
+tree AS (SELECT node, kind, parent, 0::BIGINT AS depth, lpad(ordinal::VARCHAR, 12, '0') AS path FROM edge WHERE parent IS NULL
   UNION ALL SELECT e.node, e.kind, e.parent, t.depth + 1, t.path || '/' || lpad(e.ordinal::VARCHAR, 12, '0')
   FROM edge e JOIN tree t ON e.parent = t.node)"""
 
@@ -202,7 +202,7 @@ def next_free_address(spark, d):
 @register("bulk_additions", "WITH " + R.REGISTRY + """,
 prop AS (SELECT c_custkey AS k, 's' || (c_custkey + 1000) AS name FROM customer),
 names AS (SELECT DISTINCT upper(name) AS n FROM registry)
-SELECT name, 'conflict' AS outcome, 'L''équipement ' || name || ' existe déjà.' AS note, NULL AS n_fields FROM prop
+SELECT name, 'conflict' AS outcome, 'L''équipement ' || name || ' existe déjà.' AS note, NULL::BIGINT AS n_fields FROM prop
 WHERE upper(name) IN (SELECT n FROM names)
 UNION ALL SELECT name, 'added', 'Nouveau switch ajouté par l''assistant', 4 + (k % 2 = 0)::INT FROM prop
 WHERE upper(name) NOT IN (SELECT n FROM names)""")

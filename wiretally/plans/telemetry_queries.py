@@ -56,7 +56,7 @@ def session_split(spark, d):
 
 @register("parse_version", W + """
 SELECT device_name, '5.' || (doc_id % 9) AS vrp_version, 'AR' || (doc_id % 40) AS hardware, n_lines || ' days' AS uptime,
-  CASE WHEN doc_id % 2 = 0 THEN 'power off' END AS reboot_cause, NULL AS compile_date, NULL AS patch_version FROM dv""")
+  CASE WHEN doc_id % 2 = 0 THEN 'power off' END AS reboot_cause, NULL::VARCHAR AS compile_date, NULL::VARCHAR AS patch_version FROM dv""")
 def parse_version(spark, d):
     return TM.parsed(R.snapshots(spark, d), "version_info").drop("collected_at", "access_mode")
 
@@ -78,7 +78,7 @@ def data(spark, d, **kw):
 @register("snapshot_assembly", W + """
 SELECT device_name, n_lines AS n_interfaces, n_lines + 1 AS n_vlans, n_lines AS n_routes, n_lines AS n_ospf,
   n_lines AS n_bgp, n_lines AS n_vrrp, n_lines AS n_stp, n_lines AS n_lldp, cpu AS cpu_usage, memory AS memory_usage,
-  true AS is_complete, 0 AS n_errors FROM dv JOIN met USING (device_name)""")
+  true AS is_complete, 0::BIGINT AS n_errors FROM dv JOIN met USING (device_name)""")
 def snapshot_assembly(spark, d):
     n = lambda c: F.size(c).cast("bigint")
     return data(spark, d).select(
