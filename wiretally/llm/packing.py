@@ -9,7 +9,6 @@ from collections import defaultdict
 
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
@@ -17,10 +16,10 @@ from wiretally.llm.common import numbered, parts_for, saved
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 #: Words of at most this many characters are remembered; the memory is emptied when full.
-WORD_CHARS, WORDS_KEPT = 48, 400_000
-WORD = regex.compile(public_tokenizers.PATTERN)
-#: Characters whose classes agree in all Unicode versions; other texts go to the tokenizer whole.
+WORD_CHARS, WORDS_KEPT = 48, 1_000_000
+#: Characters on which the split below is the tokenizer's own; other texts go to the tokenizer whole.
 PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ſ]*")
+WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _loaded: dict = {}
 
 
