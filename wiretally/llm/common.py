@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from wiretally.session import checkpointed, scratch_path
 
@@ -19,6 +19,11 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def extended(df: DataFrame, added: str) -> T.StructType:
+    """Schema of a table with the columns of a DDL string behind its own."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(added).fields])
+
+
 def fold_of(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo the number of folds; null for a null key."""
     return (F.crc32(key.cast("string").cast("binary")) % F.lit(folds)).cast("int")

@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators, each over its whole table with production parameters."""
 from __future__ import annotations
 
-from wiretally.llm import packing, sharding
+from wiretally.llm import extraction, language, packing, quality, sharding, topk
 from wiretally.llm.common import table
 
 
@@ -13,8 +13,40 @@ def op3_packing(spark, sf_dir):
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark, sf_dir):
+    return quality.document_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_extraction(spark, sf_dir):
+    return extraction.page_texts(table(spark, sf_dir, "pages"))
+
+
+def op8_top_k(spark, sf_dir):
+    return topk.embedding_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op10_language(spark, sf_dir):
+    return language.document_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_packing": op3_packing,
+    "op5_quality": op5_quality,
+    "op6_extraction": op6_extraction,
+    "op8_top_k": op8_top_k,
+    "op10_language": op10_language,
+}
+ORACLES: dict[str, str] = {
+    "op8_top_k": """
+        WITH usable AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        WHERE rank <= 5""",
 }
-ORACLES: dict[str, str] = {}
