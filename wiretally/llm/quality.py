@@ -32,8 +32,9 @@ def symbols(text: str | None) -> np.ndarray:
     words = WORD.findall(text or "")
     if len(_known) > WORDS_KEPT:
         _known.clear()
-    for w in set(words) - _known.keys():
-        _known[w] = symbol(w)
+    for w in set(words):
+        if w not in _known:
+            _known[w] = symbol(w)
     plain = np.fromiter(map(_known.__getitem__, words), np.int64, len(words))
     out = plain.copy()
     out[1:][plain[1:] == plain[:-1]] = AGAIN
