@@ -13,35 +13,49 @@ from wiretally.llm.common import extended, fold_of
 SYMBOLS, DIMENSIONS, SEED = 8192, 32, 7
 #: Symbols that stand for a kind of word; the others are hashes of lower-case words.
 BREAK, UPPER, NUMBER, AGAIN, SEEN, FIRST = 0, 1, 2, 3, 4, 16
-WORD = re.compile(r"\w+|[^\w\s]+")
-WORDS_KEPT = 400_000
-_known: dict[str, int] = {}
+EDGES = re.compile(r"([\W_]*)(.*?)([\W_]*)", re.S)
+WORDS_KEPT = 1_000_000
 
 
-def symbol(word: str) -> int:
-    if word.isdigit():
-        return NUMBER
-    if len(word) > 1 and word.isupper():
-        return UPPER
+def hashed(word: str) -> int:
     return FIRST + zlib.crc32(word.lower().encode("utf-8", "replace")) % (SYMBOLS - FIRST)
 
 
+class Known(dict):
+    """Symbols of the blank-separated words met so far in this process: that of the word itself plus
+    SYMBOLS times that of the marks around it (0: none)."""
+
+    def __missing__(self, word: str) -> int:
+        before, core, after = EDGES.fullmatch(word).groups()
+        if not core:
+            found = hashed(word)
+        else:
+            kind = NUMBER if core.isdigit() else UPPER if len(core) > 1 and core.isupper() else hashed(core)
+            found = kind + (SYMBOLS * hashed(before + after) if before or after else 0)
+        self[word] = found
+        return found
+
+
+_known = Known()
+
+
 def symbols(text: str | None) -> np.ndarray:
-    """Symbols of a whole text; a word that repeats its predecessor is AGAIN, repeats of earlier
-    three-word sequences are counted by as many SEEN after the last word."""
-    words = WORD.findall(text or "")
+    """Symbols of a whole text, marks behind their word; a word that repeats its predecessor is AGAIN,
+    repeats of earlier three-word sequences are counted by as many SEEN at the end."""
+    words = (text or "").split()
     if len(_known) > WORDS_KEPT:
         _known.clear()
-    for w in set(words):
-        if w not in _known:
-            _known[w] = symbol(w)
-    plain = np.fromiter(map(_known.__getitem__, words), np.int64, len(words))
-    out = plain.copy()
-    out[1:][plain[1:] == plain[:-1]] = AGAIN
+    both = np.fromiter(map(_known.__getitem__, words), np.int64, len(words))
+    plain = both % SYMBOLS
+    row = np.stack([plain, both // SYMBOLS], axis=1)
+    row[1:, 0][both[1:] == both[:-1]] = AGAIN
+    row = row.ravel()
+    row = row[row != BREAK]
     if len(plain) > 3:
         triple = (plain[:-2] * SYMBOLS + plain[1:-1]) * SYMBOLS + plain[2:]
-        out = np.concatenate([out, np.full(len(triple) - len(np.unique(triple)), SEEN)])
-    return out
+        triple.sort()
+        row = np.concatenate([row, np.full(np.count_nonzero(triple[1:] == triple[:-1]), SEEN)])
+    return row
 
 
 def index_vectors() -> np.ndarray:
