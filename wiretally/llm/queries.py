@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators, each over its whole table with production parameters."""
 from __future__ import annotations
 
-from wiretally.llm import extraction, language, packing, quality, sharding, topk
+from wiretally.llm import extraction, language, packing, quality, sharding, simhash, topk, toxicity
 from wiretally.llm.common import table
 
 
@@ -9,6 +9,10 @@ def op1_sharding(spark, sf_dir):
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark, sf_dir):
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
@@ -25,16 +29,22 @@ def op8_top_k(spark, sf_dir):
     return topk.embedding_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.document_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_language(spark, sf_dir):
     return language.document_languages(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op5_quality": op5_quality,
     "op6_extraction": op6_extraction,
     "op8_top_k": op8_top_k,
+    "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {
