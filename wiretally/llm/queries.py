@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators, each over its whole table with production parameters."""
 from __future__ import annotations
 
-from wiretally.llm import extraction, language, packing, quality, sharding, simhash, topk, toxicity
+from wiretally.llm import decontamination, extraction, language, packing, quality, sharding, simhash, topk, toxicity
 from wiretally.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op6_extraction(spark, sf_dir):
     return extraction.page_texts(table(spark, sf_dir, "pages"))
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_top_k(spark, sf_dir):
     return topk.embedding_neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op5_quality": op5_quality,
     "op6_extraction": op6_extraction,
+    "op7_decontamination": op7_decontamination,
     "op8_top_k": op8_top_k,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
