@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators, each over its whole table with production parameters."""
 from __future__ import annotations
 
-from wiretally.llm import decontamination, extraction, language, packing, quality, sharding, simhash, topk, toxicity
+from wiretally.llm import decontamination, extraction, language, packing, quality, sharding, simhash, substrings, topk, toxicity
 from wiretally.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op3_packing(spark, sf_dir):
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark, sf_dir):
+    return substrings.document_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark, sf_dir):
     return quality.document_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op4_substrings": op4_substrings,
     "op5_quality": op5_quality,
     "op6_extraction": op6_extraction,
     "op7_decontamination": op7_decontamination,

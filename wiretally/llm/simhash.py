@@ -210,13 +210,13 @@ def one_of_each_class(documents: DataFrame, words: int = 5, bits: int = BITS) ->
     Rows that repeat that doc_id stay only if their text is its smallest one, and
     once. Rows without doc_id form classes of their own and stay.
     """
-    classes = near_duplicate_classes(documents.filter(F.col("doc_id").isNotNull()), words, bits)
-    keep = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    known = documents.filter(F.col("doc_id").isNotNull())
+    classes = near_duplicate_classes(known, words, bits)
+    keep = saved(
+        classes.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("_many")), "keep")
     columns = documents.columns
-    known = documents.filter(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi")
-    repeated = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id")
-    single = known.join(repeated, "doc_id", "left_anti")
-    several = known.join(repeated, "doc_id", "left_semi")
-    first = several.groupBy("doc_id").agg(F.min(F.struct(F.col("text"), *[c for c in columns if c not in ("doc_id", "text")])).alias("_r"))
-    first = first.select(*[F.col("doc_id") if c == "doc_id" else F.col("_r")[c].alias(c) for c in columns])
-    return single.select(*columns).unionByName(first).unionByName(documents.filter(F.col("doc_id").isNull()))
+    held = known.join(keep, "doc_id")
+    rest = [c for c in columns if c not in ("doc_id", "text")]
+    first = held.filter("_many").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_r")).select(
+        *[F.col("doc_id") if c == "doc_id" else F.col("_r")[c].alias(c) for c in columns])
+    return held.filter("NOT _many").select(*columns).unionByName(first).unionByName(documents.filter(F.col("doc_id").isNull()))
