@@ -204,19 +204,103 @@ def near_duplicate_classes(documents: DataFrame, words: int = 4, bits: int = BIT
     return fps.join(named, "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_class(documents: DataFrame, words: int = 5, bits: int = BITS) -> DataFrame:
-    """The documents without near duplicates: of each class the one with the smallest doc_id stays.
+def root_of(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+    """(fp, root) for distinct fingerprints: the class of each."""
+    roots = components(fingerprint_links(distinct, bits))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def sketch_of(text: str | None, words: int, size: int) -> tuple[int, bytes]:
+    """Fingerprint over the different words of a text, and the ``size`` least 32-bit hashes of its shingles."""
+    found = WORD.findall((text or "").encode("utf-8", "replace").lower())
+    if not found:
+        return 0, b""
+    single = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in set(found)), np.uint64)
+    ones = np.unpackbits(single.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[:max(1, len(found) - words + 1)]
+    last = ends[words - 1:] if len(found) >= words else ends[-1:]
+    hashes = np.unique(np.fromiter((xxhash.xxh32_intdigest(joined[a:b]) for a, b in zip(starts.tolist(), last.tolist())), np.uint32))
+    return int(np.packbits(2 * ones > len(single), bitorder="little").view(np.uint64)[0]), hashes[:size].tobytes()
+
+
+def sketch_similarity(a: bytes, b: bytes, size: int) -> float:
+    """Jaccard similarity from two sketches; exact where both texts have at most ``size`` shingles."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    union = np.union1d(x, y)[:size]
+    return len(np.intersect1d(np.intersect1d(x, y, True), union, True)) / len(union)
 
-    Rows that repeat that doc_id stay only if their text is its smallest one, and
-    once. Rows without doc_id form classes of their own and stay.
+
+def redundant_ids(documents: DataFrame, words: int = 5, similarity: float = 0.8, size: int = 128, rounds: int = 4) -> DataFrame:
+    """doc_ids whose text is near to that of a document with a smaller doc_id that stays.
+
+    Candidates are classes of fingerprints over different words, where an edit
+    touches one feature and not ``words``. In a class the least doc_id stays and
+    takes with it what has ``similarity`` to it in shingles of ``words`` words;
+    what is left forms the class of the next round. Nothing is dropped unless it was
+    compared with a document that stays. After the last round the rest stays.
+    """
+    def sketch(batches):
+        for batch in batches:
+            known: dict = {}
+            out = []
+            for text in batch.column(1).to_pylist():
+                if text not in known:
+                    known[text] = sketch_of(text, words, size)
+                out.append(known[text])
+            fp, data = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(data, pa.binary())], ["doc_id", "fp", "sketch"])
+
+    def compare(batches):
+        for batch in batches:
+            near = [sketch_similarity(a, b, size) >= similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(near, pa.bool_())],
+                                             ["doc_id", "root", "sketch", "near"])
+
+    known = documents.filter(F.col("doc_id").isNotNull())
+    sketches = saved(known.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
+        sketch, "doc_id bigint, fp bigint, sketch binary"), "sketches")
+    roots = saved(root_of(saved(sketches.select("fp").distinct(), "distinct")), "roots")
+    several = sketches.select("fp").join(roots, "fp").groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root")
+    left = saved(sketches.join(roots.join(several, "root", "left_semi"), "fp").select("doc_id", "root", "sketch"), "members")
+    dropped = []
+    for _ in range(rounds):
+        # equal sketches meet first, so copies are compared once
+        kinds = left.groupBy("root", "sketch").agg(F.min("doc_id").alias("doc_id"))
+        first = kinds.groupBy("root").agg(F.min(F.struct("doc_id", "sketch")).alias("r"))
+        judged = saved(
+            kinds.join(first, "root").select("doc_id", "root", "sketch", F.col("r.sketch").alias("other")).mapInArrow(
+                compare, "doc_id bigint, root bigint, sketch binary, near boolean"), "judged")
+        near = judged.filter("near").select("root", "sketch")
+        members = left.join(near, ["root", "sketch"]).join(first.select("root", F.col("r.doc_id").alias("least")), "root")
+        dropped.append(saved(members.filter(F.col("doc_id") != F.col("least")).select("doc_id"), "dropped"))
+        left = saved(left.join(near, ["root", "sketch"], "left_anti"), "left")
+        if left.isEmpty():
+            break
+    out = dropped[0]
+    for more in dropped[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
+def without_near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents without those that are near to a smaller doc_id that stays.
+
+    Of rows that share a doc_id and a text one stays; rows that share a doc_id with
+    different texts stay or go together. Rows with null doc_id stay. Empty texts are
+    near to each other, so one of them stays. An empty table gives none.
     """
+    gone = redundant_ids(documents, words, similarity)
     known = documents.filter(F.col("doc_id").isNotNull())
-    classes = near_duplicate_classes(known, words, bits)
-    keep = saved(
-        classes.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("_many")), "keep")
-    columns = documents.columns
-    held = known.join(keep, "doc_id")
-    rest = [c for c in columns if c not in ("doc_id", "text")]
-    first = held.filter("_many").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_r")).select(
-        *[F.col("doc_id") if c == "doc_id" else F.col("_r")[c].alias(c) for c in columns])
-    return held.filter("NOT _many").select(*columns).unionByName(first).unionByName(documents.filter(F.col("doc_id").isNull()))
+    repeated = saved(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    kept = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    if repeated.isEmpty():
+        return kept
+    columns = [c for c in documents.columns if c not in ("doc_id", "text")]
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0), *columns)).alias("_r"))
+    return kept.join(repeated, "doc_id", "left_anti").select(*documents.columns).unionByName(
+        once.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_r")[c].alias(c) for c in documents.columns]))
