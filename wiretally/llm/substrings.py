@@ -448,7 +448,9 @@ def cleaned(documents: DataFrame, span: int = SPAN) -> DataFrame:
     A removed run may begin or end inside a character; what is left of one is dropped.
     Null texts stay null.
     """
-    marked = without_repeats(documents.withColumn("doc_id", F.col("doc_id").cast("bigint")), span)
+    inner = {c: c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(documents.columns)}     # no name can clash
+    marked = without_repeats(documents.select(
+        *[F.col(f"`{c}`").alias(name) for c, name in inner.items()]).withColumn("doc_id", F.col("doc_id").cast("bigint")), span)
 
     def decode(batches):
         for batch in batches:
@@ -461,6 +463,7 @@ def cleaned(documents: DataFrame, span: int = SPAN) -> DataFrame:
     kept = kept.mapInArrow(decode, extended(kept.drop("kept"), "_text string"))
     changed = F.col("n_removed") > 0
     out = kept.withColumn("text", F.when(changed, F.col("_text")).otherwise(F.col("text")))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+    if "n_chars" in inner:
+        n = inner["n_chars"]
+        out = out.withColumn(n, F.when(changed, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return out.select(*[F.col(name).alias(c) for c, name in inner.items()])

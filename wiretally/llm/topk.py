@@ -56,10 +56,13 @@ def blocks(rows: DataFrame, width: int, size: int) -> DataFrame:
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer products: through doubles while sums stay below 2**53, else in 64-bit integers."""
+    """Exact integer products: through doubles while sums stay below 2**53, else in 64-bit integers;
+    an error where even those could not hold them."""
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
     if bound < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
+    if bound >= 2**63:
+        raise OverflowError("scores do not fit into 64 bits")
     return q @ c.T
 
 
