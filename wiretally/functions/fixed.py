@@ -82,56 +82,58 @@ CHUNK_TYPES = {
     "unknown": ("code_cli", "text"),
 }
 # Fixed texts of the sub-queries: (intent, texts) per protocol.
+#: Search texts and parsing patterns name the maker of the devices where they say {vendor}.
+VENDOR = "Acme"
 PROTOCOL_QUERIES = {
     "OSPF": {
-        "status_check": ("Huawei display ospf peer", "Huawei OSPF process area configuration"),
-        "configuration": ("Huawei VRP OSPF configuration", "Huawei OSPF area configuration"),
-        "diagnostic": ("Huawei OSPF troubleshooting", "Huawei display ospf peer", "Huawei OSPF neighbor state"),
-        "audit": ("Huawei OSPF best practices", "Huawei OSPF configuration standards"),
+        "status_check": ("{vendor} display ospf peer", "{vendor} OSPF process area configuration"),
+        "configuration": ("{vendor} VRP OSPF configuration", "{vendor} OSPF area configuration"),
+        "diagnostic": ("{vendor} OSPF troubleshooting", "{vendor} display ospf peer", "{vendor} OSPF neighbor state"),
+        "audit": ("{vendor} OSPF best practices", "{vendor} OSPF configuration standards"),
     },
     "BGP": {
-        "status_check": ("Huawei display bgp peer", "Huawei BGP process configuration"),
-        "configuration": ("Huawei VRP BGP configuration",),
-        "diagnostic": ("Huawei BGP troubleshooting", "Huawei display bgp peer", "Huawei BGP neighbor state"),
-        "audit": ("Huawei BGP security best practices",),
+        "status_check": ("{vendor} display bgp peer", "{vendor} BGP process configuration"),
+        "configuration": ("{vendor} VRP BGP configuration",),
+        "diagnostic": ("{vendor} BGP troubleshooting", "{vendor} display bgp peer", "{vendor} BGP neighbor state"),
+        "audit": ("{vendor} BGP security best practices",),
     },
     "VRRP": {
-        "status_check": ("Huawei display VRRP peer", "Huawei VRRP process configuration"),
-        "configuration": ("Huawei VRP VRRP configuration",),
-        "diagnostic": ("Huawei VRRP troubleshooting", "Huawei VRRP master backup state"),
+        "status_check": ("{vendor} display VRRP peer", "{vendor} VRRP process configuration"),
+        "configuration": ("{vendor} VRP VRRP configuration",),
+        "diagnostic": ("{vendor} VRRP troubleshooting", "{vendor} VRRP master backup state"),
     },
     "RSTP": {
-        "status_check": ("Huawei display RSTP peer", "Huawei RSTP process configuration"),
-        "diagnostic": ("Huawei RSTP troubleshooting", "Huawei spanning tree topology issue"),
-        "configuration": ("Huawei RSTP configuration",),
+        "status_check": ("{vendor} display RSTP peer", "{vendor} RSTP process configuration"),
+        "diagnostic": ("{vendor} RSTP troubleshooting", "{vendor} spanning tree topology issue"),
+        "configuration": ("{vendor} RSTP configuration",),
     },
 }
 VLAN_QUERIES = {
-    "diagnostic": ("Huawei VLAN troubleshooting", "Huawei trunk VLAN configuration", "Huawei dot1q troubleshooting"),
-    "audit": ("Huawei VLAN best practices", "Huawei VLAN security standards"),
+    "diagnostic": ("{vendor} VLAN troubleshooting", "{vendor} trunk VLAN configuration", "{vendor} dot1q troubleshooting"),
+    "audit": ("{vendor} VLAN best practices", "{vendor} VLAN security standards"),
 }
 INTERFACE_QUERIES = {
-    "diagnostic": ("Huawei interface troubleshooting", "Huawei display interface command",
-                   "Huawei interface down troubleshooting"),
-    "configuration": ("Huawei interface configuration", "Huawei interface description configuration"),
+    "diagnostic": ("{vendor} interface troubleshooting", "{vendor} display interface command",
+                   "{vendor} interface down troubleshooting"),
+    "configuration": ("{vendor} interface configuration", "{vendor} interface description configuration"),
 }
 CONTEXT_QUERIES = (
-    ("ping", ("Huawei ping troubleshooting", "Huawei ICMP connectivity troubleshooting")),
-    ("route", ("Huawei routing troubleshooting", "Huawei display ip routing-table")),
-    ("arp", ("Huawei ARP troubleshooting", "Huawei display arp")),
-    ("dhcp", ("Huawei DHCP troubleshooting", "Huawei DHCP configuration")),
-    ("mac", ("Huawei MAC address table troubleshooting", "Huawei display mac-address")),
-    ("latence", ("Huawei network performance troubleshooting",)),
-    ("perte", ("Huawei packet loss troubleshooting",)),
+    ("ping", ("{vendor} ping troubleshooting", "{vendor} ICMP connectivity troubleshooting")),
+    ("route", ("{vendor} routing troubleshooting", "{vendor} display ip routing-table")),
+    ("arp", ("{vendor} ARP troubleshooting", "{vendor} display arp")),
+    ("dhcp", ("{vendor} DHCP troubleshooting", "{vendor} DHCP configuration")),
+    ("mac", ("{vendor} MAC address table troubleshooting", "{vendor} display mac-address")),
+    ("latence", ("{vendor} network performance troubleshooting",)),
+    ("perte", ("{vendor} packet loss troubleshooting",)),
 )
 INTENT_QUERIES = {
-    "diagnostic": ("Huawei VRP network troubleshooting methodology",),
-    "audit": ("Huawei configuration audit checklist", "Huawei network best practices"),
-    "optimization": ("Huawei network performance optimization", "Huawei configuration tuning best practices"),
-    "explanation": ("Huawei VRP architecture explanation",),
-    "design_update": ("Huawei switch trunk configuration", "Huawei topology.yaml device definition"),
+    "diagnostic": ("{vendor} VRP network troubleshooting methodology",),
+    "audit": ("{vendor} configuration audit checklist", "{vendor} network best practices"),
+    "optimization": ("{vendor} network performance optimization", "{vendor} configuration tuning best practices"),
+    "explanation": ("{vendor} VRP architecture explanation",),
+    "design_update": ("{vendor} switch trunk configuration", "{vendor} topology.yaml device definition"),
 }
-DEFAULT_QUERIES = ("Huawei VRP configuration guide", "Huawei network troubleshooting guide")
+DEFAULT_QUERIES = ("{vendor} VRP configuration guide", "{vendor} network troubleshooting guide")
 MAX_SUB_QUERIES = 6
 AUDIT_QUERIES = (
     "{d} sysname hostname nom équipement",
@@ -184,7 +186,7 @@ STP_ROW = r"(?i)^(\d+)\s+(\S+)\s+(\S+)\s+(FORWARDING|DISCARDING|LEARNING|DISCARD
 LLDP_ROW = r"(?md)^(\S+)\s+(\S+)\s+(\S+)\s+(\d+s)"
 VERSION_FACTS = (
     ("vrp_version", r"(?id)VRP.*?Version\s+([\d.]+)"),
-    ("hardware", r"(?id)Huawei\s+([\w\-]+)\s+(?:Router|Switch)"),
+    ("hardware", r"(?id){vendor}\s+([\w\-]+)\s+(?:Router|Switch)"),
     ("uptime", r"(?id)uptime is\s+(.+)"),
     ("reboot_cause", r"(?id)Last reboot reason\s*:\s*(.+)"),
     ("compile_date", r"(?id)compiled at\s+(.+)"),

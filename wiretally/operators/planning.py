@@ -153,11 +153,18 @@ def complexity(question: Column) -> Column:
     return F.when(n < 50, "low").when(n > 150, "high").otherwise("medium")
 
 
-def enrich(question: Column) -> Column:
+def branded(texts, vendor: str):
+    """Search texts, or a table of them, with the vendor's name filled in."""
+    if isinstance(texts, dict):
+        return {k: branded(v, vendor) for k, v in texts.items()}
+    return tuple(t.replace("{vendor}", vendor) for t in texts)
+
+
+def enrich(question: Column, vendor: str = K.VENDOR) -> Column:
     q = F.lower(question)
     return F.concat_ws(
         " ", question,
-        F.when(~q.contains("huawei"), "Huawei VRP"),
+        F.when(~q.contains(vendor.lower()), f"{vendor} VRP"),
         F.when(~contains_any(q, K.NETWORK_WORDS), "network configuration"),
     )
 
@@ -165,27 +172,27 @@ def enrich(question: Column) -> Column:
 PROTOCOL_TABLE = {f"{p} {i}": texts for p, by in K.PROTOCOL_QUERIES.items() for i, texts in by.items()}
 
 
-def sub_queries(question: Column, found: Column, protos: Column, vlans: Column, ifaces: Column) -> Column:
+def sub_queries(question: Column, found: Column, protos: Column, vlans: Column, ifaces: Column, vendor: str = K.VENDOR) -> Column:
     """Ordered, distinct search texts for a question, six at most."""
     none = F.array().cast("array<string>")
     for_vlans = F.when(
         found == "configuration",
-        F.transform(vlans, lambda v: F.concat(F.lit("Huawei "), v, F.lit(" configuration"))),
-    ).otherwise(F.when(F.size(vlans) > 0, lookup(K.VLAN_QUERIES, found)).otherwise(none))
+        F.transform(vlans, lambda v: F.concat(F.lit(f"{vendor} "), v, F.lit(" configuration"))),
+    ).otherwise(F.when(F.size(vlans) > 0, lookup(branded(K.VLAN_QUERIES, vendor), found)).otherwise(none))
     q = F.lower(question)
-    context = [F.when(q.contains(w), lit_array(texts)).otherwise(none) for w, texts in K.CONTEXT_QUERIES]
+    context = [F.when(q.contains(w), lit_array(branded(texts, vendor))).otherwise(none) for w, texts in K.CONTEXT_QUERIES]
     gathered = F.array_distinct(F.concat(
-        F.flatten(F.transform(protos, lambda p: lookup(PROTOCOL_TABLE, F.concat_ws(" ", p, found)))),
+        F.flatten(F.transform(protos, lambda p: lookup(branded(PROTOCOL_TABLE, vendor), F.concat_ws(" ", p, found)))),
         for_vlans,
-        F.when(F.size(ifaces) > 0, lookup(K.INTERFACE_QUERIES, found)).otherwise(none),
+        F.when(F.size(ifaces) > 0, lookup(branded(K.INTERFACE_QUERIES, vendor), found)).otherwise(none),
         *context,
-        lookup(K.INTENT_QUERIES, found),
+        lookup(branded(K.INTENT_QUERIES, vendor), found),
     ))
     return let(gathered, lambda g: F.slice(
-        F.when(F.size(g) > 0, g).otherwise(lit_array(K.DEFAULT_QUERIES)), 1, K.MAX_SUB_QUERIES))
+        F.when(F.size(g) > 0, g).otherwise(lit_array(branded(K.DEFAULT_QUERIES, vendor))), 1, K.MAX_SUB_QUERIES))
 
 
-def audit_queries(targets: Column, protos: Column, live: Column) -> Column:
+def audit_queries(targets: Column, protos: Column, live: Column, vendor: str = K.VENDOR) -> Column:
     """Extra searches: per target device when live data is needed, and per protocol."""
     first = F.slice(targets, 1, 2)
     per_device = F.flatten(F.transform(
@@ -193,13 +200,13 @@ def audit_queries(targets: Column, protos: Column, live: Column) -> Column:
     per_protocol = F.flatten(F.transform(
         F.slice(protos, 1, 2),
         lambda p: F.concat(
-            F.array(F.concat(F.lit("Huawei "), p, F.lit(" configuration manuel exigences"))),
+            F.array(F.concat(F.lit(f"{vendor} "), p, F.lit(" configuration manuel exigences"))),
             F.transform(first, lambda d: F.concat_ws(" ", d, p, F.lit("état configuration"))),
         )))
     return F.concat(F.when(live, per_device).otherwise(F.array().cast("array<string>")), per_protocol)
 
 
-def plan_questions(questions: DataFrame, registry: DataFrame, key: str = "question_id") -> DataFrame:
+def plan_questions(questions: DataFrame, registry: DataFrame, key: str = "question_id", vendor: str = K.VENDOR) -> DataFrame:
     """One plan row per question.
 
     A plan that concerns every device says so in ``target_scope``; the device
@@ -222,10 +229,10 @@ def plan_questions(questions: DataFrame, registry: DataFrame, key: str = "questi
         .withColumn("needs_images", F.array_contains("chunk_types", "image_desc"))
         .withColumn("complexity", complexity(q))
         .withColumn("estimated_sources", F.when(F.col("needs_live"), 5).otherwise(3).cast("bigint"))
-        .withColumn("enriched_query", enrich(q))
-        .withColumn("sub_queries", sub_queries(q, found, F.col("protos"), F.col("vlans"), F.col("ifaces")))
+        .withColumn("enriched_query", enrich(q, vendor))
+        .withColumn("sub_queries", sub_queries(q, found, F.col("protos"), F.col("vlans"), F.col("ifaces"), vendor))
     )
-    return planned.withColumn("audit_queries", audit_queries(F.col("targets"), F.col("protos"), F.col("needs_live")))
+    return planned.withColumn("audit_queries", audit_queries(F.col("targets"), F.col("protos"), F.col("needs_live"), vendor))
 
 
 def query_variants(plans: DataFrame, key: str = "question_id") -> DataFrame:

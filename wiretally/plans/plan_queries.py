@@ -31,7 +31,7 @@ def _any_sql(column, words):
 
 def _values(rows):
     def one(v):
-        return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+        return str(v) if isinstance(v, int) else "'" + v.replace("{vendor}", K.VENDOR).replace("'", "''") + "'"
 
     return "(VALUES " + ", ".join("(" + ", ".join(one(v) for v in r) + ")" for r in rows) + ")"
 
@@ -80,7 +80,7 @@ context(ord, word, n, text) AS (SELECT * FROM {_values(
 raw AS (
   SELECT question_id, 1 AS grp, proto.ord AS a, rules.ord AS b, text FROM base JOIN proto USING (question_id)
     JOIN rules ON trigger = p AND rules.intent = base.intent
-  UNION ALL SELECT question_id, 2, pos, 0, 'Huawei ' || v || ' configuration' FROM base JOIN vlan USING (question_id)
+  UNION ALL SELECT question_id, 2, pos, 0, '{K.VENDOR} ' || v || ' configuration' FROM base JOIN vlan USING (question_id)
     WHERE intent = 'configuration'
   UNION ALL SELECT DISTINCT question_id, 2, 0, rules.ord, text FROM base JOIN vlan USING (question_id)
     JOIN rules ON trigger = '#vlan' AND rules.intent = base.intent
@@ -104,10 +104,10 @@ proto_two AS (SELECT question_id, p, row_number() OVER (PARTITION BY question_id
 audit AS (
   SELECT question_id, dn * 100 + n AS o, device || t AS text FROM plan JOIN target USING (question_id)
     CROSS JOIN {_values([(n, t.removeprefix('{d}')) for n, t in enumerate(K.AUDIT_QUERIES)])} q(n, t) WHERE {LIVE_SQL}
-  UNION ALL SELECT question_id, 1000 + pn * 100, 'Huawei ' || p || ' configuration manuel exigences' FROM proto_two
+  UNION ALL SELECT question_id, 1000 + pn * 100, '{K.VENDOR} ' || p || ' configuration manuel exigences' FROM proto_two
   UNION ALL SELECT question_id, 1000 + pn * 100 + dn, device || ' ' || p || ' état configuration'
     FROM proto_two JOIN target USING (question_id)),
-enriched AS (SELECT question_id, question || CASE WHEN contains(lower(question), 'huawei') THEN '' ELSE ' Huawei VRP' END
+enriched AS (SELECT question_id, question || CASE WHEN contains(lower(question), lower('{K.VENDOR}')) THEN '' ELSE ' {K.VENDOR} VRP' END
   || CASE WHEN {_any_sql('lower(question)', K.NETWORK_WORDS)} THEN '' ELSE ' network configuration' END AS text FROM asked),
 variants AS (
   SELECT question_id, text AS variant_text, row_number() OVER (PARTITION BY question_id ORDER BY part, o) - 1 AS ordinal

@@ -322,7 +322,7 @@ def sessions_from(documents: DataFrame) -> DataFrame:
     pro = "CASE WHEN h % 4 = 0 OR h % 7 = 1 OR h % 5 = 0 THEN 'down' ELSE 'up' END"
     state = "element_at(array('Full', 'Init', '2-Way', 'Full'), h % 4 + 1)"
     parts = {
-        "display version": "concat('VRP (R) software, Version 5.', doc_id % 9, '\\nHuawei AR', doc_id % 40, ' ', "
+        "display version": "concat('VRP (R) software, Version 5.', doc_id % 9, '\\nAcme AR', doc_id % 40, ' ', "
                            "CASE WHEN doc_id % 3 = 0 THEN 'Router' ELSE 'Switch' END, ' uptime is ', size(ls), ' days\\n',"
                            "CASE WHEN doc_id % 2 = 0 THEN 'Last reboot reason : power off\\n' ELSE '' END)",
         "display interface brief": rows("Interface                   PHY   Protocol\\n",

@@ -74,7 +74,7 @@ def device_export_files(spark, d):
 
 @register("registry_defaults", "WITH " + R.REGISTRY + """
 SELECT upper(name) AS name, lower(coalesce(type, 'switch')) AS type, mgmt_ip, coalesce(mgmt_interface, 'Vlanif1') AS mgmt_interface,
-  'admin' AS username, 'huawei' AS password,
+  CAST(NULL AS VARCHAR) AS username, CAST(NULL AS VARCHAR) AS password,
   coalesce(port, CASE WHEN lower(coalesce(protocol, 'ssh')) = 'telnet' THEN 23 ELSE 22 END)::BIGINT AS port, 30::BIGINT AS timeout,
   lower(coalesce(protocol, 'ssh')) AS protocol, coalesce(description, '') AS description FROM registry""")
 def registry_defaults(spark, d):

@@ -8,7 +8,7 @@ from wiretally.functions.text import base_name, strip
 from wiretally.operators.telemetry import split_session, summary_lines
 
 # Fixed defaults of the registry.
-USER, PASSWORD, PORT, TELNET_PORT, TIMEOUT, PROTOCOL = "admin", "huawei", 22, 23, 30, "ssh"
+PORT, TELNET_PORT, TIMEOUT, PROTOCOL = 22, 23, 30, "ssh"
 TYPE, MGMT_INTERFACE = "switch", "Vlanif1"
 
 
@@ -47,8 +47,8 @@ def export_outputs(files: DataFrame) -> DataFrame:
 
 
 def complete_registry(devices: DataFrame, defaults: dict | None = None) -> DataFrame:
-    """Registry rows with names in upper case and defaults filled in."""
-    d = {"username": USER, "password": PASSWORD, "port": PORT, "timeout": TIMEOUT, "protocol": PROTOCOL, **(defaults or {})}
+    """Registry rows with names in upper case and defaults filled in. Access data has no default: null where neither row nor ``defaults`` gives it."""
+    d = {"username": None, "password": None, "port": PORT, "timeout": TIMEOUT, "protocol": PROTOCOL, **(defaults or {})}
     held = lambda c, kind="string": F.col(c) if c in devices.columns else F.lit(None).cast(kind)
     protocol = F.lower(F.coalesce(held("protocol"), F.lit(d["protocol"])))
     return devices.select(
@@ -56,8 +56,8 @@ def complete_registry(devices: DataFrame, defaults: dict | None = None) -> DataF
         F.lower(F.coalesce(held("type"), F.lit(TYPE))).alias("type"),
         "mgmt_ip",
         F.coalesce(held("mgmt_interface"), F.lit(MGMT_INTERFACE)).alias("mgmt_interface"),
-        F.coalesce(held("username"), F.lit(d["username"])).alias("username"),
-        F.coalesce(held("password"), F.lit(d["password"])).alias("password"),
+        F.coalesce(held("username"), F.lit(d["username"]).cast("string")).alias("username"),
+        F.coalesce(held("password"), F.lit(d["password"]).cast("string")).alias("password"),
         F.coalesce(held("port", "int"), F.when(protocol == "telnet", TELNET_PORT).otherwise(d["port"]))
         .cast("bigint").alias("port"),
         F.coalesce(held("timeout", "int"), F.lit(d["timeout"])).cast("bigint").alias("timeout"),
