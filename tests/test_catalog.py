@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from check import normal
 
 SF = "/root/testdata/sf0.001"
-NO_SQL = {"approximate_top_k", "approximate_recall", "file_inventory"}
+NO_SQL = {"approximate_top_k", "approximate_recall"}
 SAMPLE = ["sparse_top_k", "merge_short_blocks", "final_chunks", "sub_queries", "parse_ospf_peers", "vlan_gap", "device_tree",
           "next_free_address", "load_trend_sliding"]
 

@@ -38,8 +38,8 @@ def test_broadcast_and_blocked_search_equal_brute_force(vectors):
     data, df = vectors
     want = brute(data, 5)
     assert pairs(DE.dense_top_k(df, df, 5, "i", "v", "i", "v")) == want
-    assert pairs(DE.dense_top_k(df, df, 5, "i", "v", "i", "v", broadcast_queries=0, block=37)) == want
-    assert pairs(DE.dense_top_k(df, df, 4, "i", "v", "i", "v", skip_same=True, broadcast_queries=10, block=64)) == brute(
+    assert pairs(DE.dense_top_k(df, df, 5, "i", "v", "i", "v", block=37)) == want
+    assert pairs(DE.dense_top_k(df, df, 4, "i", "v", "i", "v", skip_same=True, block=64)) == brute(
         data, 4, True)
 
 

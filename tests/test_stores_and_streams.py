@@ -19,8 +19,6 @@ def test_export_priority_on_real_files(spark, tmp_path):
     got = {r.device_name: dict(r.outputs) for r in DV.export_outputs(DV.read_export_files(spark, str(tmp_path))).collect()}
     assert got == {"R1": {"display version": "V1"}, "S2": {"display vlan": "v"},
                    "S3": {"display current-configuration": "cfg\n"}}
-    names = [r.name for r in TB.file_inventory(spark, str(tmp_path)).collect()]
-    assert sorted(names) == sorted(files)
 
 
 def test_chunk_json_arrays(spark, tmp_path):
@@ -59,20 +57,50 @@ def test_sample_history_over_batches_equals_batch_form(spark, tmp_path):
     assert got == want and max(r[2] for r in got) == 40
 
 
-def test_ingest_skips_documents_of_earlier_batches(spark, tmp_path):
-    first = [block(f"/a/d{i}.pdf", 1, 0, f"document number {i} first text") for i in range(4)]
-    second = [block(f"/b/d{i}.pdf", 1, 0, f"document number {i} second text") for i in range(2, 6)] + [
-        block("x.txt", 1, 0, "not a pdf source at all, really")]
+def test_ingest_completes_documents_over_batches(spark, tmp_path):
+    """Late parts of a document, a batch of known blocks only, and images with captions."""
+    long = lambda t: t + " " + "words that fill the block so that it stays one chunk of its own " * 2
+    first = [block(f"/a/d{i}.pdf", 1, 0, long(f"document {i} first page")) for i in range(3)]
+    late = [block("/b/d1.pdf", 2, 1, long("document 1 second page")), block("x.txt", 1, 0, "not a pdf source at all, really")]
+    image = [block("d2.pdf", 3, 7, "", "image")]
     src = str(tmp_path / "blocks")
     paths = [str(tmp_path / p) for p in ("index", "manifest", "state")]
-    for rows in (first, second):
+    captions = spark.createDataFrame(
+        [("d2.pdf", 7, "A picture of a rack with two switches", "schema", ["rack"], ["switch"], 0.9, 10, False, None)],
+        "source_file string, block_no int, description string, category string, key_elements array<string>, "
+        "technical_terms array<string>, confidence double, tokens_used bigint, is_mock boolean, error string")
+    for rows in (first, late, first, image):
         frame(spark, rows).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(TB.BLOCK_SCHEMA).parquet(src)
-        IN.ingest_stream(stream, *paths).awaitTermination()
-    held = {r.source_file: r.content for r in spark.read.parquet(paths[0]).collect()}
-    assert sorted(held) == [f"d{i}.pdf" for i in range(6)]
-    assert held["d3.pdf"].endswith("first text") and held["d4.pdf"].endswith("second text")
-    assert spark.read.parquet(paths[1]).count() == 6
+        IN.ingest_stream(stream, *paths, captions=captions).awaitTermination()
+    held = {}
+    for r in TB.read_index(spark, paths[0]).collect():
+        held.setdefault(r.source_file, []).append(r.content)
+    assert sorted(held) == ["d0.pdf", "d1.pdf", "d2.pdf"]
+    assert len(held["d1.pdf"]) == 2 and any("second page" in c for c in held["d1.pdf"])
+    assert any("picture of a rack" in c for c in held["d2.pdf"])
+    assert [r.source_file for r in TB.read_index(spark, paths[0], "d1.pdf").select("source_file").distinct().collect()] == ["d1.pdf"]
+    done = {r.filename: r.chunks_indexed for r in IN.current_manifest(spark, paths[1]).collect()}
+    assert done == {k: len(v) for k, v in held.items()}
+
+
+def test_same_file_name_in_two_folders(spark):
+    rows = spark.createDataFrame(
+        [("/a/R1_version.txt", dt.datetime(2024, 1, 1), "old"), ("/b/R1_version.txt", dt.datetime(2024, 1, 2), "new"), ("/b/R1_vlans.txt", None, "v")],
+        "path string, modified timestamp, content string")
+    got = {r.device_name: dict(r.outputs) for r in DV.export_outputs(rows).collect()}
+    assert got == {"R1": {"display version": "new", "display vlan": "v"}}
+
+
+def test_two_patches_give_one_entry(spark):
+    from wiretally.operators.history import upsert_history
+
+    rows = spark.createDataFrame([("1", "u", dt.datetime(2024, 1, 1), "a", "pending", False)],
+                                 "id string, user_key string, created_at timestamp, answer string, status string, is_error boolean")
+    patches = spark.createDataFrame([("1", "x", None, None, 1), ("1", "y", "done", None, 2)],
+                                    "id string, answer string, status string, is_error boolean, patched_at int")
+    got = upsert_history(rows, rows.limit(0), patches).collect()
+    assert [(r.answer, r.status) for r in got] == [("y", "done")]
 
 
 def test_last_status_keeps_values_and_shows_error(spark):

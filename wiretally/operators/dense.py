@@ -12,7 +12,6 @@ from wiretally.functions.rows import unfold
 from wiretally.functions.text import tokens
 
 #: Queries up to this number of rows are shipped to every task; more are blocked.
-BROADCAST_QUERIES = 4096
 #: Rows of a block in the blocked path; bounds the memory of one task.
 BLOCK_ROWS = 4096
 SLICE_ROWS = 512
@@ -100,20 +99,6 @@ def _pairs_schema(queries, vectors, query_id, vector_id) -> T.StructType:
     ])
 
 
-def _broadcast_search(vectors, sample: pd.DataFrame, schema, vector_id, vector_col, k, skip_same, floor) -> DataFrame:
-    """Each task scans its vectors against all (few) queries: no shuffle of vectors."""
-    held = vectors.sparkSession.sparkContext.broadcast((sample["q"].to_numpy(), _unit(sample["v"])))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q_unit = held.value
-        for frame in frames:
-            q, v, s = _best(q_ids, q_unit, frame["i"].to_numpy(), _unit(frame["v"]), k, skip_same, floor)
-            yield pd.DataFrame({"query_id": q, "vector_id": v, "score": s})
-
-    rows = vectors.select(F.col(vector_id).alias("i"), F.col(vector_col).alias("v"))
-    return rows.mapInPandas(run, schema)
-
-
 def _block_counts(df: DataFrame, cells: list[str], count: str, block: int) -> DataFrame:
     n = F.ceil(F.count(F.lit(1)) / block).cast("int").alias(count)
     return df.groupBy(*cells).agg(n) if cells else df.agg(n)
@@ -156,25 +141,20 @@ def _blocked_search(queries, vectors, cells, schema, k, skip_same, floor, block)
 
 def dense_top_k(
     queries: DataFrame, vectors: DataFrame, k: int, query_id: str, query_col: str, vector_id: str, vector_col: str,
-    skip_same: bool = False, score_threshold: float | None = None, broadcast_queries: int = BROADCAST_QUERIES,
+    skip_same: bool = False, score_threshold: float | None = None,
     block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact cosine top-k per query: (query_id, vector_id, score, rank).
 
-    The number of queries is checked with a bounded read. Up to
-    ``broadcast_queries`` they go to every task and vectors are scanned in
-    place; above it both sides are cut into blocks.
+    Queries and vectors are cut into blocks by row counts and paired block by
+    block; nothing passes through the driver, and the plan is the same at every size.
     """
     schema = _pairs_schema(queries, vectors, query_id, vector_id)
-    asked = queries.select(F.col(query_id).alias("q"), F.col(query_col).alias("v"))
-    sample = asked.limit(broadcast_queries + 1).toPandas()
-    if len(sample) <= broadcast_queries:
-        found = _broadcast_search(vectors, sample, schema, vector_id, vector_col, k, skip_same, score_threshold)
-    else:
-        found = _blocked_search(
-            asked.select(F.col("q").alias("i"), "v"), vectors.select(F.col(vector_id).alias("i"), F.col(vector_col).alias("v")),
-            [], schema, k, skip_same, score_threshold, block,
-        )
+    found = _blocked_search(
+        queries.select(F.col(query_id).alias("i"), F.col(query_col).alias("v")),
+        vectors.select(F.col(vector_id).alias("i"), F.col(vector_col).alias("v")),
+        [], schema, k, skip_same, score_threshold, block,
+    )
     return top_k(found, ["query_id"], [F.desc("score"), F.asc("vector_id")], k)
 
 

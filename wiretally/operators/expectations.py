@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wiretally.functions import fixed as K
-from wiretally.functions.ordered import carry_last, own_rows, text_parts, with_halo
+from wiretally.functions.ordered import carry_last, number_rows, own_rows, segment_of, text_parts, with_halo
 from wiretally.functions.rows import unfold
 from wiretally.functions.text import all_matches, strip
 
@@ -102,13 +102,20 @@ def expected_interfaces(manual: DataFrame) -> DataFrame:
     )
 
 
-#: A host-name phrase may run over this many further lines.
+#: A host-name phrase has fewer words than this, so it lies on as many lines that are not blank.
 PHRASE_LINES = 5
 
 
 def expected_host_names(manual: DataFrame) -> DataFrame:
-    """Per device the last name given by the last pattern that gives one."""
-    spread, order = with_halo(manual, ["source_file"], "line_no", LINES_PER_SEGMENT, 0, PHRASE_LINES)
+    """Per device the last name given by the last pattern that gives one.
+
+    White space inside a phrase may be any number of blank lines: they are left out, and
+    the other lines are numbered anew.
+    """
+    written = number_rows(
+        manual.filter(F.regexp_like("line", F.lit(r"(?U)\S"))).withColumn("_segment", segment_of(F.col("line_no"), LINES_PER_SEGMENT)),
+        ["source_file"], "_segment", ["line_no"], "_at", "_lines")
+    spread, order = with_halo(written, ["source_file"], "_at", LINES_PER_SEGMENT, 0, PHRASE_LINES)
     phrase = F.concat_ws("\n", "line", *[F.lead("line", i).over(order) for i in range(1, PHRASE_LINES + 1)])
 
     def named(number: int, pattern: str) -> Column:

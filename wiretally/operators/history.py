@@ -27,11 +27,15 @@ def search_history(history: DataFrame, text: str = "", state: str = "all", audit
 def upsert_history(history: DataFrame, added: DataFrame, patches: DataFrame, cap: int = K.HISTORY_CAP) -> DataFrame:
     """New entries, then patches by id, then the newest ``cap`` entries per user.
 
-    ``patches`` has an id and nullable answer, status and is_error.
+    ``patches`` has an id and nullable answer, status and is_error, and may have
+    ``patched_at``. Of several patches for an id the latest counts (the greatest
+    where no time is given), so an id stays one row.
     """
     columns = ("answer", "status", "is_error")
+    when = [F.col("patched_at")] if "patched_at" in patches.columns else []
+    latest = patches.groupBy("id").agg(F.max(F.struct(*when, *columns)).alias("_p"))
     both = history.unionByName(added).join(
-        patches.select("id", *[F.col(c).alias(f"_{c}") for c in columns]), "id", "left")
+        latest.select("id", *[F.col(f"_p.{c}").alias(f"_{c}") for c in columns]), "id", "left")
     for c in columns:
         both = both.withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
     return top_k(both, ["user_key"], [F.desc("created_at"), F.desc("id")], cap)

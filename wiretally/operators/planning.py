@@ -1,8 +1,8 @@
 """Query-log analytics: intent, entities, strategy, enrichment, expansion.
 
 Rules are expressions over one question row. Only device names need a join: the
-registry grows with the network, so names are matched by equality on the word
-spans of the question instead of trying every name on every question.
+registry grows with the network, so names are matched by equality on their first
+word instead of trying every name on every question.
 """
 from __future__ import annotations
 
@@ -36,33 +36,26 @@ def health_override(question: Column, found: Column, strategy: Column, live: Col
     ]
 
 
-def word_spans(text: Column) -> Column:
-    """Upper-cased parts of the text that start and end at a word border and
-    hold no blank: every place a whole-word name could stand."""
-    def spans(pieces: Column) -> Column:
-        word = lambda i: F.regexp_like(F.get(pieces, i - 1), F.lit(r"(?U)^\w"))
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1))), word)
-        return let(starts, lambda at: F.flatten(F.transform(
-            at,
-            lambda i: F.transform(
-                F.filter(at, lambda j: j >= i), lambda j: F.array_join(F.slice(pieces, i, j - i + 1), "")
-            ),
-        )))
-
-    return F.array_distinct(F.flatten(F.transform(
-        all_matches(F.upper(text), r"(?U)[\w.\-]+"),
-        lambda run: let(all_matches(run, r"(?U)\w+|[^\w]+"), spans),
-    )))
+def whole_word(text: Column, name: Column) -> Column:
+    """True where the name stands in the text with word borders at both ends; both in upper case."""
+    return F.regexp_like(text, F.concat(F.lit(r"(?U)\b\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E\b")))
 
 
 def known_devices(questions: DataFrame, registry: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, known): registry names that occur as whole words, in name order."""
-    names = registry.select(F.upper("name").alias("_name")).distinct()
+    """(key, known): registry names that occur as whole words, in name order.
+
+    A name is found by its first run of word characters, then the whole name,
+    blanks and other characters included, is looked for in the text.
+    """
+    first = F.regexp_extract("_name", r"(?U)\w+", 0)
+    names = registry.select(F.upper("name").alias("_name")).distinct().withColumn("_first", first).filter(F.col("_first") != "")
+    words = F.array_distinct(all_matches(F.upper(F.col(text)), r"(?U)\w+"))
+    maybe = unfold(questions, [key], words, "_first").join(names, "_first").groupBy(key).agg(F.collect_set("_name").alias("_maybe"))
     return (
-        unfold(questions, [key], word_spans(F.col(text)), "_name")
-        .join(names, "_name")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_set("_name")).alias("known"))
+        questions.select(key, F.upper(F.col(text)).alias("_upper")).join(maybe, key)
+        .groupBy(key).agg(F.max(F.struct("_upper", "_maybe")).alias("_q"))
+        .select(key, F.array_sort(F.filter("_q._maybe", lambda n: whole_word(F.col("_q._upper"), n))).alias("known"))
+        .filter(F.size("known") > 0)
     )
 
 
@@ -96,21 +89,19 @@ def validate_entities(proposals: DataFrame, registry: DataFrame, key: str = "que
     names of registered but uncited devices are removed from the enriched text.
     """
     names = registry.select(F.upper("name").alias("_name")).distinct()
-    cited = word_spans(F.col("question"))
+    cited = F.filter("proposed_devices", lambda d: whole_word(F.upper("question"), F.upper(d)))
     valid = (
-        unfold(proposals, [key, cited.alias("_cited")], F.col("proposed_devices"), "_raw", "_pos")
+        unfold(proposals, [key], cited, "_raw", "_pos")
         .withColumn("_name", F.upper("_raw"))
-        .filter(F.array_contains("_cited", F.col("_name")))
         .join(names, "_name", "left_semi")
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("_pos", "_name"))).alias("_v"))
         .select(key, F.array_distinct(F.transform("_v", lambda x: x["_name"])).alias("mentioned_devices"))
     )
     foreign = (
-        unfold(proposals, [key], F.array_except(word_spans(F.col("enriched_query")), cited), "_name")
-        .join(names, "_name", "left_semi")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_set("_name")).alias("_foreign"))
+        known_devices(proposals, registry, key, "enriched_query").withColumnRenamed("known", "_found")
+        .join(known_devices(proposals, registry, key, "question"), key, "left")
+        .select(key, F.array_except("_found", F.coalesce("known", F.array().cast("array<string>"))).alias("_foreign"))
     )
     none = F.array().cast("array<string>")
     vlan = lambda v: F.when(

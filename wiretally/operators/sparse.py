@@ -10,10 +10,6 @@ from wiretally.functions.rows import unfold
 from wiretally.functions.text import term_counts, tokens
 
 
-#: Query-term rows that are shipped to every task; about 100 bytes each at most.
-BROADCAST_TERMS = 200_000
-
-
 @dataclass(frozen=True)
 class Bm25:
     k1: float = 1.2
@@ -68,22 +64,18 @@ def sparse_scores(
 ) -> DataFrame:
     """BM25 score of every chunk that shares a term with a query.
 
-    The number of query terms is checked with a bounded count. Up to
-    ``BROADCAST_TERMS`` rows they go to every task, so that postings are scored
-    where they are made and only (query, chunk) sums are shuffled. Beyond that
-    both sides are shuffled by term and the runtime splits the partitions of
-    frequent terms. ``statistics_corpus`` fixes document frequencies when
+    The planner decides from measured sizes how the query terms meet the postings:
+    few enough go to every task, otherwise both sides are shuffled by term and the
+    runtime splits the partitions of frequent terms. ``statistics_corpus`` fixes document frequencies when
     ``corpus`` is a filtered part of a larger collection.
     """
     base = corpus if statistics_corpus is None else statistics_corpus
     totals = corpus_totals(base, text_col)
     n, mean_len = totals.select("n_chunks").scalar(), totals.select("mean_len").scalar()
     asked = query_terms(queries, query_id, query_text)
-    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    sent = F.broadcast if few else (lambda df: df)
     frequency = (
         postings(base, id_col, text_col)
-        .join(sent(asked.select("term").distinct()), "term", "left_semi")
+        .join(asked.select("term").distinct(), "term", "left_semi")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
     )
@@ -96,7 +88,7 @@ def sparse_scores(
     )
     return (
         postings(corpus, id_col, text_col, keep)
-        .join(sent(weighted), "term")
+        .join(weighted, "term")
         .groupBy(query_id, id_col, *keep)
         .agg(F.round(F.sum(F.col("_w") * saturated), 6).alias("score"))
     )

@@ -26,14 +26,20 @@ def flatten_tree(devices: DataFrame) -> DataFrame:
     """
     linked = _parents(devices)
     rank = F.when(F.col("kind") == "router", 0).when(F.col("parent").isNull(), 1).otherwise(2)
-    root = linked.agg(F.min(F.struct(rank.alias("r"), "ordinal", "node"))["node"]).scalar()
-    edges = linked.withColumn("_root", root).select(
-        "node", "kind", "ordinal",
-        F.when(F.col("node") != F.col("_root"), F.coalesce("parent", F.col("_root"))).alias("parent"))
-    state = checkpointed(edges.select(
-        "node", "kind", "parent", F.col("parent").alias("above"),
-        F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"),
-        F.lpad(F.col("ordinal").cast("string"), 12, "0").alias("path")))
+    first = linked.agg(
+        F.min(F.struct(rank.alias("r"), "ordinal", "node")).alias("f"), F.max(F.length(F.col("ordinal").cast("string"))).alias("w")).first()
+    if first["f"] is None:
+        return linked.select("node", "kind", "parent", F.lit(0).cast("bigint").alias("depth"), F.lit("").alias("path"))
+    width = max(12, first["w"])
+    root, root_path = F.lit(first["f"]["node"]), F.lit(str(first["f"]["ordinal"]).rjust(width, "0") + "/")
+    own = F.lpad(F.col("ordinal").cast("string"), width, "0")
+    # what hangs below the root is known without a join, however much it is
+    state = checkpointed(
+        linked.select("node", "kind", F.when(F.col("node") != root, F.coalesce("parent", root)).alias("parent"), own.alias("path"))
+        .select(
+            "node", "kind", "parent", F.when(F.col("parent") != root, F.col("parent")).alias("above"),
+            F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"),
+            F.when(F.col("parent") == root, F.concat(root_path, "path")).otherwise(F.col("path")).alias("path")))
     open_before = state.filter("above IS NOT NULL").count()
     while open_before:
         step = state.select(F.col("node").alias("above"), F.col("above").alias("_above"), F.col("depth").alias("_depth"),

@@ -122,7 +122,7 @@ FROM score WHERE query_id <> vector_id QUALIFY rank <= 10""")
 def similar_to_existing(spark, d):
     """Every stored vector asks for its neighbours: the blocked path."""
     v = vectors(spark, d)
-    return DE.dense_top_k(v, v, 10, "vec_id", "embedding", "vec_id", "embedding", skip_same=True, broadcast_queries=0)
+    return DE.dense_top_k(v, v, 10, "vec_id", "embedding", "vec_id", "embedding", skip_same=True)
 
 
 @register("approximate_top_k")

@@ -126,11 +126,6 @@ def snapshot_export(spark, d):
         F.size("vlans").cast("bigint").alias("n_vlans"), "cpu_usage", "memory_usage", "is_complete")
 
 
-@register("file_inventory")
-def file_inventory(spark, d):
-    return TB.file_inventory(spark, d, "*.parquet").select("name", "size")
-
-
 # --- topology
 
 TREE = "WITH RECURSIVE " + R.REGISTRY + """,
@@ -360,10 +355,9 @@ def alert_stream(spark, d):
     return ST.run_to_table(ST.alert_stream(arriving), "append", "alerts").select("device_name", "alert")
 
 
-@register("ingest_stream", CHUNKS.replace(
-    "FROM ordered o LEFT JOIN caps c USING (source_file, block_no))",
-    "FROM ordered o LEFT JOIN caps c USING (source_file, block_no) WHERE o.block_type <> 'image')") + """
+@register("ingest_stream", CHUNKS + """
 SELECT source_file AS filename, count(*) AS chunks_indexed FROM chunks GROUP BY source_file""")
 def ingest_stream(spark, d):
-    """Documents arriving as a stream of blocks (images without captions are left out)."""
-    return IN.run_ingest(R.blocks_from(ST.event_stream(spark, d, "documents")))[1].select("filename", "chunks_indexed")
+    """Documents arriving as a stream of blocks, images with their captions."""
+    return IN.run_ingest(R.blocks_from(ST.event_stream(spark, d, "documents")), R.captions(spark, d))[1].select(
+        "filename", "chunks_indexed")

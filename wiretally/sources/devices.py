@@ -13,10 +13,11 @@ TYPE, MGMT_INTERFACE = "switch", "Vlanif1"
 
 
 def read_export_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content): each export file as one value."""
+    """(path, modified, content): each export file as one value."""
     return (
         spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"),
+                F.col("value").alias("content"))
     )
 
 
@@ -24,7 +25,8 @@ def export_outputs(files: DataFrame) -> DataFrame:
     """(device_name, outputs) from export files.
 
     A full session file wins over per-command files, and those over a plain
-    configuration file.
+    configuration file. Where several files give one command of a device, the one
+    modified last counts, then the one with the greatest path.
     """
     name = F.regexp_replace(base_name(F.col("path")), r"\.txt$", "")
     kinds = "|".join(K.EXPORT_SUFFIXES)
@@ -36,14 +38,18 @@ def export_outputs(files: DataFrame) -> DataFrame:
     single = F.when(suffix == "", F.col("content")).otherwise(strip(F.col("content")))
     entries = F.when(suffix == "full", split_session(F.col("content"))).otherwise(
         F.array(F.struct(command.alias("command"), single.alias("output"))))
+    modified = F.col("modified") if "modified" in files.columns else F.lit(None).cast("timestamp")
     rows = files.select(
+        F.struct(modified.alias("modified"), "path").alias("version"),
         F.upper(F.regexp_replace(name, rf"_(full|{kinds})$", "")).alias("device_name"),
         F.when(suffix == "full", 0).when(suffix != "", 1).otherwise(2).alias("priority"), entries.alias("entries"))
     best = rows.groupBy("device_name").agg(F.min("priority").alias("priority"))
-    return (
-        rows.join(best, ["device_name", "priority"])
-        .groupBy("device_name").agg(F.map_from_entries(F.flatten(F.collect_list("entries"))).alias("outputs"))
+    newest = (
+        rows.join(best, ["device_name", "priority"]).select("device_name", "version", F.explode("entries").alias("e"))
+        .groupBy("device_name", "e.command").agg(F.max_by("e.output", "version").alias("output"))
     )
+    return newest.groupBy("device_name").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("command", "output")))).alias("outputs"))
 
 
 def complete_registry(devices: DataFrame, defaults: dict | None = None) -> DataFrame:

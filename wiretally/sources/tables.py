@@ -1,4 +1,4 @@
-"""Readers and writers: block tables, chunk JSON, chunk index, manifest, file inventory."""
+"""Readers and writers: block tables, chunk JSON, chunk index, manifest."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -108,6 +108,15 @@ def read_index(spark: SparkSession, path: str, source: str | None = None, bucket
     return rows.drop("bucket")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:           # no folder, or one without data files
+        return False
+
+
 def replace_sources(spark: SparkSession, path: str, chunks: DataFrame, sources: DataFrame,
                     buckets: int = INDEX_BUCKETS) -> None:
     """Upsert: all old rows of the given sources go, the new chunks come.
@@ -122,6 +131,9 @@ def replace_sources(spark: SparkSession, path: str, chunks: DataFrame, sources:
     touched = named.agg(F.collect_set("bucket")).first()[0]
     if not touched:
         return
+    if not _exists(spark, path):
+        write_index(chunks, path, buckets)
+        return
     old = spark.read.parquet(path).filter(F.col("bucket").isin(*touched) & F.col("chunk_id").isNotNull())
     marker = spark.createDataFrame([(b,) for b in touched], "bucket int")
     kept = old.join(named.select("source_file"), "source_file", "left_anti")
@@ -138,7 +150,7 @@ def not_indexed(blocks: DataFrame, index: DataFrame, force: bool = False) -> Dat
     return blocks if force else blocks.join(index.select("source_file").distinct(), "source_file", "left_anti")
 
 
-# --- manifest and inventory
+# --- manifest
 
 def append_manifest(rows: DataFrame, path: str) -> None:
     rows.select("file_id", "filename", "ingested_at", "chunks_indexed").write.mode("append").parquet(path)
@@ -146,12 +158,3 @@ def append_manifest(rows: DataFrame, path: str) -> None:
 
 def list_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).orderBy(F.desc("ingested_at"), F.asc("filename"))
-
-
-def file_inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Name, size and time of the files below a folder, newest first; contents stay unread."""
-    return (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-        .select(base_name(F.col("path")).alias("name"), F.col("length").alias("size"), "modificationTime")
-        .orderBy(F.desc("modificationTime"), F.asc("name"))
-    )

@@ -5,26 +5,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wiretally.operators.chunking import build_chunks
 from wiretally.session import scratch_path
-from wiretally.sources.tables import accept_blocks, not_indexed, with_bucket
+from wiretally.sources.tables import BLOCK_SCHEMA, accept_blocks, read_index, replace_sources
 
+BLOCK_KEY = ("source_file", "page_number", "block_no")
 
-def ingest_stream(blocks: DataFrame, index_path: str, manifest_path: str, state_path: str):
-    """Start the ingest: each new document is chunked and indexed once.
 
-    A micro-batch leaves out documents that other batches have indexed, writes
-    its chunks and its manifest rows to folders named after the batch, and
-    replaces them when it is run again after a failure.
+def ingest_stream(blocks: DataFrame, index_path: str, manifest_path: str, state_path: str, captions: DataFrame | None = None):
+    """Start the ingest: a document is in the index as soon as its first blocks are, and complete with its last.
+
+    A micro-batch keeps its blocks in a folder of its own. The documents of which it
+    brings blocks not seen before are chunked anew from all their blocks and
+    replaced in the index; blocks seen before change nothing. ``captions``
+    gives image blocks their text, as in a batch ingest. A batch that is run again
+    after a failure writes the same rows to the same places.
     """
+    store = f"{manifest_path.rstrip('/')}-blocks"
+
     def write(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        accepted = accept_blocks(rows)
-        held = _earlier(spark, manifest_path, batch_id)
-        if held is not None:
-            accepted = not_indexed(accepted, held)
-        with_bucket(build_chunks(accepted)).write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{index_path}/batch={batch_id}")
-        done = spark.read.parquet(f"{index_path}/batch={batch_id}").groupBy("source_file").agg(
-            F.count(F.lit(1)).alias("chunks_indexed"))
+        accept_blocks(rows).select(*BLOCK_SCHEMA.fieldNames()).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        held = first_seen(spark, store, batch_id)
+        touched = held.filter(F.col("batch") == batch_id).select("source_file").distinct()
+        whole = held.drop("batch").join(touched, "source_file", "left_semi")
+        replace_sources(spark, index_path, build_chunks(whole, captions=captions), touched)
+        done = (
+            read_index(spark, index_path).join(touched, "source_file", "left_semi").groupBy("source_file")
+            .agg(F.count(F.lit(1)).alias("chunks_indexed"))
+        )
         done.select(F.sha2("source_file", 256).alias("file_id"), F.col("source_file").alias("filename"),
                     F.current_timestamp().alias("ingested_at"), "chunks_indexed").write.mode("overwrite").parquet(
             f"{manifest_path}/batch={batch_id}")
@@ -33,17 +40,30 @@ def ingest_stream(blocks: DataFrame, index_path: str, manifest_path: str, state_
         write).start()
 
 
-def _earlier(spark: SparkSession, manifest_path: str, batch_id: int) -> DataFrame | None:
-    """Sources recorded by the batches before this one."""
-    if batch_id == 0:
-        return None
-    known = spark.read.schema("filename string, batch int").option("basePath", manifest_path).parquet(manifest_path)
-    return known.filter(F.col("batch") < batch_id).select(F.col("filename").alias("source_file"))
+def first_seen(spark: SparkSession, store: str, batch_id: int) -> DataFrame:
+    """Every block once, from the first batch that has it, with the number of that batch."""
+    held = (
+        spark.read.schema(BLOCK_SCHEMA.simpleString()[7:-1].replace(":", " ") + ", batch int").option("basePath", store).parquet(store)
+        .filter(F.col("batch") <= batch_id)
+    )
+    rest = [c for c in BLOCK_SCHEMA.fieldNames() if c not in BLOCK_KEY]
+    return held.groupBy(*BLOCK_KEY).agg(F.min(F.struct("batch", *rest)).alias("b")).select(
+        *[c if c in BLOCK_KEY else F.col("b")[c].alias(c) for c in BLOCK_SCHEMA.fieldNames()], F.col("b.batch").alias("batch"))
+
+
+def current_manifest(spark: SparkSession, manifest_path: str) -> DataFrame:
+    """The latest row of each document."""
+    rows = spark.read.schema(
+        "file_id string, filename string, ingested_at timestamp, chunks_indexed long, batch int").option(
+        "basePath", manifest_path).parquet(manifest_path)
+    fields = ("file_id", "ingested_at", "chunks_indexed")
+    return rows.groupBy("filename").agg(F.max(F.struct("batch", *fields)).alias("m")).select(
+        "filename", *[F.col("m")[c].alias(c) for c in fields])
 
 
-def run_ingest(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def run_ingest(blocks: DataFrame, captions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Ingest everything available; returns (chunks, manifest)."""
     spark = blocks.sparkSession
     paths = [scratch_path(spark, x) for x in ("chunks", "manifest", "ingest-state")]
-    ingest_stream(blocks, *paths).awaitTermination()
-    return tuple(spark.read.option("basePath", p).parquet(p) for p in paths[:2])
+    ingest_stream(blocks, *paths, captions=captions).awaitTermination()
+    return read_index(spark, paths[0]), current_manifest(spark, paths[1])
