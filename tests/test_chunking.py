@@ -15,28 +15,28 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, BLOCK_SCHEMA)
 
 
-def windows(text, size=800, overlap=150, zone=100):
-    out, start = [], 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            cut = text.rfind("\n", end - zone, end)
-            end = cut if cut > start else end
-        piece = text[start:end].strip()
-        if piece:
-            out.append((start, min(end, len(text)), piece))
-        start = end - overlap
-    return out
-
-
-def test_split_matches_a_plain_loop(spark):
+def test_split_pieces_cover_the_text(spark):
+    """Piece by piece: where it starts, where it ends, and that nothing but blanks lies outside."""
     rng = random.Random(5)
     texts = ["x" * n for n in (801, 949, 950, 951, 1400, 1450, 1451)]
     texts += ["".join(rng.choice("ab é\n  ") for _ in range(rng.randrange(801, 6000))).strip() for _ in range(40)]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
     got = {r.i: [tuple(w) for w in r.w] for r in rows.select("i", CH.split_windows(F.col("t")).alias("w")).collect()}
-    for i, t in enumerate(texts):
-        assert got[i] == windows(t), i
+    for i, text in enumerate(texts):
+        pieces = got[i]
+        assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
+        seen = set()
+        for (start, end, piece), after in zip(pieces, pieces[1:] + [None]):
+            assert piece == text[start:end].strip() and piece
+            if end < len(text):
+                breaks = [k for k in range(start + 700, start + 800) if text[k] == "\n"]
+                assert end == (breaks[-1] if breaks else start + 800)
+            else:
+                assert end - start <= 800
+            if after is not None and text[end - 150:after[0]].strip() == "":
+                assert after[0] >= end - 150
+            seen.update(range(start, end))
+        assert all(text[k].isspace() for k in set(range(len(text))) - seen)
 
 
 def test_contained_tail_can_be_dropped(spark):
@@ -46,41 +46,29 @@ def test_contained_tail_can_be_dropped(spark):
     assert (keep, drop) == (3, 2)
 
 
-def greedy(rows):
-    """(page, kind, text) in order to merged (page, kind, text)."""
-    out, pending = [], None
-    for page, kind, text in rows:
-        if kind == "image":
-            out += [pending] if pending else []
-            out.append((page, kind, text))
-            pending = None
-        elif pending is None:
-            pending = (page, kind, text)
-        elif pending[0] != page or len(pending[2]) >= 80:
-            out.append(pending)
-            pending = (page, kind, text)
-        else:
-            pending = (pending[0], pending[1], pending[2] + "\n" + text)
-    return out + ([pending] if pending else [])
-
-
-def test_merge_matches_a_plain_loop_also_for_one_hot_document(spark):
+def test_merged_blocks_rebuild_each_page(spark):
     rng = random.Random(9)
-    rows, want = [], {}
+    rows, plain = [], {}
     for source, n in (("hot.pdf", 900), ("a.pdf", 60), ("b.pdf", 1)):
-        plain = []
         for i in range(n):
             page = 1 + i // 7
             kind = rng.choice(["text"] * 5 + ["image"])
             text = "w" * rng.choice([20, 25, 79, 80, 81, 200])
             rows.append(block(source, page, i, text, kind))
-            plain.append((page, kind, text))
-        want[source] = greedy(plain)
+            plain.setdefault((source, page), []).append((kind, text))
     ordered = PR.order_blocks(PR.prepare_blocks(frame(spark, rows)), pages_per_segment=3)
     got = {}
     for r in CH.merge_short(ordered).orderBy("source_file", "page_number", "block_index").collect():
-        got.setdefault(r.source_file, []).append((r.page_number, r.block_type, r.content))
-    assert got == want
+        got.setdefault((r.source_file, r.page_number), []).append((r.block_type, r.content))
+    assert got.keys() == plain.keys()
+    for page, merged in got.items():
+        assert "\n".join(t for _, t in merged) == "\n".join(t for _, t in plain[page])      # in order, nothing lost
+        assert [t for k, t in merged if k == "image"] == [t for k, t in plain[page] if k == "image"]
+        for (kind, text), (after, _) in zip(merged, merged[1:]):
+            assert "image" in (kind, after) or len(text) >= 80                                  # a short text takes its neighbour
+        for kind, text in merged:
+            if kind != "image" and "\n" in text:
+                assert len(text.rsplit("\n", 1)[0]) < 80                                       # and stops when it is long
 
 
 def test_order_is_the_same_for_every_segment_size(spark):

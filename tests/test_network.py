@@ -108,7 +108,7 @@ def test_confidence_borders(spark, quality, level):
 
 
 def test_corrective_commands_in_free_text(spark):
-    text = "a. Commande corrective : `[s1] vlan batch 1 2;` Commande corrective : [R1-X] sysname R1.  "
+    text = "a. Fix: `[s1] vlan batch 1 2;` Fix: [R1-X] sysname R1.  "
     rows = CO.corrective_commands(spark.createDataFrame([(text,)], "discrepancy string")).orderBy("n").collect()
     assert [(r.device, r.command) for r in rows] == [("S1", "vlan batch 1 2"), ("R1-X", "sysname R1")]
 

@@ -76,10 +76,10 @@ def reachability_summary(reachability: DataFrame, services_ok: bool = True) -> D
     return reachability.agg(F.count_if("reachable").alias("reachable"), F.count(F.lit(1)).alias("total")).select(
         "reachable", "total",
         F.when(total > 0, F.round(reach / total, 6)).otherwise(0.0).alias("ratio"),
-        F.when((total > 0) & (reach == total), "Tous les équipements répondent")
+        F.when((total > 0) & (reach == total), "all devices answer")
         .when(total > 0, F.concat(reach.cast("string"), F.lit("/"), total.cast("string"),
-                                  F.lit(" équipements joignables")))
-        .otherwise("Aucune donnée eNSP disponible").alias("label"),
+                                  F.lit(" devices answer")))
+        .otherwise("no device known").alias("label"),
         F.lit("ok" if services_ok else "degraded").alias("status"))
 
 
@@ -131,11 +131,11 @@ def add_devices(proposed: DataFrame, registry: DataFrame) -> tuple[DataFrame, Da
     names = registry.select(F.upper("name").alias("_n")).distinct()
     keyed = proposed.withColumn("_n", F.upper("name"))
     conflict = keyed.join(names, "_n", "left_semi").select(
-        "name", F.concat(F.lit("L'équipement "), F.col("name"), F.lit(" existe déjà.")).alias("error"))
+        "name", F.concat(F.lit("device "), F.col("name"), F.lit(" is already there")).alias("error"))
     fields = F.filter(
         F.array(*[F.struct(F.lit(f).alias("key"), F.col(f).alias("value")) for f in NEW_FIELDS]
                 + [F.struct(F.lit("description").alias("key"), F.concat(
-                    F.lit("Nouveau "), F.col("type"), F.lit(" ajouté par l'assistant")).alias("value"))]),
+                    F.lit("new "), F.col("type")).alias("value"))]),
         lambda e: e["value"].isNotNull() & (e["value"] != ""))
     fresh = keyed.join(names, "_n", "left_anti").select("name", F.map_from_entries(fields).alias("fields"))
     return fresh, conflict

@@ -93,24 +93,24 @@ cmp AS (SELECT coalesce(e.source_file, r.source_file) AS source_file, coalesce(e
     ON e.source_file = r.source_file AND e.device = r.device AND e.vlan = r.vlan
   WHERE e.vlan IS NULL OR r.vlan IS NULL),
 vgap AS (SELECT source_file, device, kind, string_agg(vlan::VARCHAR, ', ' ORDER BY vlan) AS vlans, CASE kind WHEN 'missing'
-  THEN device || ' : VLANs [' || string_agg(vlan::VARCHAR, ', ' ORDER BY vlan) || '] requis par le manuel mais ABSENTS de la '
-    || 'configuration réelle.' || chr(10) || '   Commande corrective : [' || device || '] vlan batch '
+  THEN device || ' : VLANs [' || string_agg(vlan::VARCHAR, ', ' ORDER BY vlan) || '] are documented and not configured.' || chr(10)
+    || '   Fix: [' || device || '] vlan batch '
     || string_agg(vlan::VARCHAR, ' ' ORDER BY vlan)
-  ELSE device || ' : VLANs [' || string_agg(vlan::VARCHAR, ', ' ORDER BY vlan) || '] présents sur l''équipement mais NON '
-    || 'documentés dans le manuel.' END AS discrepancy FROM cmp GROUP BY source_file, device, kind),
+  ELSE device || ' : VLANs [' || string_agg(vlan::VARCHAR, ', ' ORDER BY vlan) || '] are configured and '
+    || 'not documented.' END AS discrepancy FROM cmp GROUP BY source_file, device, kind),
 hgap AS (SELECT source_file, device, device || '-OLD' AS real_name, host_name,
-  device || ' : Hostname incorrect.' || chr(10) || '   Attendu  (manuel) : ''' || host_name || '''' || chr(10)
-  || '   Réel     (SSH)    : ''' || device || '-OLD''' || chr(10) || '   Commande corrective : [' || device || '-OLD] sysname '
+  device || ' : Hostname differs.' || chr(10) || '   documented: ''' || host_name || '''' || chr(10)
+  || '   configured: ''' || device || '-OLD''' || chr(10) || '   Fix: [' || device || '-OLD] sysname '
   || host_name AS discrepancy FROM ehn JOIN dsrc USING (source_file) WHERE doc_id % 4 = 1),
 dwn AS (SELECT source_file, itf.device_name AS device, j, name AS interface FROM itf JOIN dsrc USING (device_name)
   WHERE contains(phy_state, 'down')),
 mtext AS (SELECT source_file, string_agg(lower(line), chr(10) ORDER BY line_no) AS t FROM man GROUP BY source_file),
 igap AS (SELECT source_file, device, interface, device || ' : Interface ' || interface
-  || ' est DOWN alors que le manuel la mentionne comme active.' AS discrepancy
+  || ' is down; the documents name it.' AS discrepancy
   FROM dwn JOIN mtext USING (source_file) WHERE contains(t, lower(interface))),
 rtext AS (SELECT device_name AS device, string_agg(destination || ' ' || nexthop, chr(10)) AS t FROM rou GROUP BY device_name),
-rgap AS (SELECT source_file, ert.device, network, mask, next_hop, ert.device || ' : Route statique ' || network || '/' || mask
-  || ' vers ' || next_hop || ' requise par le manuel mais ABSENTE.' || chr(10) || '   Commande corrective : [' || ert.device
+rgap AS (SELECT source_file, ert.device, network, mask, next_hop, ert.device || ' : Route ' || network || '/' || mask
+  || ' through ' || next_hop || ' is documented and not in the routing table.' || chr(10) || '   Fix: [' || ert.device
   || '] ip route-static ' || network || ' ' || mask || ' ' || next_hop AS discrepancy
   FROM ert JOIN dsrc USING (source_file) JOIN rtext ON rtext.device = ert.device
   WHERE ert.device = dsrc.device_name AND NOT contains(t, network)),
@@ -166,16 +166,16 @@ dinfo AS (SELECT dl.*, ex.device IS NULL AND coalesce(has_ref, false) AS blind F
   LEFT JOIN flag USING (source_file)),
 alert AS (
   SELECT source_file, met.device_name AS device, 1::BIGINT AS ord, 'warning' AS severity, 'performance' AS category,
-    'CPU élevé sur ' || met.device_name || ' : ' || printf('%.1f', cpu) || '%' AS message, '' AS detail
+    'CPU load of ' || met.device_name || ' at ' || printf('%.1f', cpu) || '%' AS message, '' AS detail
     FROM met JOIN dsrc USING (device_name) WHERE cpu > 70
-  UNION ALL SELECT source_file, device, 2, 'critical', 'anomaly', 'Interface(s) DOWN sur ' || device
-    || ' (aucune référence détectée — vérifier par précaution)', 'Interfaces : ' || first5 FROM dinfo WHERE blind
-  UNION ALL SELECT source_file, device, 3, 'critical', 'anomaly', 'Interface(s) DOWN sur ' || device
-    || ' (documentées comme actives)', 'Interfaces : ' || crit FROM dinfo WHERE NOT blind AND n_crit > 0
-  UNION ALL SELECT source_file, device, 4, 'info', 'info', (n - n_crit) || ' interface(s) DOWN sur ' || device
-    || ' — non documentées, probablement inutilisées', 'Interfaces : ' || free5 FROM dinfo WHERE NOT blind AND n > n_crit
-  UNION ALL SELECT source_file, device_name, 5, 'critical', 'anomaly', 'OSPF instable sur ' || device_name,
-    'Voisins non-FULL : [' || string_agg('''' || router_id || '''', ', ' ORDER BY j) || ']' FROM osp JOIN dsrc USING (device_name)
+  UNION ALL SELECT source_file, device, 2, 'critical', 'anomaly', 'Interfaces DOWN on ' || device
+    || ' (nothing documented to compare with)', 'Named: ' || first5 FROM dinfo WHERE blind
+  UNION ALL SELECT source_file, device, 3, 'critical', 'anomaly', 'Interfaces DOWN on ' || device
+    || ' that the documents need', 'Named: ' || crit FROM dinfo WHERE NOT blind AND n_crit > 0
+  UNION ALL SELECT source_file, device, 4, 'info', 'info', (n - n_crit) || ' DOWN on ' || device
+    || ' that no document names', 'Named: ' || free5 FROM dinfo WHERE NOT blind AND n > n_crit
+  UNION ALL SELECT source_file, device_name, 5, 'critical', 'anomaly', 'OSPF neighbours of ' || device_name,
+    'Not full: [' || string_agg('''' || router_id || '''', ', ' ORDER BY j) || ']' FROM osp JOIN dsrc USING (device_name)
     WHERE NOT contains(lower(state), 'full') GROUP BY source_file, device_name)"""
 
 
@@ -192,7 +192,7 @@ def device_alerts(spark, d):
 @register("alert_texts", ALERTS + """
 SELECT device, ord, CASE severity WHEN 'info' THEN 'informative' ELSE 'actionable' END AS report_group,
   CASE severity WHEN 'critical' THEN '🔴' WHEN 'warning' THEN '🟡' ELSE '🔵' END || ' [' || upper(severity) || '] ' || message
-  || chr(10) || '   Équipement : ' || device || CASE WHEN detail <> '' THEN chr(10) || '   Détail     : ' || detail ELSE '' END
+  || chr(10) || '   device: ' || device || CASE WHEN detail <> '' THEN chr(10) || '   detail: ' || detail ELSE '' END
   AS text FROM alert""")
 def alert_texts(spark, d):
     return CO.split_alerts(alerts(spark, d)).select("device", F.col("ord").cast("bigint").alias("ord"), "report_group", "text")
@@ -201,27 +201,26 @@ def alert_texts(spark, d):
 FACTS = W + """,
 nb AS (SELECT device_name, count(*) AS n, count(*) FILTER (contains(lower(state), 'full')) AS ok FROM osp GROUP BY ALL),
 bb AS (SELECT device_name, count(*) AS n, count(*) FILTER (contains(lower(state), 'established')) AS ok FROM bgp GROUP BY ALL),
-vv AS (SELECT device_name, string_agg('groupe ' || vrid || ' sur ' || interface || ' en état ' || state, ', ' ORDER BY j) AS t
+vv AS (SELECT device_name, string_agg(interface || ' group ' || vrid || ' is ' || state, ', ' ORDER BY j) AS t
   FROM vrr GROUP BY ALL),
 ss AS (SELECT device_name, count(*) AS n, count(*) FILTER (state = 'FORWARDING') AS f FROM stp GROUP BY ALL),
 ll AS (SELECT device_name, count(*) AS n, array_to_string(list(neighbor_device ORDER BY j)[1:3], ', ') AS t FROM lld GROUP BY ALL),
 f0 AS (
-  SELECT device_name, 'OSPF' AS protocol, CASE WHEN doc_id % 2 = 0 THEN 'OSPF est configuré (processus 1) — ' || ok
-    || ' voisin(s) en état FULL' || CASE WHEN n > ok THEN ', ' || (n - ok) || ' voisin(s) hors FULL' ELSE '' END || '.'
-    ELSE 'OSPF n''est PAS configuré.' END AS f FROM dv JOIN nb USING (device_name)
-  UNION ALL SELECT device_name, 'BGP', CASE WHEN doc_id % 5 = 0 THEN 'BGP est configuré (AS 65001) — ' || ok
-    || ' voisin(s) en état ESTABLISHED' || CASE WHEN n > ok THEN ', ' || (n - ok) || ' voisin(s) hors ESTABLISHED' ELSE '' END
-    || '.' ELSE 'BGP n''est PAS configuré.' END FROM dv JOIN bb USING (device_name)
-  UNION ALL SELECT device_name, 'VRRP', 'VRRP est configuré — ' || t || '.' FROM vv
-  UNION ALL SELECT device_name, p, p || ' est actif — ' || n || ' port(s) suivi(s), ' || f || ' en FORWARDING.' FROM ss
+  SELECT device_name, 'OSPF' AS protocol, CASE WHEN doc_id % 2 = 0 THEN 'OSPF runs as process 1: ' || ok
+    || ' in state FULL' || CASE WHEN n > ok THEN ', ' || (n - ok) || ' not in FULL' ELSE '' END || '.'
+    ELSE 'OSPF does not run.' END AS f FROM dv JOIN nb USING (device_name)
+  UNION ALL SELECT device_name, 'BGP', CASE WHEN doc_id % 5 = 0 THEN 'BGP runs in AS 65001: ' || ok
+    || ' in state ESTABLISHED' || CASE WHEN n > ok THEN ', ' || (n - ok) || ' not in ESTABLISHED' ELSE '' END
+    || '.' ELSE 'BGP does not run.' END FROM dv JOIN bb USING (device_name)
+  UNION ALL SELECT device_name, 'VRRP', 'VRRP: ' || t || '.' FROM vv
+  UNION ALL SELECT device_name, p, p || ' ports: ' || n || ' listed, ' || f || ' forwarding.' FROM ss
     CROSS JOIN (VALUES ('STP'), ('RSTP'), ('MSTP')) v(p)
-  UNION ALL SELECT device_name, 'LLDP', 'LLDP est actif — ' || n || ' voisin(s) découvert(s) (' || t || ').' FROM ll
-  UNION ALL SELECT device_name, 'DHCP', CASE WHEN doc_id % 7 = 0 THEN 'DHCP apparaît configuré dans la configuration active '
-    || '(vérification détaillée non automatisée).' ELSE 'DHCP n''apparaît PAS dans la configuration active.' END FROM dv
-  UNION ALL SELECT device_name, p, p || ' n''apparaît PAS dans la configuration active.' FROM dv
+  UNION ALL SELECT device_name, 'LLDP', 'LLDP neighbours: ' || n || ' found (' || t || ').' FROM ll
+  UNION ALL SELECT device_name, 'DHCP', CASE WHEN doc_id % 7 = 0 THEN 'DHCP is named in the '
+    || 'configuration.' ELSE 'DHCP is not named in the configuration.' END FROM dv
+  UNION ALL SELECT device_name, p, p || ' is not named in the configuration.' FROM dv
     CROSS JOIN (VALUES ('RIP'), ('ACL')) v(p)
-  UNION ALL SELECT device_name, p, 'constat automatique non disponible pour ' || p || ' — consultez la configuration brute ou le '
-    || 'manuel pour ce protocole.' FROM dv CROSS JOIN (VALUES ('LACP'), ('VLAN'), ('VRP'), ('SNMP'), ('SSH'), ('TELNET'),
+  UNION ALL SELECT device_name, p, p || ' has no rule.' FROM dv CROSS JOIN (VALUES ('LACP'), ('VLAN'), ('VRP'), ('SNMP'), ('SSH'), ('TELNET'),
     ('NAT'), ('QOS'), ('MPLS')) v(p)),
 fact AS (SELECT device_name, protocol, device_name || ' : ' || f AS fact FROM f0)"""
 
@@ -270,7 +269,7 @@ def quality(spark, d):
 
 @register("retrieval_quality", "WITH " + QUALITY + """
 SELECT question_id, n AS n_chunks, round(mean, 6) AS mean_score, round(quality, 6) AS quality, n_alerts,
-  CASE WHEN n = 0 THEN 'Aucun chunk RAG trouvé dans Qdrant' WHEN n = 1 THEN 'Seulement 1 chunk(s) RAG trouvé(s)' END AS first_alert
+  CASE WHEN n = 0 THEN 'The search found nothing' WHEN n = 1 THEN 'Results found: 1' END AS first_alert
 FROM qual""")
 def retrieval_quality(spark, d):
     return quality(spark, d).select(
@@ -311,17 +310,17 @@ def validation_rollup(spark, d):
 
 
 @register("recommendations", SUM + """
-SELECT question_id, 0::BIGINT AS stage, device, 'Vérifier le câblage/config de ' || device || ' — interfaces DOWN détectées' AS advice
+SELECT question_id, 0::BIGINT AS stage, device, 'Look at the links of ' || device || '' AS advice
   FROM con JOIN alert ON device = device_name WHERE severity = 'critical' AND contains(message, 'DOWN')
-UNION ALL SELECT question_id, 0, device, 'Corriger OSPF sur ' || device || ' — voisinage non établi'
+UNION ALL SELECT question_id, 0, device, 'Mend the OSPF neighbours of ' || device || ''
   FROM con JOIN alert ON device = device_name WHERE severity = 'critical' AND contains(message, 'OSPF')
-UNION ALL SELECT question_id, 0, device, 'Surveiller CPU sur ' || device FROM con JOIN alert ON device = device_name
+UNION ALL SELECT question_id, 0, device, 'Watch the CPU load of ' || device FROM con JOIN alert ON device = device_name
   WHERE contains(message, 'CPU')
-UNION ALL SELECT DISTINCT question_id, 1, '', 'Configurer les VLANs manquants avec ''vlan batch X Y Z'' et vérifier les interfaces en mode access/trunk'
+UNION ALL SELECT DISTINCT question_id, 1, '', 'Create the missing VLANs and look at the port modes'
   FROM con JOIN gap ON device = device_name WHERE contains(discrepancy, 'VLAN')
-UNION ALL SELECT DISTINCT question_id, 2, '', 'Corriger les hostnames avec la commande ''sysname <NOM_ATTENDU>''' FROM con
+UNION ALL SELECT DISTINCT question_id, 2, '', 'Set the documented host names' FROM con
   JOIN gap ON device = device_name WHERE contains(discrepancy, 'Hostname')
-UNION ALL SELECT question_id, 3, '', 'Indexer davantage de documentation dans Qdrant' FROM lvl WHERE level = 'low'""")
+UNION ALL SELECT question_id, 3, '', 'Index more documents' FROM lvl WHERE level = 'low'""")
 def recommendations(spark, d):
     found = CO.all_discrepancies(*gaps(spark, d))
     warned = alerts(spark, d)
@@ -333,26 +332,26 @@ def recommendations(spark, d):
 @register("corrective_commands", GAPS + """
 SELECT source_file, rule, CASE rule WHEN 'hostname' THEN device || '-OLD' ELSE device END AS device,
   trim(split_part(discrepancy, '] ', CASE rule WHEN 'vlan' THEN 3 ELSE 2 END)) AS command, 'pending' AS status
-FROM gap WHERE contains(discrepancy, 'Commande corrective')""")
+FROM gap WHERE contains(discrepancy, 'Fix:')""")
 def corrective_commands(spark, d):
     return CO.corrective_commands(CO.all_discrepancies(*gaps(spark, d))).select(
         "source_file", "rule", "device", "command", "status")
 
 
 @register("remediation_counts", GAPS + """
-SELECT count(*) FILTER (contains(discrepancy, 'Commande corrective')) AS pending, 0::BIGINT AS applied FROM gap""")
+SELECT count(*) FILTER (contains(discrepancy, 'Fix:')) AS pending, 0::BIGINT AS applied FROM gap""")
 def remediation_counts(spark, d):
     return CO.remediation_counts(CO.corrective_commands(CO.all_discrepancies(*gaps(spark, d))))
 
 
 @register("audit_report", SUMMARY + FLEET + """,
 al AS (SELECT device_name, string_agg(alert, chr(10) ORDER BY o) AS t FROM quick GROUP BY device_name)
-SELECT device_name, '=== AUDIT ' || device_name || ' ===' || chr(10) || chr(10) || '--- CONFIG RÉELLE (terrain eNSP) ---' || chr(10)
-  || summary || chr(10) || chr(10) || '--- RÉFÉRENCE THÉORIQUE (manuels RAG) ---' || chr(10) || 'Manuel doc_'
-  || substr(device_name, 2) || '.pdf' || chr(10) || chr(10) || '--- POINTS À VÉRIFIER ---' || chr(10)
-  || '1. VLANs configurés vs manuels' || chr(10) || '2. Interfaces actives vs topologie attendue' || chr(10)
-  || '3. Routes OSPF convergées' || chr(10) || '4. Performance CPU/mémoire dans les normes'
-  || coalesce(chr(10) || chr(10) || '--- ALERTES AUTOMATIQUES ---' || chr(10) || t, '') AS report
+SELECT device_name, '# Audit of ' || device_name || chr(10) || chr(10) || '## Collected' || chr(10)
+  || summary || chr(10) || chr(10) || '## Documented' || chr(10) || 'Manuel doc_'
+  || substr(device_name, 2) || '.pdf' || chr(10) || chr(10) || '## To look at' || chr(10)
+  || 'VLANs against the documents' || chr(10) || 'links against the plan' || chr(10)
+  || 'OSPF neighbours and routes' || chr(10) || 'CPU and memory load'
+  || coalesce(chr(10) || chr(10) || '## Alerts' || chr(10) || t, '') AS report
 FROM summary LEFT JOIN al USING (device_name)""")
 def audit_report(spark, d):
     full = data(spark, d)
@@ -361,11 +360,11 @@ def audit_report(spark, d):
 
 
 @register("final_answer", SUM + "," + FACTS[len(W) + 1:] + """
-SELECT item_id AS question_id, 0::BIGINT AS section, '' AS device, 0::BIGINT AS ord, 'RÉPONSE À : ' || text || chr(10) AS text FROM benchmark
+SELECT item_id AS question_id, 0::BIGINT AS section, '' AS device, 0::BIGINT AS ord, 'Question: ' || text || chr(10) AS text FROM benchmark
 UNION ALL SELECT question_id, 1, '', 0, n || ' documents' FROM qual
 UNION ALL SELECT question_id, 2, device, ord, CASE severity WHEN 'critical' THEN '🔴' WHEN 'warning' THEN '🟡' ELSE '🔵' END
-  || ' [' || upper(severity) || '] ' || message || chr(10) || '   Équipement : ' || device
-  || CASE WHEN detail <> '' THEN chr(10) || '   Détail     : ' || detail ELSE '' END FROM con JOIN alert ON device = device_name
+  || ' [' || upper(severity) || '] ' || message || chr(10) || '   device: ' || device
+  || CASE WHEN detail <> '' THEN chr(10) || '   detail: ' || detail ELSE '' END FROM con JOIN alert ON device = device_name
 UNION ALL SELECT question_id, 3, fact.device_name, 0, '  . ' || fact FROM con JOIN fact ON fact.device_name = con.device_name
 UNION ALL SELECT question_id, 4, device, 0, '  ⚠ ' || discrepancy FROM con JOIN gap ON device = device_name""")
 def final_answer(spark, d):

@@ -292,7 +292,7 @@ ctx AS (SELECT question_id, string_agg(t, chr(10) ORDER BY CASE modality WHEN 't
 
 
 @register("context_assembly", FANOUT + SHOWN + """
-SELECT question_id, coalesce('=== DOCUMENTATION (RAG) ===' || chr(10) || context, 'Aucune information trouvée.')
+SELECT question_id, coalesce('## Search results' || chr(10) || context, 'Nothing was found.')
   AS context FROM asked LEFT JOIN ctx USING (question_id)""")
 def context_assembly(spark, d):
     context = CX.retrieval_context(results(spark, d), "question_id")

@@ -159,8 +159,8 @@ def node_state(spark, d):
 
 @register("reachability_summary", "WITH " + R.REACHABILITY + """
 SELECT count(*) FILTER (reachable) AS reachable, count(*) AS total, round(count(*) FILTER (reachable) / count(*), 6) AS ratio,
-  CASE WHEN bool_and(reachable) THEN 'Tous les équipements répondent'
-    ELSE count(*) FILTER (reachable) || '/' || count(*) || ' équipements joignables' END AS label, 'ok' AS status FROM reach""")
+  CASE WHEN bool_and(reachable) THEN 'all devices answer'
+    ELSE count(*) FILTER (reachable) || '/' || count(*) || ' devices answer' END AS label, 'ok' AS status FROM reach""")
 def reachability_summary(spark, d):
     return TP.reachability_summary(R.reachability(spark, d))
 
@@ -197,9 +197,9 @@ def next_free_address(spark, d):
 @register("bulk_additions", "WITH " + R.REGISTRY + """,
 prop AS (SELECT c_custkey AS k, 's' || (c_custkey + 1000) AS name FROM customer),
 names AS (SELECT DISTINCT upper(name) AS n FROM registry)
-SELECT name, 'conflict' AS outcome, 'L''équipement ' || name || ' existe déjà.' AS note, NULL::BIGINT AS n_fields FROM prop
+SELECT name, 'conflict' AS outcome, 'device ' || name || ' is already there' AS note, NULL::BIGINT AS n_fields FROM prop
 WHERE upper(name) IN (SELECT n FROM names)
-UNION ALL SELECT name, 'added', 'Nouveau switch ajouté par l''assistant', 4 + (k % 2 = 0)::INT FROM prop
+UNION ALL SELECT name, 'added', 'new switch', 4 + (k % 2 = 0)::INT FROM prop
 WHERE upper(name) NOT IN (SELECT n FROM names)""")
 def bulk_additions(spark, d):
     k = F.col("c_custkey")

@@ -132,30 +132,30 @@ _PAD = "CASE WHEN length({0}) >= {1} THEN {0} ELSE rpad({0}, {1}, ' ') END"
 SUMMARY = W + f""",
 shown AS (SELECT *, row_number() OVER (PARTITION BY device_name ORDER BY contains(phy_state, 'up') DESC, j) AS r FROM itf),
 line AS (
-  SELECT device_name, 0 AS s, 0 AS o, '=== ÉTAT ÉQUIPEMENT ' || device_name || ' ===' || chr(10) || 'Type     : '
-    || device_type || chr(10) || 'IP mgmt  : ' || mgmt_ip || chr(10) || 'Source   : ' || upper(access_mode) || ' ('
-    || CASE access_mode WHEN 'ssh' THEN 'live SSH' ELSE 'fichier exporté' END || ')' || chr(10)
-    || 'Collecté : 2024-01-01T00:00:00' || chr(10) || 'VRP      : 5.' || (doc_id % 9) || chr(10) || 'Matériel : AR'
-    || (doc_id % 40) || chr(10) || 'Uptime   : ' || n_lines || ' days' || chr(10) || 'Dernier Reboot : '
+  SELECT device_name, 0 AS s, 0 AS o, '# State of ' || device_name || chr(10) || 'type: '
+    || device_type || chr(10) || 'address: ' || mgmt_ip || chr(10) || 'source: ' || upper(access_mode) || ' ('
+    || CASE access_mode WHEN 'ssh' THEN 'live SSH' ELSE 'export file' END || ')' || chr(10)
+    || 'collected: 2024-01-01T00:00:00' || chr(10) || 'system: 5.' || (doc_id % 9) || chr(10) || 'hardware: AR'
+    || (doc_id % 40) || chr(10) || 'uptime: ' || n_lines || ' days' || chr(10) || 'last restart: '
     || CASE WHEN doc_id % 2 = 0 THEN 'power off' ELSE 'N/A' END AS t FROM dv
-  UNION ALL SELECT device_name, 1, 0, 'CPU      : ' || printf('%.1f', cpu) || '% ' || CASE WHEN cpu > 70 THEN '⚠' ELSE '✓' END
+  UNION ALL SELECT device_name, 1, 0, 'cpu: ' || printf('%.1f', cpu) || '% ' || CASE WHEN cpu > 70 THEN '⚠' ELSE '✓' END
   FROM met
-  UNION ALL SELECT device_name, 1, 1, 'Mémoire  : ' || printf('%.1f', memory) || '% '
+  UNION ALL SELECT device_name, 1, 1, 'memory: ' || printf('%.1f', memory) || '% '
     || CASE WHEN memory > 80 THEN '⚠' ELSE '✓' END FROM met WHERE memory IS NOT NULL
-  UNION ALL SELECT device_name, 2, 0, chr(10) || '--- Interfaces (' || n_lines || ') ---' FROM dv
+  UNION ALL SELECT device_name, 2, 0, chr(10) || '## Interfaces: ' || n_lines FROM dv
   UNION ALL SELECT device_name, 2, r, '  ' || CASE WHEN contains(state, 'up') THEN '✓' ELSE '✗' END || ' '
     || {_PAD.format('name', 22)} || ' ' || {_PAD.format('ip', 16)} || ' ' || state FROM shown WHERE r <= 15
-  UNION ALL SELECT device_name, 2, 99, '  ... et ' || (n_lines - 15) || ' autre(s) interface(s), voir raw_outputs' FROM dv
+  UNION ALL SELECT device_name, 2, 99, '  and ' || (n_lines - 15) || ' more' FROM dv
   WHERE n_lines > 15
-  UNION ALL SELECT device_name, 3, -2, chr(10) || '--- VLANs (' || (n_lines + 1) || ') ---' FROM dv
+  UNION ALL SELECT device_name, 3, -2, chr(10) || '## VLANs: ' || (n_lines + 1) FROM dv
   UNION ALL SELECT device_name, 3, j, '  VLAN ' || {_PAD.format('id', 5)} || ' ' || ports FROM vla WHERE j < 5
-  UNION ALL SELECT device_name, 4, -1, chr(10) || '--- Routes (' || n_lines || ') ---' FROM dv
+  UNION ALL SELECT device_name, 4, -1, chr(10) || '## Routes: ' || n_lines FROM dv
   UNION ALL SELECT device_name, 4, j, '  ' || {_PAD.format('destination', 20)} || ' via ' || {_PAD.format('nexthop', 15)}
     || ' [' || protocol || ']' FROM rou WHERE j < 6
-  UNION ALL SELECT device_name, 5, -1, chr(10) || '--- Voisins OSPF (' || n_lines || ') ---' FROM dv
+  UNION ALL SELECT device_name, 5, -1, chr(10) || '## OSPF neighbours: ' || n_lines FROM dv
   UNION ALL SELECT device_name, 5, j, '  ' || CASE WHEN contains(lower(state), 'full') THEN '✓' ELSE '⚠' END || ' '
     || {_PAD.format('router_id', 15)} || ' via ' || {_PAD.format('interface', 15)} || ' ' || state FROM osp
-  UNION ALL SELECT device_name, 6, -1, chr(10) || '--- STP (' || n_lines || ' ports) ---' FROM dv
+  UNION ALL SELECT device_name, 6, -1, chr(10) || '## STP ports: ' || n_lines FROM dv
   UNION ALL SELECT device_name, 6, j, '  ' || CASE WHEN state = 'FORWARDING' THEN '✓' ELSE '⚠' END || ' '
     || {_PAD.format('port', 25)} || ' Role=' || {_PAD.format('role', 6)} || ' State=' || state || ' Protection='
     || protection FROM stp WHERE j < 10),
@@ -171,10 +171,10 @@ FLEET = """,
 down AS (SELECT device_name, count(*) AS n_down, array_to_string(list(name ORDER BY j)[1:5], ', ') AS first_five FROM itf
   WHERE contains(phy_state, 'down') GROUP BY ALL),
 bad AS (SELECT device_name, count(*) AS n_bad FROM osp WHERE NOT contains(lower(state), 'full') GROUP BY ALL),
-quick AS (SELECT device_name, 0 AS o, '⚠ CPU élevé : ' || printf('%.1f', cpu) || '% (seuil 70%)' AS alert FROM met
+quick AS (SELECT device_name, 0 AS o, 'CPU load ' || printf('%.1f', cpu) || '%' AS alert FROM met
     WHERE cpu > 70
-  UNION ALL SELECT device_name, 1, '⚠ Interfaces DOWN : ' || first_five FROM down
-  UNION ALL SELECT device_name, 2, '⚠ OSPF instable : ' || n_bad || ' voisin(s) non-FULL' FROM bad)"""
+  UNION ALL SELECT device_name, 1, 'links down: ' || first_five FROM down
+  UNION ALL SELECT device_name, 2, 'OSPF neighbours not full: ' || n_bad FROM bad)"""
 
 
 @register("quick_alerts", W + FLEET + " SELECT device_name, alert FROM quick")
