@@ -26,11 +26,15 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "wir
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in
-    ``spark.checkpoint.dir``. Only where that is unset (tests on one machine)
-    is a private one created."""
+    ``spark.checkpoint.dir``. Only in local mode, where one machine does
+    everything, a private one is created if that is unset; a cluster without it is
+    an error, because executors would write where nobody else can read."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext.getCheckpointDir()
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        if not held and not local:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = held or tempfile.mkdtemp(prefix="wiretally-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
