@@ -99,15 +99,20 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     width = max([df.agg(F.max(F.size("v"))).first()[0] or 0 for df in (candidates, asked)])
     right = saved(blocks(candidates, width, block_rows), "blocks")
     left = saved(blocks(asked, width, block_rows), "ask_blocks")
-    left_ids = [r[0] for r in left.select("block").collect()]     # one number for each 2048 queries
-    right_ids = [r[0] for r in right.select("block").collect()]
-    grid = spark.createDataFrame([(a, b) for a in left_ids for b in right_ids], "ask long, block long")
+    n_left, n_right = left.count(), right.count()
+    copies = max(1, -(-n_right // 64))
+    named = left.select("block", (F.row_number().over(W.orderBy("block")) - 1).alias("n"))     # one number for each block of queries
+    grid = (
+        right.select("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_left - 1)))).alias("n"))
+        .join(named.select("n", F.col("block").alias("ask")), "n")
+        .withColumn("copy", F.pmod(F.xxhash64("block"), F.lit(copies)).cast("int"))
+    )
 
     def paired(asks: DataFrame) -> DataFrame:
-        """One row for each pair of blocks, spread evenly over the tasks."""
-        return (
-            grid.repartition(max(1, min(len(left_ids) * len(right_ids), 4096)), "ask", "block")
-            .join(asks, "ask").join(right, "block"))
+        """One row for each pair of blocks. A block of queries is copied once for about 64 blocks of candidates,
+        so that it is no hot key; the pairs then lie where their candidates are."""
+        spread = asks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        return grid.join(spread, ["ask", "copy"]).join(right, "block")
 
     asks = left.select(F.col("block").alias("ask"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
 
