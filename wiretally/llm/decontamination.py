@@ -126,7 +126,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
         enough.select("doc_id", "row", "item_id", "start"), ["doc_id", "row", "item_id", "start"], "left_semi")
     asked = with_slots.groupBy("doc_id", "row").agg(F.collect_set(F.struct("item_id", "start", "doc_at", "slots")).alias("asked"))
     values = (
-        with_template(known.withColumn("row", F.xxhash64("text")).dropDuplicates(["doc_id", "row"]).join(asked, ["doc_id", "row"]))
+        with_template(known.withColumn("row", F.xxhash64("text")).join(asked, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]))
         .select("doc_id", "row", "_v", F.explode("asked").alias("a"))
         .select("doc_id", "row", "a.item_id", "a.start", F.explode(F.transform("a.slots", lambda s: F.struct(
             s["value"].alias("item_value"), F.get(F.col("_v"), F.col("a.doc_at") + s["off"]).alias("doc_value")))).alias("s"))
