@@ -79,6 +79,12 @@ def test_host_names_over_lines_and_later_pattern_wins(spark):
     assert {(r.device, r.host_name) for r in EX.expected_host_names(manual).collect()} == {("S7", "S7-A"), ("S8", "S8-NEW")}
 
 
+def test_host_name_far_behind_its_keyword(spark):
+    lines = ["sysname"] + ["", "  "] * 20 + ["S7-A", "text"]
+    manual = spark.createDataFrame([("m", i, t) for i, t in enumerate(lines)], "source_file string, line_no bigint, line string")
+    assert {(r.device, r.host_name) for r in EX.expected_host_names(manual).collect()} == {("S7", "S7-A")}
+
+
 def test_carry_crosses_segments(spark):
     rows = spark.createDataFrame([("k", i, i if i in (0, 7) else None) for i in range(50)], "k string, p bigint, v bigint")
     got = {r.p: r.o for r in carry_last(rows, ["k"], "p", "v", 4, "o").collect()}
@@ -124,6 +130,22 @@ def devices(spark, rows):
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "name string, type string, parent_device string, ordinal int")
 
 
+def test_names_of_any_characters_and_long_hyphenated_runs(spark):
+    reg = spark.createDataFrame([("core switch/1",), ("R(2)x",), ("S1",)], "name string")
+    run = "-".join(f"w{i}" for i in range(3000))
+    q = spark.createDataFrame([(1, "state of Core Switch/1 now"), (2, f"{run} S1"), (3, "is r(2)X up"), (4, "S10 or S1x")],
+                              "question_id int, question string")
+    got = {r.question_id: list(r.known) for r in PL.extract_entities(q, reg).collect()}
+    assert got == {1: ["CORE SWITCH/1"], 2: ["S1"], 3: ["R(2)X"], 4: []}
+
+
+def test_tree_order_with_long_ordinals(spark):
+    rows = [("R", "router", None, 10**14), ("b", "switch", "R", 2 * 10**13), ("a", "switch", "R", 10**13 + 5), ("c", "switch", "a", 3)]
+    table = spark.createDataFrame(rows, "name string, type string, parent_device string, ordinal bigint")
+    got = [r.node for r in TP.flatten_tree(table).orderBy("path").collect()]
+    assert got == ["R", "A", "C", "B"]
+
+
 def test_tree_with_chain_orphans_and_cycle(spark):
     rows = [("a", "switch", "b"), ("b", "switch", "a"), ("r", "router", None)]
     rows += [(f"n{i}", "switch", f"N{i - 1}" if i else "R") for i in range(9)] + [("o", "switch", "lost")]

@@ -34,7 +34,7 @@ def pairs(df):
     return {(r.query_id, r.vector_id) for r in df.collect()}
 
 
-def test_broadcast_and_blocked_search_equal_brute_force(vectors):
+def test_blocked_search_equals_brute_force(vectors):
     data, df = vectors
     want = brute(data, 5)
     assert pairs(DE.dense_top_k(df, df, 5, "i", "v", "i", "v")) == want
