@@ -1,8 +1,10 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import ctypes
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from wiretally.session import checkpointed, scratch_path
@@ -19,6 +21,14 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory of a worker process back, so that reused workers do not keep the peaks of earlier tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def extended(df: DataFrame, added: str) -> T.StructType:
     """Schema of a table with the columns of a DDL string behind its own."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(added).fields])

@@ -8,7 +8,7 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from wiretally.llm.common import extended, fold_of
+from wiretally.llm.common import extended, fold_of, release
 
 LETTER = regex.compile(r"\p{L}")
 
@@ -88,6 +88,7 @@ def identify(documents: DataFrame, learned: dict[str, bytes], margin: float = 0.
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(narrow, pa.bool_())],
                 [*batch.schema.names, "lang_pred", "score", "narrow"])
+            release()
 
     kept = documents.drop("lang_pred", "score", "narrow")
     return kept.mapInArrow(predict, extended(kept, "lang_pred string, score double, narrow boolean"))

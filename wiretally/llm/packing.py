@@ -12,11 +12,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from wiretally.llm.common import numbered, parts_for, saved
+from wiretally.llm.common import numbered, parts_for, release, saved
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 #: Words of at most this many characters are remembered; the memory is emptied when full.
-WORD_CHARS, WORDS_KEPT = 48, 1_000_000
+WORD_CHARS, WORDS_KEPT = 48, 300_000
 #: Characters on which the split below is the tokenizer's own; other texts go to the tokenizer whole.
 PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ſ]*")
 WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -99,6 +99,7 @@ def token_pieces(documents: DataFrame, capacity: int = 2048, tokenizer: str | No
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            release()
 
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(pieces, PIECE_SCHEMA)
 

@@ -8,13 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wiretally.llm.common import extended, fold_of
+from wiretally.llm.common import extended, fold_of, release
 
 SYMBOLS, DIMENSIONS, SEED = 8192, 32, 7
 #: Symbols that stand for a kind of word; the others are hashes of lower-case words.
 BREAK, UPPER, NUMBER, AGAIN, SEEN, FIRST = 0, 1, 2, 3, 4, 16
 EDGES = re.compile(r"([\W_]*)(.*?)([\W_]*)", re.S)
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 300_000
 
 
 def hashed(word: str) -> int:
@@ -65,6 +65,14 @@ def index_vectors() -> np.ndarray:
     return drawn
 
 
+def slices(batches, rows: int = 500):
+    """The texts of Arrow batches in short lists."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.column(0).slice(at, rows).to_pylist()
+        release()
+
+
 def context_sums(documents: DataFrame) -> DataFrame:
     """(symbol, n, c0 ..): how often each symbol occurs in all texts, and the sum of the index vectors of
     the two words on either side. Every task adds up its own documents and gives a row for each symbol
@@ -75,9 +83,9 @@ def context_sums(documents: DataFrame) -> DataFrame:
         index = index_vectors()
         sums, n = np.zeros((SYMBOLS, DIMENSIONS)), np.zeros(SYMBOLS, np.int64)
         gap = np.zeros(2, np.int64)
-        for batch in batches:
+        for texts in slices(batches):
             parts = [gap]
-            for text in batch.column(0).to_pylist():
+            for text in texts:
                 parts += [symbols(text), gap]
             row = np.concatenate(parts)
             for start in range(2, len(row) - 2, 100_000):
@@ -212,6 +220,7 @@ def score_quality(documents: DataFrame, vectors: np.ndarray, network: Network |
             else:
                 values = network.probability(np.array([pooled(t, vectors) for t in texts], float))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "score"])
+            release()
 
     kept = documents.drop("score")
     return kept.mapInArrow(score, extended(kept, "score double"))

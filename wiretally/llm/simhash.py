@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wiretally.llm.common import components, saved
+from wiretally.llm.common import components, release, saved
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Generator polynomial of the (23, 12) Golay code, a fixed value.
@@ -19,7 +19,7 @@ GENERATOR = 0b110001110101
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 BITS = 4
 #: Keys in a block of the pairing step.
-BLOCK_KEYS = 1_500_000
+BLOCK_KEYS = 500_000
 
 
 def fingerprint_of(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -53,6 +53,7 @@ def with_fingerprint(documents: DataFrame, words: int = 4) -> DataFrame:
                 out.append(known[text])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            release()
 
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(fingerprints, "doc_id bigint, fp bigint")
 
@@ -171,8 +172,10 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
                     [pa.array(some.astype(np.int32)),
                      pa.array([key[cuts[b]:cuts[b + 1]].tobytes() for b in some], pa.binary()),
                      pa.array([value[cuts[b]:cuts[b + 1]].tobytes() for b in some], pa.binary())], ["block", "keys", "fps"])
+            release()
 
     def pair(group: pa.Table) -> pa.Table:
+        release()
         keys = np.frombuffer(b"".join(group["keys"].to_pylist()), np.int64)
         values = np.frombuffer(b"".join(group["fps"].to_pylist()), np.uint64)
         a, b = linked(keys, values, bits)
@@ -254,6 +257,7 @@ def redundant_ids(documents: DataFrame, words: int = 5, similarity: float = 0.8,
             fp, data = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(data, pa.binary())], ["doc_id", "fp", "sketch"])
+            release()
 
     def compare(batches):
         for batch in batches:

@@ -20,13 +20,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from wiretally.llm.common import extended, saved
+from wiretally.llm.common import extended, release, saved
 from wiretally.llm.suffixes import suffix_array
 
 SPAN, SEED = 50, 24
-BATCH_BYTES, SLICE = 8_000_000, 1 << 21
-#: Entries of a block; batches in which a minimizer makes its windows be dealt one by one.
-BLOCK_ENTRIES, HOT_BATCHES = 2_000_000, 64
+BATCH_BYTES, SLICE = 3_000_000, 1 << 19
+#: Entries of a block and the least number of blocks; batches in which a minimizer makes its windows be dealt one by one.
+BLOCK_ENTRIES, LEAST_BLOCKS, HOT_BATCHES = 500_000, 256, 64
 LARGEST = np.iinfo(np.int64).max
 
 
@@ -194,6 +194,7 @@ def batched(documents: DataFrame, span: int) -> DataFrame:
                     [pa.array([key]), pa.array([rows], pa.binary()), pa.array([seed.tobytes()], pa.binary()),
                      pa.array([n.tobytes()], pa.binary()), pa.array([len(n)])], ["batch", "rows", "seed", "n", "runs"])
                 key, begin = key + 1, end
+                release()
 
     return documents.mapInArrow(build, "batch long, rows binary, seed binary, n binary, runs long")
 
@@ -282,9 +283,9 @@ def least_of_windows(texts: list[bytes], least: np.ndarray, span: int) -> tuple[
     return first, value
 
 
-def without_repeats(documents: DataFrame, span: int = SPAN, digests: bool = False) -> DataFrame:
+def without_repeats(documents: DataFrame, span: int = SPAN, digests: bool = False, as_text: bool = False) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and ``spans`` (begin and length of the removed runs) to every row, and
-    puts the remaining bytes into ``kept``; with ``digests`` only doc_id and kept_sha256 are returned with the counts.
+    puts the remaining bytes into ``kept``, or with ``as_text`` what can be read of them; with ``digests`` only doc_id and kept_sha256 are returned with the counts.
 
     A byte goes if a ``span``-byte string over it also starts in a document with a
     smaller doc_id; all is judged on the input. Null text counts as empty. A
@@ -300,12 +301,12 @@ def without_repeats(documents: DataFrame, span: int = SPAN, digests: bool = Fals
     rows = documents.select("doc_id", "text") if digests else documents.drop(*added)
     table = saved(batched(rows, span), "batches")
     runs = table.agg(F.sum("runs")).first()[0] or 0
-    blocks = max(64, math.ceil(runs / BLOCK_ENTRIES))
+    blocks = max(LEAST_BLOCKS, math.ceil(runs / BLOCK_ENTRIES))
 
     def send_minimizers(batches):
         for arrow in batches:
-            for row in arrow.to_pylist():
-                batch = opened(row, span)
+            for i in range(len(arrow)):
+                batch = opened(arrow.slice(i, 1).to_pylist()[0], span)
                 hashes, _, several = batch.distinct()
                 cuts = cuts_of(hashes, blocks)
                 some = np.flatnonzero(np.diff(cuts))
@@ -314,8 +315,10 @@ def without_repeats(documents: DataFrame, span: int = SPAN, digests: bool = Fals
                     [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), batch.key)),
                      pa.array([packed_hashes(hashes[p]) for p in part], pa.binary()),
                      pa.array([bits(several[p]) for p in part], pa.binary())], ["block", "batch", "hashes", "several"])
+                release()
 
     def find_repeated(group: pa.Table) -> pa.Table:
+        release()
         lists = [unpacked_hashes(x) for x in group["hashes"].to_pylist()]
         own = np.concatenate([unbits(f, len(h)) for f, h in zip(group["several"].to_pylist(), lists)])
         _, inverse, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
@@ -332,6 +335,7 @@ def without_repeats(documents: DataFrame, span: int = SPAN, digests: bool = Fals
         .groupBy("block").applyInArrow(find_repeated, "batch long, block int, several binary, hot binary"), "repeated")
 
     def send_pieces(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         out = []
         for row in left.to_pylist():
             batch = opened(row, span)
@@ -346,6 +350,7 @@ def without_repeats(documents: DataFrame, span: int = SPAN, digests: bool = Fals
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "batch", "n", "texts", "least"])
 
     def compare_pieces(group: pa.Table) -> pa.Table:
+        release()
         seen: dict[bytes, int] = {}
         which, leasts = [], []
         for n, data, low in zip(group["n"].to_pylist(), group["texts"].to_pylist(), group["least"].to_pylist()):
@@ -381,6 +386,7 @@ def without_repeats(documents: DataFrame, span: int = SPAN, digests: bool = Fals
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = right.to_pylist()
+        release()
         out = []
         for row in left.to_pylist():
             batch = opened(row, span)
@@ -419,7 +425,7 @@ def without_repeats(documents: DataFrame, span: int = SPAN, digests: bool = Fals
             if digests:
                 columns["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             else:
-                columns["kept"].append(kept)
+                columns["kept"].append(kept.decode("utf-8", "ignore") if as_text else kept)
                 columns["spans"].append([{"begin": int(x), "length": int(y - x)} for x, y in spans])
         result = batch.rows.select(["doc_id"]) if digests else batch.rows
         for name, values in columns.items():
@@ -429,11 +435,11 @@ def without_repeats(documents: DataFrame, span: int = SPAN, digests: bool = Fals
 
     kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64()} | (
         {"kept_sha256": pa.string()} if digests else
-        {"spans": pa.list_(pa.struct([("begin", pa.int64()), ("length", pa.int64())])), "kept": pa.binary()})
+        {"spans": pa.list_(pa.struct([("begin", pa.int64()), ("length", pa.int64())])), "kept": pa.string() if as_text else pa.binary()})
     schema = extended(
         rows.select("doc_id") if digests else rows,
         "n_bytes long, n_removed long, n_spans long, " + (
-            "kept_sha256 string" if digests else "spans array<struct<begin:long,length:long>>, kept binary"))
+            "kept_sha256 string" if digests else "spans array<struct<begin:long,length:long>>, kept " + ("string" if as_text else "binary")))
     answers = second.unionByName(first, allowMissingColumns=True)
     return held.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(mark, schema)
 
@@ -450,19 +456,9 @@ def cleaned(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """
     inner = {c: c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(documents.columns)}     # no name can clash
     marked = without_repeats(documents.select(
-        *[F.col(f"`{c}`").alias(name) for c, name in inner.items()]).withColumn("doc_id", F.col("doc_id").cast("bigint")), span)
-
-    def decode(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*(c for c, name in zip(batch.columns, batch.schema.names) if name != "kept"),
-                 pa.array([k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()], pa.string())],
-                [*(name for name in batch.schema.names if name != "kept"), "_text"])
-
-    kept = marked.drop("n_bytes", "n_spans", "spans")
-    kept = kept.mapInArrow(decode, extended(kept.drop("kept"), "_text string"))
+        *[F.col(f"`{c}`").alias(name) for c, name in inner.items()]).withColumn("doc_id", F.col("doc_id").cast("bigint")), span, as_text=True)
     changed = F.col("n_removed") > 0
-    out = kept.withColumn("text", F.when(changed, F.col("_text")).otherwise(F.col("text")))
+    out = marked.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
     if "n_chars" in inner:
         n = inner["n_chars"]
         out = out.withColumn(n, F.when(changed, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col(n)))

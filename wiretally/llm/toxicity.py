@@ -9,13 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wiretally.llm.common import fold_of, saved
+from wiretally.llm.common import fold_of, release, saved
 from wiretally.llm.quality import labelled_sample
 
 PREFIXES = (5, 6, 7, 8)
 EDGE = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»„“”‘’¿¡…"
 TERMS = 2000
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 300_000
 BLOCK = 64
 
 
@@ -86,6 +86,7 @@ def term_counts(documents: DataFrame, chosen: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
                 ["doc_id", "terms", "counts"])
+            release()
 
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
         count, "doc_id bigint, terms array<int>, counts array<int>")
