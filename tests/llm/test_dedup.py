@@ -97,6 +97,30 @@ def test_one_stays(spark):
     assert simhash.without_near_duplicates(table.limit(0)).count() == 0
 
 
+def brute_kept(rows, words=5, similarity=0.8):
+    """Ids that stay: in order of doc_id, what is not near to one that stays."""
+    def shingles(text):
+        found = text.lower().split()
+        return {tuple(found[i:i + words]) for i in range(max(1, len(found) - words + 1))}
+
+    stays = []
+    for doc, text in sorted(rows):
+        mine = shingles(text)
+        if not any(len(mine & s) >= similarity * len(mine | s) for _, s in stays):
+            stays.append((doc, mine))
+    return [doc for doc, _ in stays]
+
+
+def test_every_group_of_a_vocabulary_is_judged(spark):
+    """Twelve texts with the same words in another order, each with exact and near copies."""
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    base = [" ".join(draw.sample(words, 300)) for _ in range(12)]
+    rows = [(i + 100 * c, t if c % 2 == 0 else t.replace(t.split()[20 * c], "other", 1)) for i, t in enumerate(base) for c in range(4)]
+    kept = simhash.without_near_duplicates(spark.createDataFrame(rows, TABLE).repartition(4)).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(12)) == brute_kept(rows)
+
+
 def brute_repeats(rows, span=50):
     first = {}
     for doc, text in rows:

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wiretally.llm.common import components, release, saved
 
@@ -20,6 +20,11 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 BITS = 4
 #: Keys in a block of the pairing step.
 BLOCK_KEYS = 500_000
+#: MinHash keys of the near-duplicate stage: number of keys, values in a key, and a factor for each value.
+BANDS, ROWS = 24, 4
+FACTORS = np.random.default_rng(42).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
+#: Texts of a key that are compared with the others in one round, at most; Spark limits them before the shuffle.
+MOST_AHEAD = 512
 
 
 def fingerprint_of(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -207,44 +212,38 @@ def near_duplicate_classes(documents: DataFrame, words: int = 4, bits: int = BIT
     return fps.join(named, "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def root_of(distinct: DataFrame, bits: int = BITS) -> DataFrame:
-    """(fp, root) for distinct fingerprints: the class of each."""
-    roots = components(fingerprint_links(distinct, bits))
-    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-
-
-def sketch_of(text: str | None, words: int, size: int) -> tuple[int, bytes]:
-    """Fingerprint over the different words of a text, and the ``size`` least 32-bit hashes of its shingles."""
+def shingles_of(text: str | None, words: int) -> tuple[bytes, np.ndarray]:
+    """Words of a text in lower case joined by blanks, and the sorted different 64-bit hashes of its shingles."""
     found = WORD.findall((text or "").encode("utf-8", "replace").lower())
-    if not found:
-        return 0, b""
-    single = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in set(found)), np.uint64)
-    ones = np.unpackbits(single.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     joined = b" ".join(found)
+    if not found:
+        return joined, np.zeros(0, np.uint64)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:max(1, len(found) - words + 1)]
     last = ends[words - 1:] if len(found) >= words else ends[-1:]
-    hashes = np.unique(np.fromiter((xxhash.xxh32_intdigest(joined[a:b]) for a, b in zip(starts.tolist(), last.tolist())), np.uint32))
-    return int(np.packbits(2 * ones > len(single), bitorder="little").view(np.uint64)[0]), hashes[:size].tobytes()
+    digest = xxhash.xxh64_intdigest
+    return joined, np.unique(np.fromiter((digest(joined[x:y], 42) for x, y in zip(starts.tolist(), last.tolist())), np.uint64, len(starts)))
 
 
-def sketch_similarity(a: bytes, b: bytes, size: int) -> float:
-    """Jaccard similarity from two sketches; exact where both texts have at most ``size`` shingles."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    union = np.union1d(x, y)[:size]
-    return len(np.intersect1d(np.intersect1d(x, y, True), union, True)) / len(union)
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """Keys of ``BANDS`` groups of ``ROWS`` MinHash values; two texts of Jaccard similarity s share none with
+    probability (1 - s ** ROWS) ** BANDS, 3e-6 at 0.8 and less above. A text without words has no key."""
+    if not len(hashes):
+        return []
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for part in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[None, part:part + 4096] * FACTORS[:, None]).min(axis=1))
+    return [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def redundant_ids(documents: DataFrame, words: int = 5, similarity: float = 0.8, size: int = 128, rounds: int = 4) -> DataFrame:
+def redundant_ids(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_ids whose text is near to that of a document with a smaller doc_id that stays.
 
-    Candidates are classes of fingerprints over different words, where an edit
-    touches one feature and not ``words``. In a class the least doc_id stays and
-    takes with it what has ``similarity`` to it in shingles of ``words`` words;
-    what is left forms the class of the next round. Nothing is dropped unless it was
-    compared with a document that stays. After the last round the rest stays.
+    Texts of equal words meet first, in one aggregation. Candidates are texts that share a MinHash key; they are
+    near if the Jaccard similarity of all their shingles of ``words`` words is ``similarity`` or more, counted on the
+    whole texts. In each round the least texts of every key are compared with all others of the key. A text that
+    is among them in all its keys and near to no smaller one is kept for good and takes what is near to it. The number
+    of least texts doubles from round to round, and rounds go on until every text is judged.
     """
     def sketch(batches):
         for batch in batches:
@@ -252,43 +251,60 @@ def redundant_ids(documents: DataFrame, words: int = 5, similarity: float = 0.8,
             out = []
             for text in batch.column(1).to_pylist():
                 if text not in known:
-                    known[text] = sketch_of(text, words, size)
+                    joined, hashes = shingles_of(text, words)
+                    known[text] = xxhash.xxh128_digest(joined), np.array(band_keys(hashes), np.uint64).view(np.int64)
                 out.append(known[text])
-            fp, data = zip(*out) if out else ((), ())
+            digests, keys = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(data, pa.binary())], ["doc_id", "fp", "sketch"])
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "keys"])
             release()
 
-    def compare(batches):
+    def shingles(batches):
         for batch in batches:
-            near = [sketch_similarity(a, b, size) >= similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(near, pa.bool_())],
-                                             ["doc_id", "root", "sketch", "near"])
+            for start in range(0, batch.num_rows, 256):
+                held = batch.slice(start, 256)
+                sets = [shingles_of(text, words)[1].view(np.int64) for text in held.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [held.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))],
+                    ["node", "n", "shingles"])
+            release()
 
-    known = documents.filter(F.col("doc_id").isNotNull())
-    sketches = saved(known.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        sketch, "doc_id bigint, fp bigint, sketch binary"), "sketches")
-    roots = saved(root_of(saved(sketches.select("fp").distinct(), "distinct")), "roots")
-    several = sketches.select("fp").join(roots, "fp").groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root")
-    left = saved(sketches.join(roots.join(several, "root", "left_semi"), "fp").select("doc_id", "root", "sketch"), "members")
-    dropped = []
-    for _ in range(rounds):
-        # equal sketches meet first, so copies are compared once
-        kinds = left.groupBy("root", "sketch").agg(F.min("doc_id").alias("doc_id"))
-        first = kinds.groupBy("root").agg(F.min(F.struct("doc_id", "sketch")).alias("r"))
-        judged = saved(
-            kinds.join(first, "root").select("doc_id", "root", "sketch", F.col("r.sketch").alias("other")).mapInArrow(
-                compare, "doc_id bigint, root bigint, sketch binary, near boolean"), "judged")
-        near = judged.filter("near").select("root", "sketch")
-        members = left.join(near, ["root", "sketch"]).join(first.select("root", F.col("r.doc_id").alias("least")), "root")
-        dropped.append(saved(members.filter(F.col("doc_id") != F.col("least")).select("doc_id"), "dropped"))
-        left = saved(left.join(near, ["root", "sketch"], "left_anti"), "left")
-        if left.isEmpty():
-            break
-    out = dropped[0]
-    for more in dropped[1:]:
-        out = out.union(more)
-    return out.distinct()
+    def crowded(keyed):
+        several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+        return keyed.join(several.select("key"), "key", "left_semi")
+
+    known = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    sketches = saved(known.mapInArrow(sketch, "doc_id bigint, digest binary, keys array<bigint>"), "sketches")
+    kinds = saved(sketches.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "kinds")
+    left = saved(crowded(kinds.select("node", F.explode("keys").alias("key"))).distinct(), "left")
+    sets = saved(
+        known.join(left.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        .mapInArrow(shingles, "node bigint, n int, shingles array<bigint>"), "shingles")
+    leaders = sets.select(F.col("node").alias("least"), F.col("n").alias("m"), F.col("shingles").alias("others"))
+    both = F.size(F.array_intersect("shingles", "others"))
+    near_texts = both >= F.lit(similarity) * (F.col("n") + F.col("m") - both)
+    dropped = None
+    front = 1
+    while not left.isEmpty():
+        order = W.partitionBy("key").orderBy("node")
+        ahead = saved(left.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= front).select("key", F.col("node").alias("least")), "ahead")
+        pairs = left.join(ahead, "key").filter("least < node").select("least", "node").distinct()
+        near = saved(
+            pairs.join(sets, "node").join(leaders, "least")
+            .filter((F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")) & near_texts).select("least", "node").distinct(), "near")
+        # among the least in all its keys: all its pairs were compared in this round
+        whole = left.groupBy("node").agg(F.count(F.lit(1)).alias("has")).join(
+            ahead.groupBy(F.col("least").alias("node")).agg(F.count(F.lit(1)).alias("seen")), "node").filter("has = seen")
+        stays = saved(whole.join(near, "node", "left_anti").select("node"), "stays")
+        gone = saved(near.join(stays.select(F.col("node").alias("least")), "least", "left_semi").select("node").distinct(), "gone")
+        dropped = gone if dropped is None else dropped.union(gone)
+        left = saved(crowded(saved(left.join(stays.union(gone), "node", "left_anti"), "unjudged")), "left")
+        front = min(2 * front, MOST_AHEAD)
+    kept = kinds.select("digest", "node")
+    if dropped is not None:
+        kept = kept.join(dropped, "node", "left_anti")
+    kept = kept.select("digest", F.col("node").alias("doc_id"))
+    return sketches.select("doc_id", "digest").join(kept, ["digest", "doc_id"], "left_anti").select("doc_id").distinct()
 
 
 def without_near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
