@@ -121,6 +121,24 @@ def test_every_group_of_a_vocabulary_is_judged(spark):
     assert sorted(r.doc_id for r in kept) == list(range(12)) == brute_kept(rows)
 
 
+def test_near_duplicates_by_all_shingles(spark):
+    """Long texts with similarities close above and below 0.8: decided as brute force does."""
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for group in range(12):
+        base = draw.sample(words, 600)
+        rows.append((100 * group, " ".join(base)))
+        for edits in range(8, 19):                                  # each edit takes five shingles: 0.87 to 0.73
+            text = list(base)
+            for at in range(edits):
+                text[10 + 30 * at] = f"new{group}x{edits}x{at}"
+            rows.append((100 * group + edits, " ".join(text)))
+    draw.shuffle(rows)
+    kept = simhash.without_near_duplicates(spark.createDataFrame(rows, TABLE).repartition(4)).collect()
+    assert sorted(r.doc_id for r in kept) == brute_kept(rows)
+
+
 def brute_repeats(rows, span=50):
     first = {}
     for doc, text in rows:
