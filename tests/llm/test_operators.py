@@ -146,6 +146,17 @@ def test_templates_and_slots(spark):
     assert decontamination.contaminated(docs.limit(0), items).count() == 0
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0
 
+def test_exact_copies_of_placeholders_and_short_items(spark):
+    items = spark.createDataFrame(
+        [(1, "12 + 30 = 42, 7 * 8 = 56, 81 / 9 = 9 and 5 kg = 5000 g"), (2, "visit Paris Rome Madrid Berlin Vienna Prague Lisbon Oslo Athens"),
+         (3, "1 2 3 4 5 6"), (4, "zebra quagga okapi")], "item_id long, text string")
+    docs = spark.createDataFrame([(10 * r.item_id, f"Some words before {r.text} and after") for r in items.collect()] + [
+        (21, "they will visit paris rome madrid berlin vienna prague lisbon oslo athens in may"), (31, "1 2 3 4 5 7"), (41, "zebra okapi quagga"),
+        (51, "13 + 31 = 43, 8 * 9 = 57, 82 / 8 = 8 and 6 kg = 6000 g")], DOCS)
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(10, 1), (20, 2), (21, 2), (30, 3), (40, 4)}
+
+
 
 # --- search
 

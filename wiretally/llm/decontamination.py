@@ -1,4 +1,4 @@
-"""Benchmark decontamination: windows of typed templates, joined by hash and checked for consistent slots.
+"""Benchmark decontamination: windows of typed templates and of plain words, joined by hash and checked for consistent slots.
 
 DataFrame and SQL functions only.
 """
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wiretally.llm.common import saved
 
-#: Tokens in a template window; the fewest tokens of a benchmark item that is searched for.
+#: Tokens in a window; the fewest tokens of a benchmark item that is also searched for with other values.
 WINDOW, LEAST = 8, 5
 #: Template windows of the benchmark that may be sent to every task (about 100 bytes each).
 BROADCAST_WINDOWS = 500_000
@@ -21,7 +21,7 @@ UNITS = (
 
 
 def template(text: Column) -> Column:
-    """Array of (t, v): the template token and, where it is a placeholder, the value it stands for.
+    """Array of (t, v, l): the template token, where it is a placeholder the value it stands for, and the word in lower case.
 
     Numbers become ``<number>``; units behind a number ``<unit>``; words with a
     capital followed by small letters that do not begin a sentence ``<name>``.
@@ -37,52 +37,69 @@ def template(text: Column) -> Column:
             & (F.length(word) > 1) & (before != "?")
         unit = before.between("0", "9~") & low.isin(UNITS)
         kind = F.when(number, "<number>").when(unit, "<unit>").when(name, "<name>").otherwise(low)
-        return F.struct(kind.alias("t"), F.when(kind.startswith("<"), low).alias("v"))
+        return F.struct(kind.alias("t"), F.when(kind.startswith("<"), low).alias("v"), low.alias("l"))
 
     raw_here = F.col("_raw")
     return raw, F.filter(F.transform(raw_here, typed), lambda x: x["t"] >= "0")
 
 
 def with_template(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_t`` (template tokens) and ``_v`` (their values); null text has none."""
+    """Adds ``_t`` (template tokens), ``_v`` (their values) and ``_l`` (the words); null text has none."""
     raw, pairs = template(F.col(text))
     return (
         rows.withColumn("_raw", F.coalesce(raw, F.array().cast("array<string>")))
         .withColumn("_pairs", pairs)
-        .withColumn("_t", F.col("_pairs")["t"]).withColumn("_v", F.col("_pairs")["v"])
+        .withColumn("_t", F.col("_pairs")["t"]).withColumn("_v", F.col("_pairs")["v"]).withColumn("_l", F.col("_pairs")["l"])
         .drop("_raw", "_pairs")
     )
 
 
-def windows(size: int) -> Column:
-    """Hashes of all windows of ``size`` template tokens, with their places."""
-    n = F.size("_t") - size
-    return F.when(n >= 0, F.transform(
-        F.sequence(F.lit(0), F.greatest(n, F.lit(0))),
-        lambda i: F.struct(F.xxhash64(F.lit(size), F.slice("_t", i + 1, F.lit(size))).alias("h"), i.alias("at"))))
+def hashed(column: str, size: int, at: Column) -> Column:
+    """(h, at) of the window of ``size`` tokens at each place of ``at``."""
+    return F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(size), F.slice(column, i + 1, F.lit(size))).alias("h"), i.alias("at")))
+
+
+def windows(size: int, column: str = "_t") -> Column:
+    """Hashes of all windows of ``size`` tokens, with their places; null if there are fewer tokens."""
+    n = F.size(column) - size
+    return F.when(n >= 0, hashed(column, size, F.sequence(F.lit(0), F.greatest(n, F.lit(0)))))
+
+
+def word_windows(size: int) -> Column:
+    """Hashes of the words of all windows that have a placeholder. Without one they are those of the template."""
+    n = F.size("_l") - size
+    places = F.filter(F.transform("_v", lambda v, i: F.when(v.isNotNull(), i)), lambda i: i.isNotNull())
+    starts = F.array_distinct(F.flatten(F.transform(
+        places, lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.least(i, F.greatest(n, F.lit(0)))))))
+    return F.when(n >= 0, hashed("_l", size, starts))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """(h, size, item_id, item_at, n_windows, slots) of every window of every item.
 
-    An item shorter than the window is one window; one with fewer than ``least``
-    tokens is not searched, nor are windows of which less than half are words.
-    ``slots`` lists the offsets and values of the placeholders.
+    An item shorter than the window is one window. The words of every window are
+    searched for, so exact copies are found whatever they consist of. Its template
+    is searched for too where at least half are words, and the item has ``least``
+    tokens. ``slots`` lists the offsets and values of the placeholders.
     """
-    items = saved(with_template(benchmark.select("item_id", "text")).filter(F.size("_t") >= least).select("item_id", "_t", "_v"), "items")
+    items = saved(with_template(benchmark.select("item_id", "text")).filter(F.size("_t") > 0).select("item_id", "_t", "_v", "_l"), "items")
     out = None
     for size in sorted({min(r[0], window) for r in items.select(F.size("_t")).distinct().collect()}):
         fitting = items.filter((F.size("_t") == size) if size < window else (F.size("_t") >= size))
-        one = (
-            fitting.withColumn("w", F.explode(windows(size)))
-            .withColumn("_slot", F.slice("_v", F.col("w.at") + 1, F.lit(size)))
-            .select(
-                F.col("w.h").alias("h"), F.lit(size).alias("size"), "item_id", F.col("w.at").alias("item_at"),
-                (F.size("_t") - size + 1).alias("n_windows"),
-                F.filter(F.transform("_slot", lambda v, i: F.struct(i.alias("off"), v.alias("value"))), lambda s: s["value"].isNotNull()).alias("slots"))
-            .filter(F.size("slots") * 2 <= size)
-        )
-        out = one if out is None else out.unionByName(one)
+        for column in ("_t", "_l"):
+            one = (
+                fitting.withColumn("w", F.explode(windows(size, column)))
+                .withColumn("_slot", F.slice("_v", F.col("w.at") + 1, F.lit(size)))
+                .select(
+                    F.col("w.h").alias("h"), F.lit(size).alias("size"), "item_id", F.col("w.at").alias("item_at"),
+                    (F.size("_t") - size + 1).alias("n_windows"),
+                    F.filter(F.transform("_slot", lambda v, i: F.struct(i.alias("off"), v.alias("value"))), lambda s: s["value"].isNotNull()).alias("slots"))
+            )
+            if column == "_t":
+                one = one.filter(F.size("slots") * 2 <= size).filter(F.lit(size >= least))
+            else:
+                one = one.filter((F.size("slots") > 0) | F.lit(size < least))
+            out = one if out is None else out.unionByName(one)
     if out is None:
         return items.sparkSession.createDataFrame(
             [], "h long, size int, item_id long, item_at int, n_windows int, slots array<struct<off:int,value:string>>")
@@ -95,7 +112,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     An item is found at a place where ``run`` of its windows or ``share`` of them
     (whichever is less) match on one diagonal, and its slots are consistent: a
     value of the item stands for one value of the document throughout. So an exact
-    copy is found, and one with other numbers, names or units; a text that merely
+    copy is found, also in other case, and one with other numbers, names or units; a text that merely
     has the same shape with values mixed up is not. A document that is null, empty
     or shorter than an item holds nothing of it; rows with null doc_id are skipped.
     The best place of each (document, item) is returned, rows that repeat a doc_id together.
@@ -106,10 +123,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_WINDOWS else wanted
     empty = spark.createDataFrame([], "doc_id long, row long, doc_at int, item_id long, item_at int, n_windows int, slots array<struct<off:int,value:string>>")
     known = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    read = with_template(known.withColumn("row", F.xxhash64("text"))).select("doc_id", "row", "_t")
+    read = with_template(known.withColumn("row", F.xxhash64("text"))).select("doc_id", "row", "_t", "_v", "_l")
     hits = empty
     if sizes:
-        every = F.concat(*[F.coalesce(windows(s), F.array().cast("array<struct<h:bigint,at:int>>")) for s in sizes]) if len(sizes) > 1 else windows(sizes[0])
+        every = F.concat(*[F.coalesce(w, F.array().cast("array<struct<h:bigint,at:int>>")) for s in sizes for w in (windows(s), word_windows(s))])
         hits = (
             read.select("doc_id", "row", F.explode(every).alias("w"))
             .select("doc_id", "row", F.col("w.h").alias("h"), F.col("w.at").alias("doc_at"))
@@ -119,7 +136,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     hits = saved(hits, "hits").distinct()
     place = ["doc_id", "row", "item_id", (F.col("doc_at") - F.col("item_at")).alias("start")]
     enough = (
-        hits.groupBy(*place, "n_windows").agg(F.count(F.lit(1)).alias("n_matched"))
+        hits.groupBy(*place, "n_windows").agg(F.count_distinct("item_at").alias("n_matched"))
         .filter((F.col("n_matched") >= F.least(F.lit(run), F.ceil(F.col("n_windows") * share))))
     )
     with_slots = hits.filter(F.size("slots") > 0).select("*", (F.col("doc_at") - F.col("item_at")).alias("start")).join(
@@ -127,9 +144,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     asked = with_slots.groupBy("doc_id", "row").agg(F.collect_set(F.struct("item_id", "start", "doc_at", "slots")).alias("asked"))
     values = (
         with_template(known.withColumn("row", F.xxhash64("text")).join(asked, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]))
-        .select("doc_id", "row", "_v", F.explode("asked").alias("a"))
+        .select("doc_id", "row", "_l", F.explode("asked").alias("a"))
         .select("doc_id", "row", "a.item_id", "a.start", F.explode(F.transform("a.slots", lambda s: F.struct(
-            s["value"].alias("item_value"), F.get(F.col("_v"), F.col("a.doc_at") + s["off"]).alias("doc_value")))).alias("s"))
+            s["value"].alias("item_value"), F.get(F.col("_l"), F.col("a.doc_at") + s["off"]).alias("doc_value")))).alias("s"))
     )
     slots = values.groupBy("doc_id", "row", "item_id", "start", "s.item_value").agg(
         F.count_distinct("s.doc_value").alias("n")).groupBy("doc_id", "row", "item_id", "start").agg(
