@@ -157,6 +157,17 @@ def test_exact_copies_of_placeholders_and_short_items(spark):
     assert got == {(10, 1), (20, 2), (21, 2), (30, 3), (40, 4)}
 
 
+def test_question_marks_and_first_words(spark):
+    items = spark.createDataFrame(
+        [(1, "what makes the sea so very salty?"), (2, "Where do all the rivers go?"), (3, "Is it late?? Then tell us the way home now")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (10, "what makes the sea so very salty?\nThe rivers do"), (11, "So what makes the sea so very salty"), (12, "what makes the sea so very salty?? Nobody knows"),
+        (20, "Question Where do all the rivers go?\nAnswer: to the sea"), (21, "Q: Where do all the rivers go"), (22, "Well. Where do all the rivers go?"),
+        (30, "Is it late?\nThen tell us the way home now")], DOCS)
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(10, 1), (11, 1), (12, 1), (20, 2), (21, 2), (22, 2), (30, 3)}
+
+
 
 # --- search
 

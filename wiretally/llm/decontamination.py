@@ -12,7 +12,8 @@ from wiretally.llm.common import saved
 WINDOW, LEAST = 8, 5
 #: Template windows of the benchmark that may be sent to every task (about 100 bytes each).
 BROADCAST_WINDOWS = 500_000
-TOKEN = r"\d+(?:[.,:/]\d+)*|\p{L}+|[.!?\n]+"
+TOKEN_WORD = r"\d+(?:[.,:/]\d+)*|\p{L}+"
+TOKEN = TOKEN_WORD + r"|[.!?\n]+"
 UNITS = (
     "mm cm dm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t lb lbs oz gram grams kilogram kilograms ton tons "
     "ml cl l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week "
@@ -20,6 +21,11 @@ UNITS = (
     "hz khz mhz ghz w kw kwh v volt volts a amp amps watt watts joule joules j n pa bar psi kb mb gb tb byte bytes bit bits").split()
 
 
+def is_mark(token: Column) -> Column:
+    """Whether a raw token is a run of marks or line ends: ``?`` alone of them sorts above the digits."""
+    return (token < "0") | token.startswith("?")
+
+
 def template(text: Column) -> Column:
     """Array of (t, v, l): the template token, where it is a placeholder the value it stands for, and the word in lower case.
 
@@ -33,14 +39,14 @@ def template(text: Column) -> Column:
         low = F.lower(word)
         before = F.when(i > 0, F.get(raw_here, i - 1))
         number = word.between("0", "9~")
-        name = (word != low) & before.isNotNull() & (before >= "0") & (F.substring(word, 2, 1_000_000) == F.substring(low, 2, 1_000_000)) \
-            & (F.length(word) > 1) & (before != "?")
+        name = (word != low) & before.isNotNull() & ~is_mark(before) & (F.substring(word, 2, 1_000_000) == F.substring(low, 2, 1_000_000)) \
+            & (F.length(word) > 1)
         unit = before.between("0", "9~") & low.isin(UNITS)
         kind = F.when(number, "<number>").when(unit, "<unit>").when(name, "<name>").otherwise(low)
         return F.struct(kind.alias("t"), F.when(kind.startswith("<"), low).alias("v"), low.alias("l"))
 
     raw_here = F.col("_raw")
-    return raw, F.filter(F.transform(raw_here, typed), lambda x: x["t"] >= "0")
+    return raw, F.filter(F.transform(raw_here, typed), lambda x: ~is_mark(x["l"]))
 
 
 def with_template(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -80,15 +86,26 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, least: int = L
     An item shorter than the window is one window. The words of every window are
     searched for, so exact copies are found whatever they consist of. Its template
     is searched for too where at least half are words, and the item has ``least``
-    tokens. ``slots`` lists the offsets and values of the placeholders.
+    tokens. An item that begins with a capital has its first template window twice,
+    the first word as a word and as a name: in a document it may follow a mark or
+    any word. ``slots`` lists the offsets and values of the placeholders.
     """
-    items = saved(with_template(benchmark.select("item_id", "text")).filter(F.size("_t") > 0).select("item_id", "_t", "_v", "_l"), "items")
+    word = F.regexp_extract("text", TOKEN_WORD, 0)
+    low = F.lower(word)
+    begins = (word != low) & (F.length(word) > 1) & (F.substring(word, 2, 1_000_000) == F.substring(low, 2, 1_000_000))
+    items = saved(
+        with_template(benchmark.select("item_id", "text")).filter(F.size("_t") > 0)
+        .select("item_id", "_t", "_v", "_l", begins.alias("begins"), F.lit(False).alias("named")), "items")
+    rest = F.lit(1_000_000)
+    named = items.filter("begins").select(
+        "item_id", F.concat(F.array(F.lit("<name>")), F.slice("_t", F.lit(2), rest)).alias("_t"),
+        F.concat(F.slice("_l", 1, 1), F.slice("_v", F.lit(2), rest)).alias("_v"), "_l", "begins", F.lit(True).alias("named"))
     out = None
     for size in sorted({min(r[0], window) for r in items.select(F.size("_t")).distinct().collect()}):
-        fitting = items.filter((F.size("_t") == size) if size < window else (F.size("_t") >= size))
-        for column in ("_t", "_l"):
+        of_size = (F.size("_t") == size) if size < window else (F.size("_t") >= size)
+        for column, fitting in (("_t", items.unionByName(named).filter(of_size)), ("_l", items.filter(of_size))):
             one = (
-                fitting.withColumn("w", F.explode(windows(size, column)))
+                fitting.withColumn("w", F.explode(windows(size, column))).filter(~F.col("named") | (F.col("w.at") == 0))
                 .withColumn("_slot", F.slice("_v", F.col("w.at") + 1, F.lit(size)))
                 .select(
                     F.col("w.h").alias("h"), F.lit(size).alias("size"), "item_id", F.col("w.at").alias("item_at"),
