@@ -1,7 +1,9 @@
 """Registered queries of the training-data operators, each over its whole table with production parameters."""
 from __future__ import annotations
 
-from wiretally.llm import decontamination, extraction, language, packing, quality, sharding, simhash, substrings, topk, toxicity
+from wiretally.llm import (
+    alignment, decontamination, extraction, language, packing, pieces, quality, sharding, simhash, substrings, topk, toxicity, turns,
+)
 from wiretally.llm.common import table
 
 
@@ -45,6 +47,18 @@ def op10_language(spark, sf_dir):
     return language.document_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.aligned_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_pieces(spark, sf_dir):
+    return pieces.piece_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_turns(spark, sf_dir):
+    return turns.conversation_reports(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
@@ -56,6 +70,9 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
+    "op11_alignment": op11_alignment,
+    "op12_pieces": op12_pieces,
+    "op13_turns": op13_turns,
 }
 ORACLES: dict[str, str] = {
     "op8_top_k": """
