@@ -6,13 +6,17 @@ import __spark_entry__ as entry
 from check import normal
 
 SF = "/root/testdata/sf0.001"
-NO_SQL = {"approximate_top_k", "approximate_recall"}
-SAMPLE = ["sparse_top_k", "merge_short_blocks", "final_chunks", "sub_queries", "parse_ospf_peers", "vlan_gap", "device_tree",
+#: Training-data queries that SQL cannot state (tests/llm holds their brute-force versions); absent where those modules are.
+NO_SQL = {
+    "op1_sharding", "op2_simhash", "op3_packing", "op4_substrings", "op5_quality", "op6_extraction", "op7_decontamination",
+    "op9_toxicity", "op10_language", "op11_alignment", "op12_pieces", "op13_turns", "pipeline",
+}
+SAMPLE = ["sparse_top_k", "pruned_similar", "approximate_recall", "merge_short_blocks", "final_chunks", "sub_queries", "parse_ospf_peers", "vlan_gap", "device_tree",
           "next_free_address", "load_trend_sliding"]
 
 
 def test_every_query_has_check_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_SQL
+    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_SQL & set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

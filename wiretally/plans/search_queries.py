@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from wiretally.functions import fixed as K
 from wiretally.functions.rows import unfold
-from wiretally.operators import chunking as CH, context as CX, dense as DE, fusion as FU, lookup as LK
+from wiretally.operators import cells as CE, chunking as CH, context as CX, dense as DE, fusion as FU, lookup as LK
 from wiretally.operators import planning as PL, sparse as SP
 from wiretally.plans import recipes as R
 from wiretally.plans.chunk_queries import chunks, enriched
 from wiretally.plans.chunk_sql import CHUNKS, ENRICHED, SPACE, heading_sql, type_sql
 from wiretally.plans.plan_queries import plan_ctes
+from wiretally.session import scratch_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -125,13 +126,42 @@ def similar_to_existing(spark, d):
     return DE.dense_top_k(v, v, 10, "vec_id", "embedding", "vec_id", "embedding", skip_same=True)
 
 
-@register("approximate_top_k")
+# Cells around seeded centres, ranked for every vector; the number of probed cells finds 92 % of the sample's neighbours.
+CELLS = "WITH " + COSINE + f""",
+seed AS (SELECT vec_id AS cell FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id
+  LIMIT (SELECT ceil(sqrt(count(*)))::BIGINT FROM embeddings)),
+near AS (SELECT query_id, vector_id AS cell, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS place
+  FROM score WHERE vector_id IN (SELECT cell FROM seed)),
+home AS (SELECT query_id AS vector_id, cell FROM near WHERE place = 1),
+truth AS ({ranked_sql('score', 'query_id', 'vector_id', 5)}),
+sample AS (SELECT vec_id AS query_id FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 1000),
+probes AS (SELECT quantile_disc(place, 0.92) AS n FROM truth JOIN sample USING (query_id) JOIN home USING (vector_id)
+  JOIN near USING (query_id, cell)),
+probed AS (SELECT score.* FROM score JOIN home USING (vector_id) JOIN near USING (query_id, cell)
+  WHERE place <= (SELECT n FROM probes)),
+approx AS ({ranked_sql('probed', 'query_id', 'vector_id', 5)})"""
+
+
+def vector_cells(spark, d):
+    return CE.write_cells(vectors(spark, d), scratch_path(spark, "cells"), "vec_id", "embedding")
+
+
+@register("pruned_similar", "WITH " + COSINE + """
+SELECT query_id, vector_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank
+FROM score WHERE query_id <> vector_id QUALIFY rank <= 10""")
+def pruned_similar(spark, d):
+    """The neighbours of every stored vector, exact, over stored cells."""
+    return CE.exact_top_k(vectors(spark, d), vector_cells(spark, d), 10, "vec_id", "embedding", skip_same=True)
+
+
+@register("approximate_top_k", CELLS + " SELECT query_id, vector_id, score, rank FROM approx")
 def approximate_top_k(spark, d):
-    v = vectors(spark, d)
-    return DE.approximate_top_k(v, v, 5, "vec_id", "embedding", "vec_id", "embedding")
+    return CE.approximate_top_k(vectors(spark, d), vector_cells(spark, d), 5, "vec_id", "embedding")
 
 
-@register("approximate_recall")
+@register("approximate_recall", CELLS + """
+SELECT count(*) AS wanted, count(approx.rank) AS found, round(count(approx.rank) / count(*), 4) AS recall
+FROM truth LEFT JOIN approx USING (query_id, vector_id)""")
 def approximate_recall(spark, d):
     return DE.recall(approximate_top_k(spark, d), dense_top_k(spark, d))
 
