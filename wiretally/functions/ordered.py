@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from wiretally.session import written
+
 
 def segment_of(position: Column, size: int) -> Column:
     return F.floor(position / F.lit(size)).cast("bigint")
@@ -19,7 +21,9 @@ def number_rows(df: DataFrame, keys: list[str], segment: str, order: list, index
 
     ``segment`` must grow with the order. Rows are numbered inside (document,
     segment); the rows of earlier segments are added from a per-segment count.
+    The input is stored first, so that rows and counts do not evaluate it twice.
     """
+    df = written(df, "ordered")
     counts = df.groupBy(*keys, segment).agg(F.count(F.lit(1)).alias("_n"))
     doc = W.partitionBy(*keys)
     before = counts.select(
