@@ -116,3 +116,21 @@ def test_skip_indexed_and_force(spark):
     index = spark.createDataFrame([("a.pdf",)], "source_file string")
     assert [r.source_file for r in TB.not_indexed(rows, index).collect()] == ["b.pdf"]
     assert TB.not_indexed(rows, index, force=True).count() == 2
+
+
+def test_blocks_read_for_a_batch_do_not_grow_with_batches(spark, tmp_path):
+    store = str(tmp_path / "blocks")
+    rows = lambda batch: frame(spark, [block(f"d{batch * 3 + n}.pdf", p, 0, f"block {p} of {batch}") for n in range(3) for p in range(4)])
+    for batch in range(6):
+        IN.keep_batch(rows(batch), store, batch)
+        batches, buckets = IN.folders_of_batch(spark, store, batch)
+        assert batches == [batch] and 0 < len(buckets) <= 3
+        assert IN.first_seen(spark, store, batch).count() == 12
+    plan = IN.blocks_of_batch(spark, store, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch" in plan or "PartitionFilters: [(batch" in plan
+    again = frame(spark, [block("d4.pdf", 9, 0, "late"), block("d4.pdf", 0, 0, "another text of a known place")])
+    IN.keep_batch(again, store, 6)
+    batches, buckets = IN.folders_of_batch(spark, store, 6)
+    assert sorted(batches) == [1, 6] and len(buckets) == 1
+    held = {(r.page_number, r.batch): r.content for r in IN.first_seen(spark, store, 6).collect()}
+    assert held[(9, 6)] == "late" and held[(0, 1)] == "block 0 of 1" and len(held) == 5

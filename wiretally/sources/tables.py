@@ -99,9 +99,12 @@ def _valid(chunks: DataFrame) -> DataFrame:
     return chunks.filter(F.col("chunk_id").isNotNull() & (F.coalesce("content", F.lit("")) != ""))
 
 
-def read_index(spark: SparkSession, path: str, source: str | None = None, buckets: int = INDEX_BUCKETS) -> DataFrame:
-    """The index; for one source only its bucket folder is read."""
+def read_index(spark: SparkSession, path: str, source: str | None = None, buckets: int = INDEX_BUCKETS,
+               only: list[int] | None = None) -> DataFrame:
+    """The index; for one source only its bucket folder is read, for ``only`` those of the given buckets."""
     rows = spark.read.parquet(path).filter(F.col("chunk_id").isNotNull())
+    if only is not None:
+        rows = rows.filter(F.col("bucket").isin(*only))
     if source is not None:
         one = F.pmod(F.xxhash64(F.lit(source)), F.lit(buckets)).cast("int")
         rows = rows.filter((F.col("bucket") == one) & (F.col("source_file") == source))
