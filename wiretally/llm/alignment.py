@@ -11,7 +11,9 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+from array import array
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from wiretally.llm.common import release, saved
 from wiretally.llm.pieces import model
 
-#: Stretches of at most this many characters are remembered; the memory is emptied when full.
+#: Stretches of at most this many characters are remembered, this many new ones and as many older ones.
 STRETCH_CHARS, STRETCHES_KEPT = 48, 150_000
 #: Id pairs whose counts are sent to every task; the counts of all other pairs are joined by a shuffle.
 PAIRS_SENT = 1_000_000
@@ -48,6 +50,7 @@ class ByteModel:
         special = {t["content"] for t in held["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in special}
         self.bytes = {i: token for token, i in ranks.items()}
+        self.sizes = {i: len(token) for token, i in ranks.items()}
         self.encoding = tiktoken.Encoding("held", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
@@ -55,16 +58,14 @@ class ByteModel:
 
 
 def ends(sizes: list[int]) -> dict[int, int]:
-    """Cumulative end of each token -> how many tokens end by there. Empty tokens end where the one before does."""
-    out, at = {}, 0
-    for n, size in enumerate(sizes, 1):
-        at += size
-        out[at] = n
-    return out
+    """Cumulative end of each token -> how many tokens end by there."""
+    return dict(zip(accumulate(sizes), range(1, len(sizes) + 1)))
 
 
 def groups(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> list[tuple[list[int], list[int]]]:
     """Slices of both id lists between ends that both sides have."""
+    if len(a) == 1 or len(b) == 1:
+        return [(a, b)]
     left, right = ends(a_sizes), ends(b_sizes)
     out, i, j = [], 0, 0
     for end in sorted(left.keys() & right.keys()):
@@ -73,19 +74,22 @@ def groups(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -
     return out
 
 
-def links(group: tuple[list[int], list[int]]):
-    """(first id, second id, how many links) of a group, each pair of ids once."""
+def links(group: tuple[list[int], list[int]]) -> list[tuple[int, int]]:
+    """(pair, how many links) of a group, each pair of ids once: first id << 32 | second id."""
     a, b = group
     if len(a) == 1 == len(b):
-        return [(a[0], b[0], 1)]
+        return [(a[0] << 32 | b[0], 1)]
+    if len(set(a)) == len(a) and len(set(b)) == len(b):
+        return [(x << 32 | y, 1) for x in a for y in b]
     many = Counter(b)
-    return [(x, y, n * m) for x, n in Counter(a).items() for y, m in many.items()]
+    return [(x << 32 | y, n * m) for x, n in Counter(a).items() for y, m in many.items()]
 
 
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteModel(path_a, public_tokenizers.PATTERN), model(path_b)
         self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         #: A model that changes more than spaces sees whole texts.
         self.cut = "whole" if self.b.map.units or self.b.users or self.b.trim or not self.b.prefix else self.b.cut
 
@@ -103,25 +107,29 @@ class Aligner:
 
     def aligned(self, stretch: str, b: list[int]) -> tuple:
         """(groups as text, packed numbers of ids and groups, packed pairs, packed link counts); one field if bytes differ."""
-        a = self.a.ids(stretch)
-        left, right = [self.a.bytes[i] for i in a], [self.b.bytes[i] for i in b]
-        if None in right or b"".join(left) != b"".join(right):
+        a, spelled = self.a.ids(stretch), self.b.bytes
+        right = [spelled[i] for i in b]
+        if None in right or b"".join(right) != stretch.encode("utf-8"):
             return ()
-        cut = groups(a, b, list(map(len, left)), list(map(len, right)))
-        held = [x for g in cut for x in links(g)]
-        text = ";".join(["|".join([",".join(map(str, side)) for side in g]) for g in cut])
-        return (text, STATS.pack(len(a), len(b), len(cut)), struct.pack(f"<{len(held)}q", *[x << 32 | y for x, y, _ in held]),
-                struct.pack(f"<{len(held)}q", *[n for _, _, n in held]))
+        size = self.a.sizes
+        cut = groups(a, b, [size[i] for i in a], list(map(len, right)))
+        held = links(cut[0]) if len(cut) == 1 else [x for g in cut for x in links(g)]
+        text = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in cut])
+        pairs, counts = zip(*held)
+        return text, STATS.pack(len(a), len(b), len(cut)), array("q", pairs).tobytes(), array("q", counts).tobytes()
 
     def rows(self, text: str) -> list[tuple] | None:
         """Aligned stretches of a text, None where the two sides spell different bytes."""
-        parts, known = self.stretches(" " + text), self.known
+        parts = self.stretches(" " + text)
+        if len(self.known) > STRETCHES_KEPT:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         new = [s for s in set(parts) if s not in known]
         if new:
-            if len(known) > STRETCHES_KEPT:
-                known.clear()
-                new = list(set(parts))
-            for stretch, b in zip(new, self.pieces(new)):
+            again = [s for s in new if s in older]
+            known.update(zip(again, map(older.__getitem__, again)))
+            new = [s for s in new if s not in older]
+            for stretch, b in zip(new, self.pieces(new) if new else ()):
                 known[stretch] = self.aligned(stretch, b)
         found = list(map(known.__getitem__, parts))
         for s in new:
