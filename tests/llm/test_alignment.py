@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import pytest
 import sentencepiece
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -89,3 +90,10 @@ def test_groups_lie_on_the_bytes(spark):
             assert b"".join(held.a.bytes[i] for i in g.a_ids) == raw[g.start:g.end]
             assert b"".join(held.b.bytes[i] for i in g.b_ids) == raw[g.start:g.end]
         assert (r.groups[-1].end == len(raw)) if r.groups else (not text or "▁" in text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from(list("ab éÜſ_ 12 .,'!-\n\t\r  z")), max_size=30))
+def test_both_engines_cut_plain_texts_alike(text):
+    assert alignment.PLAIN.fullmatch(text) and alignment.PLAIN_FINE.findall(text) == alignment.FINE.findall(text)
+    assert "".join(alignment.FINE.findall(text)) == text
