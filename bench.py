@@ -8,7 +8,7 @@ import sys
 import time
 
 HEADLINE = (
-    "final_chunks", "split_long_blocks", "postings", "sparse_top_k", "dense_top_k", "similar_to_existing", "hybrid_search",
+    "final_chunks", "split_long_blocks", "postings", "sparse_top_k", "dense_top_k", "similar_to_existing", "hybrid_search", "pruned_similar", "chunk_sparse_search",
     "sub_queries", "parse_interfaces", "parse_ospf_peers", "snapshot_assembly", "expected_vlans", "vlan_gap",
     "device_alerts", "device_tree", "load_trend_sliding", "last_status",
 )
