@@ -3,6 +3,7 @@ import math
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -242,6 +243,64 @@ def test_toxicity(spark):
     assert toxicity.document_toxicity(docs.limit(0), labels).count() == 0
 
 
+def brute_evidence(docs, labels, stress, k=15):
+    """doc_id -> [(id, cosine)]: every document against every labelled one outside fold 0, in plain Python."""
+    words = {i: Counter(t for w in (text or "").split() for t in toxicity.terms_of(w)) for i, text in docs.items()}
+    known = {i: y for i, y in labels.items() if i in docs and zlib.crc32(str(i).encode()) % 5}
+    rate = sum(known.values()) / len(known)
+    chi = {}
+    for t in {t for i in known for t in words[i]}:
+        n = sum(t in words[i] for i in known)
+        value = (sum(known[i] for i in known if t in words[i]) - n * rate) ** 2 / (n * rate * (1 - rate))
+        if n >= 3 and value > toxicity.LEAST_CHI:
+            chi[t] = value
+    vocabulary = {t for i in known for t in words[i] if not t.endswith("*")} | set(chi)
+    df = Counter(t for c in words.values() for t in c)
+    worth = {t: math.log1p(len(docs) / df[t]) * (1 + stress * max(0, 1 - toxicity.LEAST_CHI / chi.get(t, 1))) for t in vocabulary}
+
+    def unit(i):
+        v = {t: (1 + math.log(n)) * worth[t] for t, n in words[i].items() if t in vocabulary}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: unit(i) for i in docs}
+    out = {}
+    for i, v in vectors.items():
+        cosines = ((round(sum(x * vectors[j].get(t, 0) for t, x in v.items()), 9), j) for j in known if j != i)
+        out[i] = sorted(((c, j) for c, j in cosines if c > 0), key=lambda e: (-e[0], e[1]))[:k]
+    return out
+
+
+def test_toxicity_evidence_equals_brute_force(spark):
+    """Every word of an example counts, however rare; no document is evidence for itself; repeated labels are one example."""
+    draw = random.Random(12)
+    docs, labels = {}, {}
+    for i in range(260):
+        words = [draw.choice("the of and stone river light house green walks".split()) for _ in range(draw.randint(3, 25))]
+        words += [f"w{draw.randrange(3000)}q" for _ in range(4)] + ["Scoundrels!"] * (i % 6 == 0)
+        docs[i], labels[i] = " ".join(words), int(i % 6 == 0)
+    copied = next(i for i in docs if labels[i] and zlib.crc32(str(i).encode()) % 5)
+    docs[300], docs[301], docs[302], docs[303] = docs[copied], "", None, "unseenword"
+    table = spark.createDataFrame([(i, t, "x", 1) for i, t in docs.items()], "doc_id long, text string, y string, slice int")
+    known = spark.createDataFrame([*labels.items(), (6, 1), (7, 0), (None, 1), (8, None)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.document_toxicity(table, known).collect()}
+    want = brute_evidence(docs, labels, toxicity.STRESS)
+    assert set(got) == set(docs)
+    for i, row in got.items():
+        assert i not in row.evidence
+        assert np.allclose(row.cosines, [c for c, _ in want[i]], atol=1e-7), i
+        assert {e for e, c in zip(row.evidence, row.cosines) if c > want[i][-1][0] + 1e-6} == {
+            e for c, e in want[i] if c > want[i][-1][0] + 1e-6}
+    assert got[300].cosines[0] == pytest.approx(1) and got[301].evidence == got[302].evidence == got[303].evidence == []
+
+
+def test_toxicity_sample_stays_bounded_under_repeated_ids(spark):
+    docs = spark.range(3000).selectExpr("id % 3 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (2, 0)] * 5, "doc_id long, toxic int")
+    rows = toxicity.drawn_examples(docs, labels, 20).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) <= 3
+
+
 def test_block_max_search_is_exact():
     draw = np.random.default_rng(1)
     rows = [(i, float(i % 2), sorted(draw.choice(40, 6, replace=False).tolist()), draw.integers(1, 5, 6).tolist()) for i in range(700)]
