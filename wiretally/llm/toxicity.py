@@ -148,7 +148,8 @@ class BlockMaxIndex:
     """Labelled examples as postings in blocks of ``BLOCK`` examples with the largest weight of each block.
 
     ``worth`` is the weight of each term beside its count. ``search`` is exact: the blocks with the
-    highest bounds give a k-th best score, then every block whose bound reaches it is opened.
+    highest bounds give a k-th best score, then every block whose bound reaches it is opened. Terms
+    of an eighth of the examples also keep their postings as full rows, for queries that open many blocks.
     """
 
     def __init__(self, rows: list[tuple], worth: np.ndarray):
@@ -166,13 +167,22 @@ class BlockMaxIndex:
         weight = np.concatenate([v[1] for v in self.vectors] or [np.zeros(0)])
         example = np.repeat(np.arange(len(unit), dtype=np.int32), sizes)
         order = np.argsort(term, kind="stable")           # by term, then by example
-        self.at, self.weight = example[order], weight[order]
+        self.at, self.weight = example[order].astype(np.int64), weight[order]
         cell, first = np.unique(term[order] * self.blocks + self.at // BLOCK, return_index=True)
-        self.block = (cell % self.blocks).astype(np.int32)
+        self.block = cell % self.blocks
         self.first = np.append(first, len(order))         # postings of each (term, block)
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.cells = np.searchsorted(cell // self.blocks, np.arange(len(worth) + 1))    # (term, block) of each term
 
+        spans = np.searchsorted(term[order], np.arange(len(worth) + 1))
+        frequent = np.flatnonzero(np.diff(spans) * 8 >= max(1, len(unit)))
+        self.row = np.full(len(worth), -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.full = np.zeros((len(frequent), len(unit)))
+        for at, t in enumerate(frequent):
+            part = slice(spans[t], spans[t + 1])
+            self.full[at, self.at[part]] = self.weight[part]
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "vectors"}       # not needed by a search
 
@@ -203,7 +213,12 @@ class BlockMaxIndex:
         cutoff = np.partition(score, -k)[-k] if len(score) > k else 0.0
         more = (bound > 0) & (bound >= cutoff - 1e-9) & ~chosen
         if more.any():
-            score += self.scores(cells[more[block]], each[more[block]])
+            if more.sum() * 4 > self.blocks:
+                row = self.row[terms]
+                rare = np.repeat(row < 0, sizes)
+                score = weights[row >= 0] @ self.full[row[row >= 0]] + self.scores(cells[rare], each[rare])
+            else:
+                score += self.scores(cells[more[block]], each[more[block]])
             if but >= 0:
                 score[but] = 0
         score = np.round(score, 12)
@@ -259,7 +274,7 @@ class Neighbours:
 
 
 def document_toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = 20_000,
-                      examples: int = 6000, folds: int = 5, stress: float = STRESS) -> DataFrame:
+                      examples: int = 3000, folds: int = 5, stress: float = STRESS) -> DataFrame:
     """Score, decision and evidence for every document.
 
     About ``examples`` labelled documents outside fold 0 are indexed with every word they have; document frequencies
