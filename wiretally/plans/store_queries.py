@@ -7,6 +7,7 @@ from wiretally.operators import history as HI, telemetry as TM, topology as TP
 from wiretally.plans import recipes as R
 from wiretally.plans.chunk_queries import chunks
 from wiretally.plans.chunk_sql import CHUNKS
+from wiretally.plans import telemetry_queries as TQ
 from wiretally.plans.telemetry_queries import FLEET, data
 from wiretally.session import scratch_path
 from wiretally.sources import devices as DV, tables as TB
@@ -53,10 +54,11 @@ def chunk_json_round_trip(spark, d):
 
 
 # A third of the devices has a full export and stray files, a third per-command files, a third one plain file.
-@register("device_export_files", "WITH " + R.CAPTURE + """
-SELECT device_name, CASE doc_id % 3 WHEN 0 THEN 12::BIGINT WHEN 1 THEN 2 ELSE 1 END AS n_commands,
-  CASE doc_id % 3 WHEN 0 THEN 'CPU Usage : ' || (n_lines % 100) || '.5% Max: 99%' WHEN 1 THEN 'CPU Usage : 7%' END AS cpu
-FROM dv""")
+@register("device_export_files", TQ.OUTPUTS + """
+SELECT device_name, command, output FROM out JOIN dv USING (device_name) WHERE doc_id % 3 = 0
+UNION ALL SELECT device_name, 'display cpu-usage', 'CPU Usage : 7%' FROM dv WHERE doc_id % 3 = 1
+UNION ALL SELECT device_name, 'display current-configuration', 'sysname X' FROM dv WHERE doc_id % 3 = 1
+UNION ALL SELECT device_name, 'display current-configuration', 'sysname Y' || chr(10) FROM dv WHERE doc_id % 3 = 2""")
 def device_export_files(spark, d):
     base = R.sessions(spark, d).withColumn("i", F.substring("device_name", 2, 20).cast("bigint"))
     row = lambda suffix, text: F.struct(
@@ -67,9 +69,7 @@ def device_export_files(spark, d):
         F.when(F.col("i") % 3 < 2, row("_config", F.lit("sysname X\n"))),
         row("", F.lit("sysname Y\n")))
     rows = base.select(F.explode(F.filter(files, lambda x: x.isNotNull())).alias("f")).select("f.*")
-    return DV.export_outputs(rows).select(
-        "device_name", F.size("outputs").cast("bigint").alias("n_commands"),
-        F.try_element_at("outputs", F.lit("display cpu-usage")).alias("cpu"))
+    return TM.command_outputs(DV.export_outputs(rows))
 
 
 @register("registry_defaults", "WITH " + R.REGISTRY + """
@@ -115,15 +115,17 @@ def skip_indexed(spark, d):
     return TB.not_indexed(raw, held).groupBy("source_file").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("snapshot_export", "WITH " + R.CAPTURE + """
-SELECT device_name, device_type, mgmt_ip, access_mode, n_lines AS n_interfaces, n_lines + 1 AS n_vlans, cpu AS cpu_usage,
-  memory AS memory_usage, true AS is_complete FROM dv JOIN met USING (device_name)""")
+@register("snapshot_export", TQ.SUMMARY + TQ.CONTENTS + f"""
+SELECT device_name, device_type, mgmt_ip, access_mode, {TQ.CONTENT_COLUMNS}, cpu AS cpu_usage, memory AS memory_usage,
+  true AS is_complete, summary FROM dv JOIN met USING (device_name) {TQ.CONTENT_JOINS} JOIN summary USING (device_name)""")
 def snapshot_export(spark, d):
+    """Written snapshots read back: every section's records and the text overview."""
     path, full = scratch_path(spark, "snapshots"), data(spark, d)
     DV.write_snapshots(full, path)
+    overview = spark.read.parquet(f"{path}/summary")
     return DV.read_snapshots(spark, path, full).select(
-        "device_name", "device_type", "mgmt_ip", "access_mode", F.size("interfaces").cast("bigint").alias("n_interfaces"),
-        F.size("vlans").cast("bigint").alias("n_vlans"), "cpu_usage", "memory_usage", "is_complete")
+        "device_name", "device_type", "mgmt_ip", "access_mode", *TQ.contents(), "cpu_usage", "memory_usage", "is_complete",
+    ).join(overview, "device_name")
 
 
 # --- topology

@@ -41,17 +41,64 @@ section("stp_ports", "stp", "mstid, port, role, state, protection")
 section("lldp_neighbors", "lld", "local_interface, neighbor_device, neighbor_interface, expire")
 
 
-@register("session_split", W + """,
-cmd(c) AS (VALUES ('display version'), ('display current-configuration'), ('display vlan'), ('display interface brief'),
-  ('display ip routing-table'), ('display ospf peer'), ('display bgp peer'), ('display vrrp'), ('display stp brief'),
-  ('display lldp neighbor brief'), ('display cpu-usage'), ('display memory-usage'))
-SELECT device_name, c AS command, CASE c WHEN 'display cpu-usage' THEN 'CPU Usage : ' || (n_lines % 100) || '.5% Max: 99%'
-  WHEN 'display memory-usage' THEN CASE WHEN doc_id % 6 = 5 THEN 'No data' WHEN doc_id % 6 = 4 THEN (n_chars % 100)
-  || '% of memory' ELSE 'Memory Using Rate: ' || (n_chars % 100) || '%' END ELSE '(listing)' END AS output FROM dv CROSS JOIN cmd""")
+def _listing(command, head, row, groups="jl"):
+    """One output of every device as SQL: head and the rows of its lines in order, trimmed."""
+    return (f"SELECT device_name, '{command}' AS command, trim('{head}' || string_agg({row}, '' ORDER BY j), ' ' || chr(10)) AS output"
+            f" FROM {groups} GROUP BY device_name")
+
+
+_NL = " || chr(10)"
+OUTPUTS = W + """,
+out AS (
+SELECT device_name, 'display version' AS command, 'VRP (R) software, Version 5.' || (doc_id % 9) || chr(10) || 'Acme AR' || (doc_id % 40)
+  || CASE device_type WHEN 'router' THEN ' Router' ELSE ' Switch' END || ' uptime is ' || n_lines || ' days'
+  || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Last reboot reason : power off' ELSE '' END AS output FROM dv
+UNION ALL SELECT device_name, 'display cpu-usage', 'CPU Usage : ' || (n_lines % 100) || '.5% Max: 99%' FROM dv
+UNION ALL SELECT device_name, 'display memory-usage', CASE WHEN doc_id % 6 = 5 THEN 'No data' WHEN doc_id % 6 = 4
+  THEN (n_chars % 100) || '% of memory' ELSE 'Memory Using Rate: ' || (n_chars % 100) || '%' END FROM dv
+UNION ALL SELECT device_name, 'display current-configuration', 'sysname ' || device_name
+  || CASE WHEN dv.doc_id % 4 = 1 THEN '-OLD' ELSE '-CORE' END || chr(10) || '#' || chr(10)
+  || CASE WHEN dv.doc_id % 2 = 0 THEN 'ospf 1' || chr(10) || '#' || chr(10) ELSE '' END
+  || CASE WHEN dv.doc_id % 5 = 0 THEN 'bgp 65001' || chr(10) || '#' || chr(10) ELSE '' END
+  || CASE WHEN dv.doc_id % 7 = 0 THEN 'dhcp enable' || chr(10) ELSE '' END || t
+  FROM dv JOIN (SELECT device_name, string_agg('interface ' || port || chr(10) || CASE WHEN h % 3 = 0 THEN ' ip address 10.'
+    || (h % 256) || '.' || j || '.1 255.255.255.0' ELSE ' description link' END || chr(10) || '#', chr(10) ORDER BY j) AS t
+    FROM jl GROUP BY device_name) USING (device_name)
+UNION ALL """ + " UNION ALL ".join([
+    _listing("display interface brief", "Interface                   PHY   Protocol' || chr(10) || '",
+             "port || '   ' || phy || '    ' || pro" + _NL),
+    _listing("display vlan", "VID  Type    Ports' || chr(10) || '1    common  UT:GE0/0/1(U)' || chr(10) || '",
+             "(2 + h % 4000) || '    ' || (['common', 'super', 'sub'])[j % 3 + 1] || '  UT:GE0/0/' || (j % 48) || '(U)'" + _NL),
+    _listing("display ip routing-table", "Destination/Mask Proto Pre Cost Flags NextHop Interface' || chr(10) || '",
+             "'10.' || (h % 256) || '.' || j || '.0/24  ' || (['Direct', 'Static', 'OSPF', 'RIP', 'BGP', 'ISIS'])[j % 6 + 1]"
+             " || '  60  0  RD  10.0.0.' || (j % 250) || '  ' || port" + _NL),
+    _listing("display ospf peer", "Router-Id Pri State Up Address Interface' || chr(10) || '",
+             "'10.1.' || j || '.' || (h % 250) || ' 1 ' || nbr || '/DR 30 10.0.' || j || '.2 ' || port" + _NL,
+             "(SELECT * FROM jl WHERE doc_id % 5 = 0)"),
+    _listing("display ospf peer", " OSPF Process 1 with Router ID 10.9.9.9' || chr(10) || '",
+             "CASE WHEN j % 3 = 0 THEN ' Area 0.0.0.0 interface 10.0.' || j || '.1(' || port || ')''s neighbors' || chr(10) ELSE '' END"
+             " || ' Router ID: 10.1.' || j || '.' || (h % 250) || '   Address: 10.0.' || j || '.2' || chr(10)"
+             " || CASE WHEN h % 6 = 5 THEN '' ELSE '   State: ' || nbr || '  Mode:Nbr is Master' || chr(10) END",
+             "(SELECT * FROM jl WHERE doc_id % 5 <> 0)"),
+    _listing("display bgp peer", "Peer V AS MsgRcvd MsgSent OutQ Up/Down State PfxRcd' || chr(10) || '",
+             "'192.168.' || j || '.' || (h % 250) || '  4 ' || (65000 + j) || '  10  10  0 00:05:23 ' || CASE WHEN h % 3 = 0 THEN 'Idle'"
+             " ELSE 'Established' END || CASE WHEN h % 2 = 0 THEN '  ' || (h % 100) ELSE '' END" + _NL),
+    _listing("display vrrp", "",
+             "'Vlanif' || (2 + h % 4000) || ' | Virtual Router ' || (j + 1) || chr(10) || CASE WHEN h % 4 = 3 THEN '' ELSE ' State : '"
+             " || CASE WHEN j % 2 = 0 THEN 'Master' ELSE 'Backup' END || chr(10) END || ' Virtual IP : 10.' || (h % 256) || '.' || j"
+             " || '.254' || chr(10) || CASE WHEN j % 3 = 2 THEN '' ELSE ' Priority : ' || (100 + j) || chr(10) END"),
+    _listing("display stp brief", " MSTID  Port                        Role  STP State     Protection' || chr(10) || '",
+             "'   0    ' || port || '  ' || CASE WHEN j = 0 THEN 'ROOT' ELSE 'DESI' END || '  ' || CASE WHEN h % 3 = 0 THEN 'discarding'"
+             " ELSE 'FORWARDING' END || CASE WHEN h % 2 = 0 THEN '  BPDU' ELSE '' END" + _NL),
+    _listing("display lldp neighbor brief", "Local Intf     Neighbor Dev       Neighbor Intf     Exptime' || chr(10) || '",
+             "port || '  S' || h || '  GE0/0/' || (j % 48) || '  ' || (60 + j) || 's'" + _NL),
+]) + ")"
+
+
+@register("session_split", OUTPUTS + " SELECT device_name, command, output FROM out")
 def session_split(spark, d):
-    short = F.col("command").isin("display cpu-usage", "display memory-usage")
-    return TM.command_outputs(R.snapshots(spark, d)).select(
-        "device_name", "command", F.when(short, F.col("output")).otherwise("(listing)").alias("output"))
+    """Every output whole, of all twelve commands."""
+    return TM.command_outputs(R.snapshots(spark, d)).select("device_name", "command", "output")
 
 
 @register("parse_version", W + """
@@ -75,17 +122,44 @@ def data(spark, d, **kw):
         "mgmt_ip", R._text("10.7.", F.floor(F.col("_i") / 250) % 250, ".", F.col("_i") % 250)).drop("_i")
 
 
-@register("snapshot_assembly", W + """
-SELECT device_name, n_lines AS n_interfaces, n_lines + 1 AS n_vlans, n_lines AS n_routes, n_lines AS n_ospf,
-  n_lines AS n_bgp, n_lines AS n_vrrp, n_lines AS n_stp, n_lines AS n_lldp, cpu AS cpu_usage, memory AS memory_usage,
-  true AS is_complete, 0::BIGINT AS n_errors FROM dv JOIN met USING (device_name)""")
+#: Sections of a snapshot: (name, relation with their rows, fields in order).
+LISTS = (
+    ("interfaces", "itf", ("name", "phy_state", "pro_state", "state", "ip")),
+    ("vlans", "vla", ("id", "type", "ports")),
+    ("routes", "rou", ("destination", "protocol", "nexthop", "interface")),
+    ("ospf_peers", "osp", ("router_id", "address", "interface", "state")),
+    ("bgp_peers", "bgp", ("peer_ip", "as", "up_down", "state", "prefixes")),
+    ("vrrp_groups", "vrr", ("interface", "vrid", "state", "virtual_ip", "priority")),
+    ("stp_ports", "stp", ("mstid", "port", "role", "state", "protection")),
+    ("lldp_neighbors", "lld", ("local_interface", "neighbor_device", "neighbor_interface", "expire")),
+)
+#: Per device the size of each section and a hash of all its records in order.
+CONTENTS = ",\n" + ",\n".join(
+    f"""c_{name} AS (SELECT device_name, count(*) AS n_{name}, md5(string_agg({" || '|' || ".join(f'"{f}"' for f in fields)},
+  chr(10) ORDER BY j)) AS {name}_md5 FROM {cte} GROUP BY device_name)""" for name, cte, fields in LISTS)
+CONTENT_COLUMNS = ", ".join(f"n_{name}, {name}_md5" for name, _, _ in LISTS)
+CONTENT_JOINS = " ".join(f"JOIN c_{name} USING (device_name)" for name, _, _ in LISTS)
+
+
+def contents():
+    """Size and hash of the records of each section, as columns."""
+    def text(fields):
+        return lambda x: F.concat_ws("|", *[x[f] for f in fields])
+
+    columns = []
+    for name, _, fields in LISTS:
+        columns += [F.size(name).cast("bigint").alias("n_" + name),
+                    F.md5(F.array_join(F.transform(name, text(fields)), "\n").cast("binary")).alias(name + "_md5")]
+    return columns
+
+
+@register("snapshot_assembly", W + CONTENTS + f"""
+SELECT device_name, {CONTENT_COLUMNS}, '5.' || (dv.doc_id % 9) AS vrp_version, n_lines || ' days' AS uptime, cpu AS cpu_usage,
+  memory AS memory_usage, true AS is_complete, 0::BIGINT AS n_errors FROM dv JOIN met USING (device_name) {CONTENT_JOINS}""")
 def snapshot_assembly(spark, d):
-    n = lambda c: F.size(c).cast("bigint")
     return data(spark, d).select(
-        "device_name", n("interfaces").alias("n_interfaces"), n("vlans").alias("n_vlans"), n("routes").alias("n_routes"),
-        n("ospf_peers").alias("n_ospf"), n("bgp_peers").alias("n_bgp"), n("vrrp_groups").alias("n_vrrp"),
-        n("stp_ports").alias("n_stp"), n("lldp_neighbors").alias("n_lldp"), "cpu_usage", "memory_usage", "is_complete",
-        n("errors").alias("n_errors"))
+        "device_name", *contents(), "version_info.vrp_version", "version_info.uptime", "cpu_usage", "memory_usage", "is_complete",
+        F.size("errors").cast("bigint").alias("n_errors"))
 
 
 @register("source_preference", W + """
