@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wiretally.operators import dense as DE, fusion as FU, sparse as SP
+from wiretally.operators import context as CX, dense as DE, fusion as FU, sparse as SP
 
 
 @pytest.fixture(scope="module")
@@ -106,3 +106,33 @@ def test_filter_reaches_the_scan(spark, tmp_path):
     plan = spark.read.parquet(path).filter(FU.payload_filter(("text",), "d.pdf", (2, 4))).select(
         "page_number")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "GreaterThanOrEqual(page_number,2)" in plan
+
+
+def test_searches_stay_in_the_types_of_their_plan(spark):
+    """One text asked by two plans: each sees its own chunk types, ranked before the quota is applied."""
+    plans = spark.createDataFrame([(1, ["text", "table"], False), (2, ["code_cli", "other"], True), (3, [], False)],
+                                  "question_id int, chunk_types array<string>, needs_images boolean")
+    scoped = plans.select("question_id", FU.search_scope().alias("scope"))
+    assert {r.question_id: r.scope for r in scoped.collect()} == {1: "table,text", 2: "code_cli,image_desc", 3: ""}
+    variants = FU.scoped_variants(scoped.withColumn("ordinal", F.lit(0)).withColumn("variant_text", F.lit("q")))
+    scores = variants.select("text_id").distinct().crossJoin(spark.createDataFrame(
+        [(f"c{i}", "code_cli", 9.0 - i) for i in range(7)] + [("t", "text", 1.0), ("b", "table", 0.5), ("i", "image_desc", 0.4)],
+        "chunk_id string, chunk_type string, score double"))
+    rows = FU.fan_out(variants, FU.scoped_hits(scores, variants, "chunk_id"), "question_id", "chunk_id", by="search_id").collect()
+    assert {(r.question_id, r.chunk_id) for r in rows} == {(1, "t"), (1, "b"), (2, "i")} | {(2, f"c{i}") for i in range(5)}
+
+
+def test_prompt_context_cuts_each_part_to_its_budget(spark):
+    questions = spark.createDataFrame([(1,), (2,), (3,)], "question_id int")
+    search = spark.createDataFrame([(1, "s" * 4000), (2, None)], "question_id int, context string")
+    devices = spark.createDataFrame([(1, "R2", "b" * 3000), (1, "R1", "a" * 3000), (2, "R1", "a")],
+                                    "question_id int, device_name string, summary string")
+    manual = spark.createDataFrame([(1, "d.pdf", n, "m") for n in range(3000)] + [(2, "d.pdf", 0, "")],
+                                   "question_id int, source_file string, part_no int, text string")
+    rows = CX.context_rows(search, devices, manual)
+    got = {r.question_id: r.context for r in CX.prompt_context(questions, rows).collect()}
+    field = ("a" * 3000 + "\n\n" + "b" * 3000)[:5000]
+    assert got[1] == (CX.DOCUMENTATION + "s" * 3000 + "\n\n" + CX.FIELD + field + "\n\n" + CX.MANUAL
+                      + "\n".join("m" * 3000)[:2000])
+    assert got[2] == CX.FIELD + "a" and got[3] == CX.NOTHING_FOUND
+    assert rows.filter("part = 2").count() == 3000

@@ -226,10 +226,10 @@ def plan_questions(questions: DataFrame, registry: DataFrame, key: str = "questi
     return planned.withColumn("audit_queries", audit_queries(F.col("targets"), F.col("protos"), F.col("needs_live"), vendor))
 
 
-def query_variants(plans: DataFrame, key: str = "question_id") -> DataFrame:
-    """(key, ordinal, variant_text): enriched text, three sub-queries, expansions."""
+def query_variants(plans: DataFrame, key: str = "question_id", keep=()) -> DataFrame:
+    """(key, *keep, ordinal, variant_text): enriched text, three sub-queries, expansions."""
     texts = F.concat(F.array("enriched_query"), F.slice("sub_queries", 1, 3), F.col("audit_queries"))
-    return unfold(plans, [key], texts, "variant_text", "ordinal").withColumn(
+    return unfold(plans, [key, *keep], texts, "variant_text", "ordinal").withColumn(
         "ordinal", F.col("ordinal").cast("bigint"))
 
 

@@ -8,6 +8,7 @@ from wiretally.functions.text import strip
 from wiretally.operators import compliance as CO, context as CX, expectations as EX, telemetry as TM
 from wiretally.plans import recipes as R, search_queries as SQ
 from wiretally.plans.telemetry_queries import FLEET, SUMMARY, data as captured
+from wiretally.session import written
 
 QUERIES, ORACLES = {}, {}
 
@@ -225,9 +226,20 @@ f0 AS (
 fact AS (SELECT device_name, protocol, device_name || ' : ' || f AS fact FROM f0)"""
 
 
-@register("protocol_facts", FACTS + " SELECT device_name, protocol, fact FROM fact")
+#: Protocols each question mentions, and the registered devices it names.
+MENTIONED = f""",
+{R.FIELD_QUESTIONS},
+qword AS (SELECT DISTINCT question_id, unnest(regexp_extract_all(upper(question), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM asked),
+qdev AS (SELECT question_id, device_name FROM qword JOIN dv ON w = device_name WHERE doc_id % 11 <> 10),
+qfact AS (SELECT question_id, device_name, protocol, fact FROM qdev JOIN fact USING (device_name)
+  JOIN qword USING (question_id) WHERE w = protocol)"""
+
+
+@register("protocol_facts", FACTS + MENTIONED + " SELECT question_id, device_name, protocol, fact FROM qfact")
 def protocol_facts(spark, d):
-    return CO.protocol_facts(data(spark, d, keep_outputs=True), list(K.PROTOCOLS))
+    """What the named devices say on the mentioned protocols."""
+    asked = SQ.field_devices(SQ.field_plans(spark, d))
+    return CO.mentioned_facts(data(spark, d, devices=asked, keep_outputs=True), asked)
 
 
 # --- per question: each benchmark question consults two captured devices
@@ -359,18 +371,24 @@ def audit_report(spark, d):
     return CO.audit_report(lines, F.concat(F.lit("Manuel "), F.col("source_file")), F.col("quick"))
 
 
-@register("final_answer", SUM + "," + FACTS[len(W) + 1:] + """
-SELECT item_id AS question_id, 0::BIGINT AS section, '' AS device, 0::BIGINT AS ord, 'Question: ' || text || chr(10) AS text FROM benchmark
-UNION ALL SELECT question_id, 1, '', 0, n || ' documents' FROM qual
+FINAL = ALERTS + "," + FACTS[len(W) + 1:] + MENTIONED + f""",
+qctx AS (SELECT * FROM ({SQ.FIELD_FANOUT + SQ.SHOWN + SQ.FIELD_CONTEXT} SELECT * FROM qparts))"""
+
+
+@register("final_answer", FINAL + """
+SELECT question_id, 0::BIGINT AS section, '' AS device, 0::BIGINT AS ord, 'Question: ' || question || chr(10) AS text FROM asked
+UNION ALL SELECT question_id, 1, name, ord, CASE part WHEN 0 THEN '## Search results' || chr(10) ELSE '' END || text FROM qctx
 UNION ALL SELECT question_id, 2, device, ord, CASE severity WHEN 'critical' THEN '🔴' WHEN 'warning' THEN '🟡' ELSE '🔵' END
   || ' [' || upper(severity) || '] ' || message || chr(10) || '   device: ' || device
-  || CASE WHEN detail <> '' THEN chr(10) || '   detail: ' || detail ELSE '' END FROM con JOIN alert ON device = device_name
-UNION ALL SELECT question_id, 3, fact.device_name, 0, '  . ' || fact FROM con JOIN fact ON fact.device_name = con.device_name
-UNION ALL SELECT question_id, 4, device, 0, '  ⚠ ' || discrepancy FROM con JOIN gap ON device = device_name""")
+  || CASE WHEN detail <> '' THEN chr(10) || '   detail: ' || detail ELSE '' END FROM qdev JOIN alert ON device = device_name
+UNION ALL SELECT question_id, 3, device_name, 0, '  . ' || fact FROM qfact
+UNION ALL SELECT question_id, 4, device, 0, '  ⚠ ' || discrepancy FROM qdev JOIN gap ON device = device_name""")
 def final_answer(spark, d):
-    questions = R.table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    context = quality(spark, d).select("question_id", R._text(F.col("n_chunks"), " documents").alias("context"))
-    facts = CO.protocol_facts(data(spark, d, keep_outputs=True), list(K.PROTOCOLS))
-    rows = CO.final_answer(questions, context, consulted(spark, d), alerts(spark, d), facts,
+    """Question, retrieved context, alerts, facts on the mentioned protocols and gaps: all of the question's own devices."""
+    plans = SQ.field_plans(spark, d)
+    asked = SQ.field_devices(plans)
+    context = SQ.full_context(spark, d, plans, written(SQ.passages(spark, d), "passages"))
+    facts = CO.mentioned_facts(data(spark, d, devices=asked, keep_outputs=True), asked)
+    rows = CO.final_answer(plans.select("question_id", "question"), context, asked, alerts(spark, d), facts,
                            CO.all_discrepancies(*gaps(spark, d)))
     return rows.withColumn("section", F.col("section").cast("bigint")).withColumn("ord", F.col("ord").cast("bigint"))

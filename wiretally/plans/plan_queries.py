@@ -47,9 +47,9 @@ LIVE_SQL = "intent IN ('diagnostic', 'optimization', 'health_report', 'status_ch
 SCHEMA_SQL = _any_sql("lower(question)", K.SCHEMA_WORDS)
 
 
-def plan_ctes(asked):
+def plan_ctes(asked, registry=R.REGISTRY):
     """Question attributes as relations: rules are joined, not evaluated in place."""
-    return f"""WITH {R.REGISTRY}, {asked},
+    return f"""WITH {registry}, {asked},
 base AS (SELECT *, {INTENT_SQL} AS intent FROM asked),
 word AS (SELECT DISTINCT question_id, unnest(regexp_extract_all(upper(question), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM asked),
 known AS (SELECT DISTINCT question_id, w AS device FROM word JOIN (SELECT DISTINCT upper(name) AS w FROM registry) USING (w)),
@@ -116,6 +116,7 @@ variants AS (
     UNION ALL SELECT question_id, text, 2, o FROM audit))"""
 
 
+TYPES_SQL = _values([(i, ",".join(t)) for i, t in K.CHUNK_TYPES.items()])
 PLAN = plan_ctes(R.QUESTIONS)
 
 
@@ -198,7 +199,7 @@ def strategy_decision(spark, d):
 
 
 @register("plan_attributes", PLAN + f""",
-types(intent, kinds) AS (SELECT * FROM {_values([(i, ','.join(t)) for i, t in K.CHUNK_TYPES.items()])})
+types(intent, kinds) AS (SELECT * FROM {TYPES_SQL})
 SELECT question_id, kinds || CASE WHEN {SCHEMA_SQL} AND NOT contains(kinds, 'image_desc') THEN ',image_desc' ELSE '' END
     AS chunk_types,
   {LIVE_SQL} AS needs_live, {SCHEMA_SQL} OR contains(kinds, 'image_desc') AS needs_images,

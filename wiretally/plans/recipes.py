@@ -285,6 +285,37 @@ RETRIEVAL_QUESTIONS = """asked AS (
   FROM benchmark)"""
 
 
+def field_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions about two captured devices, two protocols and a manual, with a benchmark passage; every fifth names no protocol."""
+    from wiretally.functions import fixed as K
+
+    i = F.col("item_id")
+    names = F.array(*[F.lit(p) for p in K.PROTOCOLS])
+    protocol = lambda n: F.element_at(names, (n % len(K.PROTOCOLS) + 1).cast("int"))
+    device = lambda n: F.concat(F.when(n % 3 == 0, "R").otherwise("S"), n.cast("string"))
+    opening = F.element_at(F.array(*[F.lit(t) for t in ("état de ", "Pourquoi panne ", "Audit de ", "configure ")]), (i % 4 + 1).cast("int"))
+    about = F.when(i % 5 == 4, "").otherwise(F.concat(protocol(i), F.lit(" et "), F.lower(protocol(i * 5 + 3)), F.lit(" ")))
+    return table(spark, sf_dir, "benchmark").select(i.alias("question_id"), F.concat(
+        opening, about, F.lit("sur "), device(i * 7), F.lit(" et "), device(i * 7 + 1), _text(" selon doc_", i * 7, ".pdf ? "),
+        F.col("text")).alias("question"))
+
+
+def _field_sql() -> str:
+    from wiretally.functions import fixed as K
+
+    names = _list_sql(K.PROTOCOLS)
+    device = lambda n: f"CASE WHEN ({n}) % 3 = 0 THEN 'R' ELSE 'S' END || ({n})"
+    return f"""asked AS (
+  SELECT item_id AS question_id, (['état de ', 'Pourquoi panne ', 'Audit de ', 'configure '])[item_id % 4 + 1]
+    || CASE WHEN item_id % 5 = 4 THEN '' ELSE ({names})[item_id % {len(K.PROTOCOLS)} + 1] || ' et '
+      || lower(({names})[(item_id * 5 + 3) % {len(K.PROTOCOLS)} + 1]) || ' ' END
+    || 'sur ' || {device('item_id * 7')} || ' et ' || {device('item_id * 7 + 1')} || ' selon doc_' || (item_id * 7) || '.pdf ? '
+    || text AS question FROM benchmark)"""
+
+
+FIELD_QUESTIONS = _field_sql()
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One manifest row per document."""
     i = F.col("doc_id")
@@ -390,6 +421,10 @@ def capture_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text("10.7.", F.floor(i / 250) % 250, ".", i % 250).alias("mgmt_ip"))
 
 
+CAPTURE_REGISTRY = """registry AS (
+  SELECT CASE WHEN doc_id % 3 = 0 THEN 'R' ELSE 'S' END || doc_id AS name FROM documents WHERE doc_id % 11 <> 10)"""
+
+
 # Rows the parsers must find, straight from the line lengths.
 CAPTURE = LINES + """,
 dv AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 3 = 0 THEN 'R' ELSE 'S' END || doc_id AS device_name,

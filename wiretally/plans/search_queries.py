@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 from wiretally.functions import fixed as K
 from wiretally.functions.rows import unfold
 from wiretally.operators import cells as CE, chunking as CH, context as CX, dense as DE, fusion as FU, lookup as LK
-from wiretally.operators import planning as PL, sparse as SP
+from wiretally.operators import planning as PL, sparse as SP, telemetry as TM
 from wiretally.plans import recipes as R
 from wiretally.plans.chunk_queries import chunks, enriched
 from wiretally.plans.chunk_sql import CHUNKS, ENRICHED, SPACE, heading_sql, type_sql
-from wiretally.plans.plan_queries import plan_ctes
-from wiretally.session import scratch_path
+from wiretally.plans.plan_queries import SCHEMA_SQL, TYPES_SQL, plan_ctes
+from wiretally.plans.telemetry_queries import SUMMARY, data as captured
+from wiretally.session import scratch_path, written
 
 QUERIES, ORACLES = {}, {}
 
@@ -270,40 +271,51 @@ def quota_search(spark, d):
 
 
 def retrieval_plans(spark, d):
-    return PL.plan_questions(R.retrieval_questions(spark, d), R.registry(spark, d))
-
-
-def fan_out(spark, d):
-    """Each distinct variant text is searched once and its result shared."""
-    variants = PL.query_variants(retrieval_plans(spark, d))
-    texts = variants.select("variant_text").distinct()
-    hits = FU.quota_top(
-        passage_hits(spark, d, texts, "variant_text", "variant_text"), "variant_text", "chunk_id"
-    ).drop("rank")
-    return FU.fan_out(variants, hits, "question_id", "chunk_id")
-
-
-FANOUT = PASSAGES + "," + plan_ctes(R.RETRIEVAL_QUESTIONS).removeprefix("WITH ").replace("enriched AS", "enriched_q AS") \
-    .replace("FROM enriched\n", "FROM enriched_q\n") + """,
-vtext AS (SELECT DISTINCT variant_text FROM variants),""" + bm25_sql(
-    "passages", "chunk_id", "content", "vtext", "variant_text", "variant_text") + f""",
-hit AS (SELECT variant_text, chunk_id, {MODAL} AS modality, score FROM score JOIN passages USING (chunk_id)
-  QUALIFY row_number() OVER (PARTITION BY variant_text, {MODAL} ORDER BY score DESC, chunk_id)
+    return written(PL.plan_questions(R.retrieval_questions(spark, d), R.registry(spark, d)), "plans")
+
+
+def fan_out(spark, d, plans, base):
+    """Each distinct variant text is scored once; each plan searches in its own chunk types."""
+    variants = written(FU.scoped_variants(
+        PL.query_variants(plans.withColumn("scope", FU.search_scope()), keep=("scope",))), "variants")
+    texts = variants.select("text_id", "variant_text").distinct()
+    scores = SP.sparse_scores(base, texts, "chunk_id", "content", "text_id", "variant_text", keep=("chunk_type",))
+    return FU.fan_out(variants, FU.scoped_hits(scores, variants, "chunk_id"), "question_id", "chunk_id", by="search_id")
+
+
+def fanout_sql(asked, registry):
+    return PASSAGES + "," + plan_ctes(asked, registry).removeprefix("WITH ").replace("enriched AS", "enriched_q AS") \
+        .replace("FROM enriched\n", "FROM enriched_q\n") + f""",
+types(intent, kinds) AS (SELECT * FROM {TYPES_SQL}),
+scp AS (SELECT question_id, array_to_string(list_sort(list_distinct(string_split(
+  kinds || CASE WHEN {SCHEMA_SQL} THEN ',image_desc' ELSE '' END, ','))), ',') AS scope FROM plan JOIN types USING (intent)),
+sv AS (SELECT *, md5(variant_text) AS text_id, md5(variant_text || chr(10) || scope) AS search_id
+  FROM variants JOIN scp USING (question_id)),
+vtext AS (SELECT DISTINCT text_id, variant_text FROM sv),""" + bm25_sql(
+        "passages", "chunk_id", "content", "vtext", "text_id", "variant_text") + f""",
+hit AS (SELECT search_id, chunk_id, {MODAL} AS modality, score
+  FROM score JOIN (SELECT DISTINCT text_id, search_id, scope FROM sv) USING (text_id) JOIN passages USING (chunk_id)
+  WHERE list_contains(string_split(scope, ','), chunk_type)
+  QUALIFY row_number() OVER (PARTITION BY search_id, {MODAL} ORDER BY score DESC, chunk_id)
     <= CASE {MODAL} WHEN 'image' THEN 3 WHEN 'table' THEN 2 ELSE 5 END),
-firsts AS (SELECT question_id, chunk_id, modality, ordinal, score FROM variants JOIN hit USING (variant_text)
+firsts AS (SELECT question_id, chunk_id, modality, ordinal, score FROM sv JOIN hit USING (search_id)
   QUALIFY row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY ordinal) = 1),
 results AS (SELECT *, row_number() OVER (PARTITION BY question_id, modality ORDER BY score DESC, chunk_id) AS rank
   FROM firsts QUALIFY rank <= CASE modality WHEN 'image' THEN 3 WHEN 'table' THEN 2 ELSE 8 END)"""
 
 
+FANOUT = fanout_sql(R.RETRIEVAL_QUESTIONS, R.REGISTRY)
+FIELD_FANOUT = fanout_sql(R.FIELD_QUESTIONS, R.CAPTURE_REGISTRY)
+
+
 @register("multi_query_fan_out", FANOUT + " SELECT question_id, chunk_id, modality, ordinal, score, rank FROM results")
 def multi_query_fan_out(spark, d):
-    return fan_out(spark, d)
+    return fan_out(spark, d, retrieval_plans(spark, d), written(passages(spark, d), "passages"))
 
 
-def results(spark, d):
-    body = passages(spark, d).select("chunk_id", "content", "chunk_type", "page_number", "section_title", "source_file")
-    return fan_out(spark, d).join(body, "chunk_id")
+def results(spark, d, plans, base):
+    body = base.select("chunk_id", "content", "chunk_type", "page_number", "section_title", "source_file")
+    return fan_out(spark, d, plans, base).join(body, "chunk_id")
 
 
 SHOWN = """,
@@ -321,14 +333,52 @@ ctx AS (SELECT question_id, string_agg(t, chr(10) ORDER BY CASE modality WHEN 't
   END, rank) AS context FROM entry GROUP BY question_id)"""
 
 
-@register("context_assembly", FANOUT + SHOWN + """
-SELECT question_id, coalesce('## Search results' || chr(10) || context, 'Nothing was found.')
-  AS context FROM asked LEFT JOIN ctx USING (question_id)""")
+def field_plans(spark, d):
+    """Plans of the questions about captured devices, written once: every part of an answer follows them."""
+    plans = PL.plan_questions(R.field_questions(spark, d), R.capture_registry(spark, d))
+    return written(PL.referenced_document(plans, R.manifest(spark, d)), "plans")
+
+
+def field_devices(plans):
+    """(question_id, device_name, protos): the registered devices a question names."""
+    return unfold(plans, ["question_id", "protos"], F.col("known"), "device_name")
+
+
+def full_context(spark, d, plans, base):
+    """Search results, overviews of the named devices and the referenced manual of every question, as rows."""
+    search = CX.retrieval_context(results(spark, d, plans, base), "question_id")
+    asked = field_devices(plans)
+    # written: a filter on the text would be pushed below it and parse the session again
+    overview = written(TM.summary_lines(captured(spark, d, asked)).select(
+        "device_name", F.array_join("summary", "\n").alias("summary")), "overview")
+    named = plans.select("question_id", F.col("referenced_file").alias("source_file")).filter("source_file IS NOT NULL")
+    manuals = LK.manual_text(base.join(named.select("source_file").distinct(), "source_file", "left_semi"))
+    return CX.context_rows(search, asked.join(overview, "device_name"), named.join(manuals, "source_file"))
+
+
+FIELD_CONTEXT = """,
+fdev AS (SELECT question_id, device AS device_name FROM known),
+fsum AS (SELECT * FROM (""" + SUMMARY + """ SELECT device_name, summary FROM summary)),
+fman AS (SELECT question_id, regexp_extract(question, '(doc_[0-9]+\\.pdf)', 1) AS source_file FROM asked),
+qparts AS (
+  SELECT question_id, 0 AS part, '' AS name, 0::BIGINT AS ord, context AS text FROM ctx
+  UNION ALL SELECT question_id, 1, device_name, 0, summary FROM fdev JOIN fsum USING (device_name)
+  UNION ALL SELECT question_id, 2, source_file, chunk_index // 256, string_agg(content, chr(10) ORDER BY chunk_index)
+    FROM fman JOIN passages USING (source_file) WHERE content <> '' GROUP BY ALL)"""
+
+
+@register("context_assembly", FIELD_FANOUT + SHOWN + FIELD_CONTEXT + """,
+joined AS (SELECT question_id, part, left(CASE part WHEN 1 THEN string_agg(text, chr(10) || chr(10) ORDER BY name, ord)
+    ELSE string_agg(text, chr(10) ORDER BY name, ord) END, CASE part WHEN 0 THEN 3000 WHEN 1 THEN 5000 ELSE 2000 END) AS t FROM qparts GROUP BY question_id, part),
+three AS (SELECT question_id, concat_ws(chr(10) || chr(10), max(CASE WHEN part = 0 THEN '## Search results' || chr(10) || t END),
+  max(CASE WHEN part = 1 THEN '## Devices' || chr(10) || t END),
+  max(CASE WHEN part = 2 THEN '## Whole document' || chr(10) || t END)) AS context FROM joined GROUP BY question_id)
+SELECT question_id, coalesce(context, 'Nothing was found.') AS context FROM asked LEFT JOIN three USING (question_id)""")
 def context_assembly(spark, d):
-    context = CX.retrieval_context(results(spark, d), "question_id")
-    nothing = F.lit("")
-    return R.retrieval_questions(spark, d).join(context, "question_id", "left").select(
-        "question_id", CX.raw_context(F.col("context"), nothing, nothing).alias("context"))
+    """Prompt contexts: search results, device overviews and the manual, each within its budget."""
+    plans = field_plans(spark, d)
+    rows = full_context(spark, d, plans, written(passages(spark, d), "passages"))
+    return CX.prompt_context(plans, rows)
 
 
 @register("citation_list", FANOUT + SHOWN + f"""
@@ -340,11 +390,13 @@ SELECT question_id, chunk_id, chunk_type AS type, page_number AS page, round(sco
 UNION ALL SELECT question_id, 'device_' || device, 'device_data', NULL, NULL, NULL, NULL, NULL, device,
   CASE WHEN CAST(substr(device, 2) AS INT) % 3 = 0 THEN 'ssh' ELSE 'file' END, '2024-01-01T00:00:00' FROM known""")
 def citation_list(spark, d):
-    named = unfold(retrieval_plans(spark, d).filter("target_scope = 'named'"), ["question_id"], "targets", "device_name")
+    plans = retrieval_plans(spark, d)
+    named = unfold(plans.filter("target_scope = 'named'"), ["question_id"], "targets", "device_name")
     devices = named.withColumn(
         "access_mode", F.when(F.substring("device_name", 2, 10).cast("int") % 3 == 0, "ssh").otherwise("file")
     ).withColumn("collected_at", F.lit("2024-01-01T00:00:00"))
-    return CX.citations(results(spark, d), devices, "question_id")
+    found = results(spark, d, plans, written(passages(spark, d), "passages"))
+    return CX.citations(found, devices, "question_id")
 
 
 # --- lookups over final chunks

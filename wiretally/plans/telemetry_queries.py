@@ -114,9 +114,12 @@ def parse_load(spark, d):
         "device_name", TM.SECTIONS["cpu_usage"]().alias("cpu_usage"), TM.SECTIONS["memory_usage"]().alias("memory_usage"))
 
 
-def data(spark, d, **kw):
-    """Assembled snapshots with registry columns."""
-    return TM.assemble(R.snapshots(spark, d), **kw).withColumn(
+def data(spark, d, devices=None, **kw):
+    """Assembled snapshots with registry columns; of the named ``devices`` only, where these are given."""
+    shots = R.snapshots(spark, d)
+    if devices is not None:
+        shots = shots.join(devices.select("device_name").distinct(), "device_name", "left_semi")
+    return TM.assemble(shots, **kw).withColumn(
         "device_type", F.when(F.col("device_name").startswith("R"), "router").otherwise("switch")
     ).withColumn("_i", F.substring("device_name", 2, 20).cast("bigint")).withColumn(
         "mgmt_ip", R._text("10.7.", F.floor(F.col("_i") / 250) % 250, ".", F.col("_i") % 250)).drop("_i")
