@@ -49,7 +49,6 @@ def test_pieces_and_places(spark):
     rows = list(enumerate(texts)) + [(0, ""), (None, "null id")]
     got = packing.packed_documents(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     pieces = {}
     for r in got:
         pieces.setdefault(r.doc_id, []).append(r)

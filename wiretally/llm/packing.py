@@ -27,14 +27,15 @@ class WordEncoder:
     """Ids of a text as packed little-endian unsigned integers.
 
     The vocabulary merges only inside the words of its split pattern, so ids of
-    words are kept and a text is the concatenation of its words' ids. Strings of
-    special tokens are ordinary text.
+    words are kept and a text is the concatenation of its words' ids. A text that
+    holds the string of an added token goes to the tokenizer whole, which gives it that token's own id.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.words: dict[str, bytes] = {}
 
     def packed(self, texts: list[str]) -> list[bytes]:
@@ -42,7 +43,7 @@ class WordEncoder:
         return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
 
     def encode(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text):
+        if not PLAIN.fullmatch(text) or self.added.search(text):
             return self.packed([text])[0]
         words, known = WORD.findall(text), self.words
         new = [w for w in set(words) if w not in known]
