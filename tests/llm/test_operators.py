@@ -42,6 +42,14 @@ def test_weights(spark):
 
 # --- packing
 
+def test_ids_equal_the_plain_call():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    untouched, mine = Tokenizer.from_file(path), packing.encoder(path)
+    for text in ("plain words", "plain <|endoftext|>words<|endoftext|><|endoftext| >", "<|endoftext|>", "<|endoftext|", "é ₂<|endoftext|> x"):
+        ids = untouched.encode(text, add_special_tokens=False).ids
+        assert mine.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_pieces_and_places(spark):
     draw = random.Random(2)
     odd = ["", None, " x ₂ \x1c y<|endoftext|>", "don't 'll  \n\n  tail   ", "a" * 3000, "naïve Straße 12 ½ ŉ _x_"]
