@@ -134,3 +134,15 @@ def test_blocks_read_for_a_batch_do_not_grow_with_batches(spark, tmp_path):
     assert sorted(batches) == [1, 6] and len(buckets) == 1
     held = {(r.page_number, r.batch): r.content for r in IN.first_seen(spark, store, 6).collect()}
     assert held[(9, 6)] == "late" and held[(0, 1)] == "block 0 of 1" and len(held) == 5
+
+
+def test_stream_over_a_table_in_part_files_and_in_one_file(spark, tmp_path):
+    rows = spark.range(20).withColumnRenamed("id", "event_id")
+    rows.repartition(3).write.parquet(str(tmp_path / "parts" / "events.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "one" / "events.parquet")
+    for kind in ("parts", "one"):
+        rows.write.parquet(str(tmp_path / kind / "other.parquet"))
+        table = ST.run_to_table(ST.event_stream(spark, str(tmp_path / kind)), "append", "events")
+        assert sorted(r.event_id for r in table.collect()) == list(range(20))
