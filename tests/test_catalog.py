@@ -41,3 +41,16 @@ def test_sample_against_sql(spark, name):
 def test_plans_hold_no_cross_join(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_protocol_facts_cover_devices_that_no_question_names(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = entry.queries()["protocol_facts"](spark, SF)
+    named = con.execute("SELECT count(DISTINCT n) FROM (SELECT unnest([item_id * 7, item_id * 7 + 1]) AS n FROM benchmark)").fetchone()[0]
+    cur = con.execute(entry.oracle_sql()["protocol_facts"])
+    names = [c[0] for c in cur.description]
+    want = cur.fetchall()
+    assert normal([tuple(r) for r in df.collect()], df.columns) == normal(want, names)
+    assert len({r[names.index("device_name")] for r in want}) > named
