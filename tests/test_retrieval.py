@@ -1,5 +1,6 @@
 """Retrieval against brute force."""
 import math
+import random
 import re
 from collections import Counter
 
@@ -136,3 +137,26 @@ def test_prompt_context_cuts_each_part_to_its_budget(spark):
                       + "\n".join("m" * 3000)[:2000])
     assert got[2] == CX.FIELD + "a" and got[3] == CX.NOTHING_FOUND
     assert rows.filter("part = 2").count() == 3000
+
+
+def test_best_of_blocks_hold_the_global_best(spark, monkeypatch):
+    """Many small blocks, ties, groups and texts without words: the same hits as from all scores, and k rows a block at most."""
+    for name, value in (("BLOCK_TERMS", 60), ("BLOCK_QUERIES", 2), ("CELLS", 64)):
+        monkeypatch.setattr(SP, name, value)
+    draw = random.Random(5)
+    rows = [(f"c{i:03}", " ".join(draw.choices("abcdefgh", k=draw.choice([1, 2, 9]))), draw.choice(["x", "y"])) for i in range(90)]
+    rows += [(f"d{i:03}", "a b a", "x") for i in range(60)] + [("e1", None, "x"), ("e2", "...", "y")]
+    corpus = spark.createDataFrame(rows, "i string, t string, kind string").repartition(3)
+    asked = spark.createDataFrame([(1, "a b"), (2, "h"), (3, "a c e z"), (4, "none"), (5, "b b g")], "q int, text string")
+    every = SP.sparse_scores(corpus, asked, "i", "t", "q", "text", keep=("kind",)).collect()
+    want = set()
+    for q, kind in {(r.q, r.kind) for r in every}:
+        best = sorted((-r.score, r.i) for r in every if (r.q, r.kind) == (q, kind))[:4]
+        want |= {(q, kind, i, -s) for s, i in best}
+    found = SP.sparse_best(corpus, asked, 4, "i", "t", "q", "text", group="kind")
+    n_blocks = -(-sum(len(set((r[1] or "").replace(".", "").split())) for r in rows) // 60)
+    assert n_blocks > 3 and found.count() <= 4 * 2 * 5 * n_blocks < len(every)
+    ranked = SP.top_k(found, ["q", "kind"], [F.desc("score"), F.asc("i")], 4)
+    assert {(r.q, r.kind, r.i, r.score) for r in ranked.collect()} == want
+    single = {(r.q, r.i) for r in SP.sparse_top_k(corpus, asked, 3, "i", "t", "q", "text").collect()}
+    assert single == {(q, i) for q in {r.q for r in every} for _, i in sorted((-r.score, r.i) for r in every if r.q == q)[:3]}
