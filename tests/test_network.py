@@ -165,3 +165,19 @@ def test_addresses(spark):
                                   ("full", "10.0.2.1"), ("full", "10.0.2.2"), ("full", "10.0.2.3")], "subnet string, mgmt_ip string")
     got = {r.subnet: r.next_address for r in TP.next_free_address(nets, used).collect()}
     assert got == {"n": "10.0.0.2", "empty": "10.0.1.1", "full": "10.0.2.1"}
+
+
+def test_gaps_and_alerts_read_captures_that_are_parsed_once(spark):
+    from wiretally.plans import compliance_queries as CQ
+
+    for name in ("remediation_counts", "device_alerts"):
+        read = CQ.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert read and not [f for f in read if f.endswith("documents.parquet")]
+
+
+def test_words_that_spare_a_pattern_ignore_the_case_as_the_pattern_does(spark):
+    lines = spark.createDataFrame([(1, "vLaN 12 et Vlanif30"), (2, "rien"), (3, None)], "n int, line string")
+    got = {r.n: r.v for r in lines.select("n", EX.vlan_ids(F.col("line")).alias("v")).collect()}
+    assert got[1] == [12, 30] and got[2] == [] and not got[3]
+    manual = spark.createDataFrame([("m", 0, "ſysname S4-A"), ("m", 1, "S5 : `S5-X`")], "source_file string, line_no long, line string")
+    assert {(r.device, r.host_name) for r in EX.expected_host_names(manual).collect()} == {("S4", "S4-A"), ("S5", "S5-X")}
