@@ -160,3 +160,20 @@ def test_best_of_blocks_hold_the_global_best(spark, monkeypatch):
     assert {(r.q, r.kind, r.i, r.score) for r in ranked.collect()} == want
     single = {(r.q, r.i) for r in SP.sparse_top_k(corpus, asked, 3, "i", "t", "q", "text").collect()}
     assert single == {(q, i) for q in {r.q for r in every} for _, i in sorted((-r.score, r.i) for r in every if r.q == q)[:3]}
+
+
+def test_default_embedding_counts_in_slices(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(DE, "EMBED_TERMS", 5)
+    texts = ["a b a", None, "", "c " * 12, "d", "?!", "e f g h a b c d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    for dim in (8, 200):
+        got = {r.i: r.embedding for r in DE.hash_embed(df, "t", dim=dim).collect()}
+        for i, text in enumerate(texts):
+            want = np.zeros(dim)
+            for term in (text or "").replace("?!", "").split():
+                want[int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim] += 1
+            assert np.allclose(got[i], want / (np.linalg.norm(want) or 1))
+    plan = DE.hash_embed(df, "t")._jdf.queryExecution().toString()
+    assert "tinyint" in plan            # one byte a term goes to Python
