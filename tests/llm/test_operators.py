@@ -50,6 +50,19 @@ def test_ids_equal_the_plain_call():
         assert mine.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_new_words_go_straight_to_the_merges(monkeypatch):
+    """Plain texts need no call of the whole tokenizer, and have its ids: any characters, long words, a small memory."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    untouched, mine = Tokenizer.from_file(path), packing.WordEncoder(path)
+    monkeypatch.setattr(packing, "WORDS_KEPT", 50)
+    monkeypatch.setattr(mine, "packed", None)
+    draw = random.Random(4)
+    chars = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(192, 215), *range(216, 247), *range(248, 384))]
+    for text in ["", " ", "x" * 200, *("".join(draw.choices(chars, k=draw.randint(1, 60))) for _ in range(300))]:
+        ids = untouched.encode(text, add_special_tokens=False).ids
+        assert mine.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_pieces_and_places(spark):
     draw = random.Random(2)
     odd = ["", None, " x ₂ \x1c y<|endoftext|>", "don't 'll  \n\n  tail   ", "a" * 3000, "naïve Straße 12 ½ ŉ _x_"]

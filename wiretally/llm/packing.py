@@ -20,6 +20,9 @@ WORD_CHARS, WORDS_KEPT = 48, 300_000
 #: Characters on which the split below is the tokenizer's own; other texts go to the tokenizer whole.
 PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ſ]*")
 WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Characters by which the vocabulary writes the bytes: printable ones stand for themselves, the others for 256 and up.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = dict(zip([b for b in range(256) if b not in PRINTABLE], range(256, 512)))
 _loaded: dict = {}
 
 
@@ -27,7 +30,8 @@ class WordEncoder:
     """Ids of a text as packed little-endian unsigned integers.
 
     The vocabulary merges only inside the words of its split pattern, so ids of
-    words are kept and a text is the concatenation of its words' ids. A text that
+    words are kept and a text is the concatenation of its words' ids. A new word goes
+    straight to the merges, its bytes written as the vocabulary writes them. A text that
     holds the string of an added token goes to the tokenizer whole, which gives it that token's own id.
     """
 
@@ -36,6 +40,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self.merges = self.tokenizer.model.tokenize
         self.words: dict[str, bytes] = {}
 
     def packed(self, texts: list[str]) -> list[bytes]:
@@ -46,17 +51,23 @@ class WordEncoder:
         if not PLAIN.fullmatch(text) or self.added.search(text):
             return self.packed([text])[0]
         words, known = WORD.findall(text), self.words
-        new = [w for w in set(words) if w not in known]
-        if new:
+        found = list(map(known.get, words))
+        if None in found:
             if len(known) > WORDS_KEPT:
                 known.clear()
-                new = list(set(words))
-            known.update(zip(new, self.packed(new)))
-        ids = b"".join(map(known.__getitem__, words))
-        for w in new:
-            if len(w) > WORD_CHARS:
-                del known[w]
-        return ids
+            here: dict[str, bytes] = {}
+            for i, ids in enumerate(found):
+                if ids is None:
+                    w = words[i]
+                    if w not in here:
+                        here[w] = self.merged(w)
+                    found[i] = here[w]
+            known.update((w, ids) for w, ids in here.items() if len(w) <= WORD_CHARS)
+        return b"".join(found)
+
+    def merged(self, word: str) -> bytes:
+        ids = [t.id for t in self.merges(word.encode().decode("latin-1").translate(BYTES))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def encoder(path: str) -> WordEncoder:
