@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from wiretally.llm import simhash, substrings
 from wiretally.llm.suffixes import suffix_array
@@ -121,6 +122,26 @@ def test_every_group_of_a_vocabulary_is_judged(spark):
     assert sorted(r.doc_id for r in kept) == list(range(12)) == brute_kept(rows)
 
 
+def test_near_copies_of_a_missing_text_are_not_paired_as_rows(spark):
+    """Copies of one text, most of them not near to each other: blocks hold a row a text, and the result is that of brute force."""
+    draw = random.Random(10)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for doc in range(240):
+        text = list(base)
+        for at in draw.sample(range(80), 2 if doc % 3 else 1):
+            text[at] = f"n{doc}x{at}"
+        rows.append((doc, " ".join(text)))
+    kept = simhash.without_near_duplicates(spark.createDataFrame(rows, TABLE).repartition(4)).collect()
+    assert sorted(r.doc_id for r in kept) == brute_kept(rows)
+    left = spark.range(4000).select(F.explode(F.array(F.lit(1), F.lit(2))).alias("key"), F.col("id").alias("node"), F.lit(0).cast("bigint").alias("low"))
+    ahead = left.filter("node < 128").select("key", F.col("node").alias("least"))
+    widths = spark.range(4000).select(F.col("id").alias("node"), F.lit(60).cast("bigint").alias("width"))
+    texts, leaders = simhash.comparison_blocks(left, ahead, widths, 64)
+    assert texts.select("node").distinct().count() == texts.count() == 4000
+    assert leaders.count() == 128 * texts.select("block").distinct().count() <= 128 * 4
+
+
 def test_near_duplicates_by_all_shingles(spark):
     """Long texts with similarities close above and below 0.8: decided as brute force does."""
     draw = random.Random(9)
