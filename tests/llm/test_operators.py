@@ -178,6 +178,21 @@ def test_exact_copies_of_placeholders_and_short_items(spark):
     assert got == {(10, 1), (20, 2), (21, 2), (30, 3), (40, 4)}
 
 
+def test_only_texts_with_hits_are_moved(spark):
+    """Values of slots are read from the texts that are asked for; the others meet a broadcast list, at any size."""
+    docs = spark.createDataFrame([(i, f"Tom paid {i} dollars for {i} apples in May and left") for i in range(40)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Tom paid 3 dollars for 3 apples in May and left")], "item_id long, text string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = decontamination.contaminated(docs, items)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [row" in plan and "LeftSemi" in plan
+        assert {r.doc_id for r in found.collect()} == set(range(40))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_question_marks_and_first_words(spark):
     items = spark.createDataFrame(
         [(1, "what makes the sea so very salty?"), (2, "Where do all the rivers go?"), (3, "Is it late?? Then tell us the way home now")], "item_id long, text string")

@@ -12,6 +12,8 @@ from wiretally.llm.common import saved
 WINDOW, LEAST = 8, 5
 #: Template windows of the benchmark that may be sent to every task (about 100 bytes each).
 BROADCAST_WINDOWS = 500_000
+#: Text hashes that may be sent to every task (8 bytes each).
+BROADCAST_ROWS = 1_000_000
 TOKEN_WORD = r"\d+(?:[.,:/]\d+)*|\p{L}+"
 TOKEN = TOKEN_WORD + r"|[.!?\n]+"
 UNITS = (
@@ -27,7 +29,7 @@ def is_mark(token: Column) -> Column:
 
 
 def template(text: Column) -> Column:
-    """Array of (t, v, l): the template token, where it is a placeholder the value it stands for, and the word in lower case.
+    """Raw tokens, template tokens and an array of (t, v, l), each made from the one before: the template token, where it is a placeholder the value it stands for, and the word in lower case.
 
     Numbers become ``<number>``; units behind a number ``<unit>``; words with a
     capital followed by small letters that do not begin a sentence ``<name>``.
@@ -35,34 +37,39 @@ def template(text: Column) -> Column:
     """
     raw = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
-    def typed(word: Column, i: Column) -> Column:
-        low = F.lower(word)
-        before = F.when(i > 0, F.get(raw_here, i - 1))
-        number = word.between("0", "9~")
-        name = (word != low) & before.isNotNull() & ~is_mark(before) & (F.substring(word, 2, 1_000_000) == F.substring(low, 2, 1_000_000)) \
-            & (F.length(word) > 1)
-        unit = before.between("0", "9~") & low.isin(UNITS)
-        kind = F.when(number, "<number>").when(unit, "<unit>").when(name, "<name>").otherwise(low)
-        return F.struct(kind.alias("t"), F.when(kind.startswith("<"), low).alias("v"), low.alias("l"))
+    def kind(word: Column, i: Column) -> Column:
+        low = F.get(F.col("_low"), i)
+        before = F.get(raw_here, i - 1)
+        number = (word <= "9~") & (word >= "0")
+        name = (word != low) & (F.length(word) > 1) & (i > 0) & ~is_mark(before) \
+            & (F.substring(word, 2, 1_000_000) == F.substring(low, 2, 1_000_000))
+        unit = low.isin(UNITS) & (i > 0) & (before <= "9~") & (before >= "0")
+        return F.when(number, "<number>").when(unit, "<unit>").when(name, "<name>").otherwise(low)
+
+    def with_value(t: Column, i: Column) -> Column:
+        low = F.get(F.col("_low"), i)
+        return F.struct(t.alias("t"), F.when(t.startswith("<"), low).alias("v"), low.alias("l"))
 
     raw_here = F.col("_raw")
-    return raw, F.filter(F.transform(raw_here, typed), lambda x: ~is_mark(x["l"]))
+    return raw, F.transform(raw_here, kind), F.filter(F.transform(F.col("_kinds"), with_value), lambda x: ~is_mark(x["l"]))
 
 
 def with_template(rows: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``_t`` (template tokens), ``_v`` (their values) and ``_l`` (the words); null text has none."""
-    raw, pairs = template(F.col(text))
+    raw, kinds, pairs = template(F.col(text))
     return (
         rows.withColumn("_raw", F.coalesce(raw, F.array().cast("array<string>")))
+        .withColumn("_low", F.transform("_raw", F.lower))
+        .withColumn("_kinds", kinds)
         .withColumn("_pairs", pairs)
         .withColumn("_t", F.col("_pairs")["t"]).withColumn("_v", F.col("_pairs")["v"]).withColumn("_l", F.col("_pairs")["l"])
-        .drop("_raw", "_pairs")
+        .drop("_raw", "_low", "_kinds", "_pairs")
     )
 
 
 def hashed(column: str, size: int, at: Column) -> Column:
     """(h, at) of the window of ``size`` tokens at each place of ``at``."""
-    return F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(size), F.slice(column, i + 1, F.lit(size))).alias("h"), i.alias("at")))
+    return F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(size), *[F.get(F.col(column), i + k) for k in range(size)]).alias("h"), i.alias("at")))
 
 
 def windows(size: int, column: str = "_t") -> Column:
@@ -159,8 +166,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     with_slots = hits.filter(F.size("slots") > 0).select("*", (F.col("doc_at") - F.col("item_at")).alias("start")).join(
         enough.select("doc_id", "row", "item_id", "start"), ["doc_id", "row", "item_id", "start"], "left_semi")
     asked = with_slots.groupBy("doc_id", "row").agg(F.collect_set(F.struct("item_id", "start", "doc_at", "slots")).alias("asked"))
+    asked = saved(asked, "asked")
+    rows = asked.select("row").distinct()
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows    # only texts that are asked for are moved
+    asked_texts = known.withColumn("row", F.xxhash64("text")).join(rows, "row", "left_semi").dropDuplicates(["doc_id", "row"])
     values = (
-        with_template(known.withColumn("row", F.xxhash64("text")).join(asked, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]))
+        with_template(asked_texts.join(asked, ["doc_id", "row"]))
         .select("doc_id", "row", "_l", F.explode("asked").alias("a"))
         .select("doc_id", "row", "a.item_id", "a.start", F.explode(F.transform("a.slots", lambda s: F.struct(
             s["value"].alias("item_value"), F.get(F.col("_l"), F.col("a.doc_at") + s["off"]).alias("doc_value")))).alias("s"))
