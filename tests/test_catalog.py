@@ -54,3 +54,9 @@ def test_protocol_facts_cover_devices_that_no_question_names(spark):
     want = cur.fetchall()
     assert normal([tuple(r) for r in df.collect()], df.columns) == normal(want, names)
     assert len({r[names.index("device_name")] for r in want}) > named
+
+
+def test_source_in_order_sorts_a_stored_table(spark):
+    """A range sort reads its input twice: what it reads is a table of five columns, not the chunk chain."""
+    plan = entry.queries()["source_in_order"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" in plan and "Window" not in plan and "Aggregate" not in plan
