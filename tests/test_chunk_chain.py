@@ -1,11 +1,15 @@
 """The chunk chain: the same chunks as its steps taken one by one over whole documents, with the content shuffled once."""
+import glob
 import random
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from wiretally.functions.ordered import number_rows
 from wiretally.functions.text import strip
+from wiretally.session import scratch_path
 from wiretally.operators import captions as CP, chunking as CH, prepare as PR
+from wiretally.sources import tables as TB
 from test_chunking import block, frame
 
 
@@ -50,3 +54,13 @@ def test_chunks_are_not_shuffled_after_they_are_stored(spark):
     chunks = CH.build_chunks(frame(spark, [block(f"d{i}.pdf", p, p, "w " * 60) for i in range(5) for p in range(1, 90)]))
     plan = chunks._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "Sort [" not in plan
+
+
+def test_index_is_written_compactly(spark):
+    path, new = scratch_path(spark, "idx"), frame(spark, [block("d1.pdf", 1, 0, "text of another version")])
+    TB.write_index(CH.build_chunks(frame(spark, [block(f"d{i}.pdf", 1, 0, f"text of document number {i}") for i in range(9)])), path)
+    for _ in range(2):
+        files = glob.glob(path.removeprefix("file:") + "/bucket=*/*.parquet")
+        assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files if pq.ParquetFile(f).metadata.num_rows} == {"ZSTD"}
+        TB.replace_sources(spark, path, CH.build_chunks(new), spark.createDataFrame([("d1.pdf",)], "source_file string"))
+    assert {r.content for r in TB.read_index(spark, path, "d1.pdf").collect()} == {"text of another version"}
