@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wiretally.functions import fixed as K
 from wiretally.functions.text import base_name, strip
 from wiretally.operators.telemetry import split_session, summary_lines
+from wiretally.session import written
 
 # Fixed defaults of the registry.
 PORT, TELNET_PORT, TIMEOUT, PROTOCOL = 22, 23, 30, "ssh"
@@ -80,9 +81,10 @@ SNAPSHOT_FIELDS = (
 
 
 def write_snapshots(data: DataFrame, path: str) -> None:
-    """Snapshots as JSON objects of 18 fields, and the text overview beside them."""
-    data.select(*SNAPSHOT_FIELDS).write.mode("overwrite").json(f"{path}/json")
-    summary_lines(data).select("device_name", F.array_join("summary", "\n").alias("summary")).write.mode(
+    """Snapshots as JSON objects of 18 fields, and the text overview beside them. Both read a stored table, so that texts are parsed once."""
+    held = written(data.select(*SNAPSHOT_FIELDS), "snapshots")
+    held.write.mode("overwrite").json(f"{path}/json")
+    summary_lines(held).select("device_name", F.array_join("summary", "\n").alias("summary")).write.mode(
         "overwrite").parquet(f"{path}/summary")
 
 
