@@ -2,7 +2,7 @@
 import glob
 import random
 
-from wiretally.operators import sparse as SP
+from wiretally.operators import captions as CP, sparse as SP
 from wiretally.plans import search_queries as SQ
 from wiretally.session import distilled, shared_folder
 
@@ -34,3 +34,10 @@ def test_chunks_go_to_their_blocks_as_packs(spark, monkeypatch):
     want = {r[:4] for r in map(tuple, SP.sparse_scores(corpus, asked, "i", "t", "q", "text", keep=("kind",)).select("q", "kind", "i", "score").collect())}
     assert set(whole) == want
 
+
+def test_captions_meet_images_only(spark, monkeypatch):
+    given, whole = [], CP.enrich_images
+    monkeypatch.setattr(CP, "enrich_images", lambda blocks, captions: given.append(blocks) or whole(blocks, captions))
+    rows = SQ.passages(spark, SMALL)
+    assert given and all(b.filter("block_type <> 'image'").isEmpty() for b in given)
+    assert not rows.filter("chunk_type = 'image_desc' AND content <> ''").isEmpty()
